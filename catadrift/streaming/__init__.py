@@ -1,0 +1,4 @@
+"""A comparison takes two complete snapshots, so nothing here is streamed.
+
+Scheduled runs call :func:`catadrift.compare` on the two newest snapshots.
+"""
