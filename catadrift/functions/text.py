@@ -16,24 +16,33 @@ WHITESPACE = (
 )
 
 
-def strip(col: Column | str) -> Column:
-    """Remove whitespace of any kind from both ends.
+def _literals(values: tuple[str, ...] | str) -> str:
+    quoted = [value.replace("\\", "\\\\").replace("'", "\\'") for value in values]
+    return ", ".join(f"'{value}'" for value in quoted)
+
+
+def _stripped(name: str) -> str:
+    edges = _literals(WHITESPACE)
+    return (
+        f"CASE WHEN substring({name}, 1, 1) IN ({edges}) OR substring({name}, -1, 1) IN ({edges}) "
+        f"THEN btrim({name}, '{WHITESPACE}') ELSE {name} END"
+    )
+
+
+def strip(name: str) -> Column:
+    """A text column without whitespace of any kind at its ends.
 
     Catalog names are rarely padded, so the edges are tested before the far dearer trim.
     """
-    col = F.col(col) if isinstance(col, str) else col
-    padded = F.substring(col, 1, 1).isin(*WHITESPACE) | F.substring(col, -1, 1).isin(*WHITESPACE)
-    return F.when(padded, F.btrim(col, F.lit(WHITESPACE))).otherwise(col)
+    return F.expr(_stripped(name)).alias(name)
 
 
-def normalise_pii(col: Column | str, config: DriftConfig = DEFAULT) -> Column:
+def normalise_pii(name: str, config: DriftConfig = DEFAULT, stripped: bool = False) -> Column:
     """Yes, No or Unknown from any spelling of the personal-data flag; null is Unknown."""
-    col = F.col(col) if isinstance(col, str) else col
-    flag = F.lower(strip(col.cast("string")))
-    return (
-        F.when(flag.isin(*config.yes_values), YES)
-        .when(flag.isin(*config.no_values), NO)
-        .otherwise(UNKNOWN)
+    flag = f"lower({name if stripped else _stripped(name)})"
+    return F.expr(
+        f"CASE WHEN {flag} IN ({_literals(config.yes_values)}) THEN '{YES}' "
+        f"WHEN {flag} IN ({_literals(config.no_values)}) THEN '{NO}' ELSE '{UNKNOWN}' END"
     )
 
 

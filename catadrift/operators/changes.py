@@ -58,53 +58,52 @@ def classify(keys: DataFrame, names: dict[str, DataFrame]) -> DataFrame:
     ``table_pii`` tells whether a dropped table had personal data in any column.
     """
     changed = keys.filter(
-        F.col("prev").isNull()
-        | F.col("curr").isNull()
-        | ~F.col("prev.datatype").eqNullSafe(F.col("curr.datatype"))
+        "prev IS NULL OR curr IS NULL OR NOT (prev.datatype <=> curr.datatype)"
     )
     with_pii = (
-        keys.filter((F.col("prev.is_pii") == YES) & F.col("curr").isNull())
+        keys.filter(f"prev.is_pii = '{YES}' AND curr IS NULL")
         .select(*TABLE_KEY)
         .distinct()
         .withColumn("table_pii", F.lit(True))
     )
     gone = gone_tables(names).join(with_pii, TABLE_KEY, "left")
 
-    level = F.coalesce("missing", F.lit("column"))
-    new = [F.when(level == name, value) for name, value in NEW_BY_LEVEL.items()]
-    dropped = [F.when(level == name, value) for name, value in DROPPED_BY_LEVEL.items()]
-    change_type = (
-        F.when(F.col("prev").isNull(), F.coalesce(*new))
-        .when(F.col("curr").isNull(), F.coalesce(*dropped))
-        .otherwise(DATATYPE_CHANGED)
-    )
+    def by_level(change_types: dict[str, str]) -> str:
+        cases = " ".join(f"WHEN '{level}' THEN '{v}'" for level, v in change_types.items())
+        return f"CASE coalesce(missing, 'column') {cases} END"
+
     return (
         changed.join(gone, TABLE_KEY, "left")
-        .select(
-            *KEY, "prev", "curr", change_type.alias("change_type"),
-            F.coalesce("table_pii", F.lit(False)).alias("table_pii"),
+        .selectExpr(
+            *KEY, "prev", "curr",
+            f"CASE WHEN prev IS NULL THEN {by_level(NEW_BY_LEVEL)} "
+            f"WHEN curr IS NULL THEN {by_level(DROPPED_BY_LEVEL)} "
+            f"ELSE '{DATATYPE_CHANGED}' END AS change_type",
+            "coalesce(table_pii, false) AS table_pii",
         )
-        .filter("change_type is not null")
+        .filter("change_type IS NOT NULL")
     )
 
 
+def in_list(change_types: tuple[str, ...]) -> str:
+    return "(" + ", ".join(f"'{c}'" for c in change_types) + ")"
+
+
 def severity() -> Column:
     """HIGH for personal data and for a new database; how loud the rest is depends on type."""
-    return (
-        F.when((F.col("is_pii") == YES) | (F.col("change_type") == NEW_DATABASE), HIGH)
-        .when(F.col("change_type").isin(NEW_COLUMN, DROPPED_COLUMN), LOW)
-        .otherwise(MEDIUM)
+    return F.expr(
+        f"CASE WHEN is_pii = '{YES}' OR change_type = '{NEW_DATABASE}' THEN '{HIGH}' "
+        f"WHEN change_type IN ('{NEW_COLUMN}', '{DROPPED_COLUMN}') THEN '{LOW}' "
+        f"ELSE '{MEDIUM}' END AS severity"
     )
 
 
 def action() -> Column:
-    has_pii = F.col("is_pii") == YES
-    return F.coalesce(
-        *[
-            F.when(F.col("change_type") == change, F.when(has_pii, yes).otherwise(other))
-            for change, (yes, other) in ACTIONS.items()
-        ]
+    cases = " ".join(
+        f"WHEN '{change}' THEN IF(is_pii = '{YES}', '{yes}', '{other}')"
+        for change, (yes, other) in ACTIONS.items()
     )
+    return F.expr(f"CASE change_type {cases} END AS action")
 
 
 def drift_rows(changes: DataFrame, with_anchor: bool = False) -> DataFrame:
@@ -117,62 +116,51 @@ def drift_rows(changes: DataFrame, with_anchor: bool = False) -> DataFrame:
     ``with_anchor`` adds the table and column of the row in the current snapshot that an
     annotation belongs to.
     """
-    kind = F.col("change_type")
-    flag = F.coalesce("curr.is_pii", "prev.is_pii")
-    per_schema = kind.isin(*SCHEMA_GRAIN)
-    per_table = (kind == DROPPED_TABLE) & ~F.col("table_pii")
-    # Harmless columns of a dropped table are not reported beside its personal data.
-    reported = ~((kind == DROPPED_TABLE) & F.col("table_pii") & (flag != YES))
-
-    datatype = F.when(
-        kind == DATATYPE_CHANGED,
-        F.concat(
-            F.coalesce("prev.datatype", F.lit(NULL_TEXT)),
-            F.lit(ARROW),
-            F.coalesce("curr.datatype", F.lit(NULL_TEXT)),
-        ),
-    ).otherwise(F.coalesce("curr.datatype", "prev.datatype"))
-
-    def unless(condition: Column, value: Column | str) -> Column:
-        value = F.col(value) if isinstance(value, str) else value
-        return F.when(condition, NOT_APPLICABLE).otherwise(value)
-
-    rank = F.when(flag == YES, 2).when(flag == NO, 1).otherwise(0)
-    rows = changes.filter(reported).select(
+    per_schema = f"change_type IN {in_list(SCHEMA_GRAIN)}"
+    per_group = f"({per_schema} OR (change_type = '{DROPPED_TABLE}' AND NOT table_pii))"
+    flag = "coalesce(curr.is_pii, prev.is_pii)"
+    datatype = (
+        f"CASE WHEN {per_group} THEN '{NOT_APPLICABLE}' "
+        f"WHEN change_type = '{DATATYPE_CHANGED}' THEN concat("
+        f"coalesce(prev.datatype, '{NULL_TEXT}'), '{ARROW}', coalesce(curr.datatype, '{NULL_TEXT}')) "
+        "WHEN curr IS NULL THEN prev.datatype ELSE curr.datatype END"
+    )
+    rows = changes.filter(
+        # Harmless columns of a dropped table are not reported beside its personal data.
+        f"NOT (change_type = '{DROPPED_TABLE}' AND table_pii AND {flag} != '{YES}')"
+    ).selectExpr(
         *KEY[:3],
-        unless(per_schema, "table_name").alias("table_name"),
-        unless(per_schema | per_table, "column_name").alias("column_name"),
-        unless(per_schema | per_table, datatype).alias("datatype"),
+        f"IF({per_schema}, '{NOT_APPLICABLE}', table_name) AS table_name",
+        f"IF({per_group}, '{NOT_APPLICABLE}', column_name) AS column_name",
+        f"{datatype} AS datatype",
         "change_type",
-        rank.alias("flag_rank"),
-        F.col("curr.row_number").alias("row_number"),
-        F.struct("curr.row_number", "table_name", "column_name").alias("anchor"),
+        f"CASE {flag} WHEN '{YES}' THEN 2 WHEN '{NO}' THEN 1 ELSE 0 END AS flag_rank",
+        "curr.row_number AS row_number",
+        "struct(curr.row_number, table_name, column_name) AS anchor",
     )
-    measures = [F.max("flag_rank").alias("flag_rank"), F.min("row_number").alias("row_number")]
+    measures = ["max(flag_rank) AS flag_rank", "min(row_number) AS row_number"]
     if with_anchor:
-        measures.append(F.min("anchor").alias("anchor"))
-    grouped = rows.groupBy(*KEY, "datatype", "change_type").agg(*measures)
+        measures.append("min(anchor) AS anchor")
+    grouped = rows.groupBy(*KEY, "datatype", "change_type").agg(*map(F.expr, measures))
 
-    no_middle = kind.isin(DROPPED_DATABASE, DROPPED_SCHEMA, DROPPED_TABLE)
+    # A dropped schema or database that holds no personal data is a No, whatever is Unknown.
+    no_middle = in_list((DROPPED_DATABASE, DROPPED_SCHEMA, DROPPED_TABLE))
     is_pii = (
-        F.when(kind == NEW_DATABASE, UNKNOWN)
-        .when(F.col("flag_rank") == 2, YES)
-        .when((F.col("flag_rank") == 1) | no_middle, NO)
-        .otherwise(UNKNOWN)
+        f"CASE WHEN change_type = '{NEW_DATABASE}' THEN '{UNKNOWN}' "
+        f"WHEN flag_rank = 2 THEN '{YES}' "
+        f"WHEN flag_rank = 1 OR change_type IN {no_middle} THEN '{NO}' ELSE '{UNKNOWN}' END"
     )
+    computed = {"severity": severity(), "action": action()}
     extra = ["anchor"] if with_anchor else []
-    return (
-        grouped.withColumn("is_pii", is_pii)
-        .withColumns({"severity": severity(), "action": action()})
-        .select(*DRIFT, *extra)
+    return grouped.withColumn("is_pii", F.expr(is_pii)).select(
+        *[computed.get(c, c) for c in DRIFT], *extra
     )
 
 
 def pii_bubble_up(keys: DataFrame) -> DataFrame:
     """Whether any column below a schema of the previous snapshot holds personal data."""
     return (
-        keys.filter("prev is not null")
+        keys.filter("prev IS NOT NULL")
         .groupBy(*KEY[:3])
-        .agg(F.max(F.col("prev.is_pii") == YES).alias("has_pii"))
-        .withColumn("has_pii", F.when(F.col("has_pii"), YES).otherwise(NO))
+        .agg(F.expr(f"IF(max(prev.is_pii = '{YES}'), '{YES}', '{NO}') AS has_pii"))
     )

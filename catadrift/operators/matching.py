@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from catadrift.config import DEFAULT, KEY, TABLE_KEY, DriftConfig
 from catadrift.functions import strip
-from catadrift.operators.quality import clean, complete_rows
+from catadrift.operators.quality import clean, complete_rows, group_by_key
 
 # Level names with the number of key columns that identify a member of the level.
 LEVELS = {"connection": 1, "database": 2, "schema": 3, "table": 4, "column": 5}
@@ -21,10 +21,13 @@ def both_sides(prev: DataFrame, curr: DataFrame, config: DriftConfig = DEFAULT)
     """Both snapshots, cleaned but with duplicates, as one tagged DataFrame of keyed rows."""
 
     def side(df: DataFrame, is_prev: bool) -> DataFrame:
-        rows = complete_rows(clean(df, "strip", config))
-        return rows.select(
-            *KEY, "datatype", "is_pii", "row_number", F.lit(is_prev).alias("is_prev")
-        )
+        # Stripping leaves nulls null, so incomplete rows can go before it costs anything.
+        # Key parts are then declared not null: otherwise each join below would derive a null
+        # filter of its own and push it to the source, and no two branches of a plan would
+        # share a scan and shuffle any more.
+        rows = clean(complete_rows(df), "strip", config)
+        not_null = [f"coalesce({k}, '') AS {k}" for k in KEY]
+        return rows.selectExpr(*not_null, "datatype", "is_pii", "row_number", f"{is_prev} AS is_prev")
 
     return side(prev, True).unionByName(side(curr, False))
 
@@ -34,11 +37,11 @@ def match_keys(sides: DataFrame) -> DataFrame:
 
     Deduplication and the full outer join of the sides are one aggregate, hence one shuffle.
     """
-    row = F.struct("row_number", "datatype", "is_pii")
-    return sides.groupBy(*KEY).agg(
-        F.min(F.when(F.col("is_prev"), row)).alias("prev"),
-        F.min(F.when(~F.col("is_prev"), row)).alias("curr"),
-    )
+    first = "min(struct(row_number, datatype, is_pii)) FILTER (WHERE {})"
+    return group_by_key(sides).agg(
+        F.expr(first.format("is_prev")).alias("prev"),
+        F.expr(first.format("NOT is_prev")).alias("curr"),
+    ).drop("key_hash")
 
 
 def hierarchy(sides: DataFrame) -> dict[str, DataFrame]:
@@ -54,21 +57,20 @@ def hierarchy(sides: DataFrame) -> dict[str, DataFrame]:
     """
     seen = {
         "table": sides.groupBy(*level_key("table")).agg(
-            F.max("is_prev").alias("in_prev"), F.max(~F.col("is_prev")).alias("in_curr")
+            F.expr("max(is_prev) AS in_prev"), F.expr("max(NOT is_prev) AS in_curr")
         )
     }
     for lower, level in (("table", "schema"), ("schema", "database"), ("database", "connection")):
         seen[level] = seen[lower].groupBy(*level_key(level)).agg(
-            F.max("in_prev").alias("in_prev"), F.max("in_curr").alias("in_curr")
+            F.expr("max(in_prev) AS in_prev"), F.expr("max(in_curr) AS in_curr")
         )
 
-    one_sided = F.col("in_prev") != F.col("in_curr")
     names = {}
     parent = None
     for level in ("connection", "database", "schema", "table"):
-        own = F.when(one_sided, F.lit(level))
+        own = f"IF(in_prev != in_curr, '{level}', NULL)"
         if parent is None:
-            names[level] = seen[level].withColumn("missing", own)
+            names[level] = seen[level].withColumn("missing", F.expr(own))
         else:
             # Names on both sides have all their ancestors on both sides, so the parents
             # worth joining are the few that are missing somewhere.
@@ -78,8 +80,10 @@ def hierarchy(sides: DataFrame) -> dict[str, DataFrame]:
             names[level] = (
                 seen[level]
                 .join(gone, level_key(parent), "left")
-                .withColumn("missing", F.coalesce("parent_missing", own))
-                .drop("parent_missing")
+                .select(
+                    *level_key(level), "in_prev", "in_curr",
+                    F.expr(f"coalesce(parent_missing, {own}) AS missing"),
+                )
             )
         parent = level
     return names
@@ -95,14 +99,12 @@ def presence(keys: DataFrame, names: dict[str, DataFrame]) -> DataFrame:
 
     A key on both sides misses nothing, so only one-sided keys are joined to the tables.
     """
-    flags = keys.withColumns(
-        {"in_prev": F.col("prev").isNotNull(), "in_curr": F.col("curr").isNotNull()}
-    )
-    common = flags.filter("in_prev and in_curr").withColumn("missing", F.lit(None).cast("string"))
+    flags = keys.selectExpr("*", "prev IS NOT NULL AS in_prev", "curr IS NOT NULL AS in_curr")
+    common = flags.filter("in_prev and in_curr").selectExpr("*", "CAST(NULL AS STRING) AS missing")
     one_sided = (
         flags.filter("in_prev != in_curr")
         .join(gone_tables(names), TABLE_KEY, "left")
-        .withColumn("missing", F.coalesce("missing", F.lit("column")))
+        .withColumn("missing", F.expr("coalesce(missing, 'column')"))
     )
     return common.unionByName(one_sided)
 
@@ -122,7 +124,7 @@ def names_by_change(
 
 def connections(df: DataFrame) -> DataFrame:
     """Distinct stripped connections of a snapshot."""
-    return df.select(strip("connection").alias("connection")).distinct()
+    return df.select(strip("connection")).distinct()
 
 
 def connection_sides(prev: DataFrame, curr: DataFrame) -> DataFrame:

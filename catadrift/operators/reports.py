@@ -18,6 +18,7 @@ from catadrift.config import (
     DriftConfig,
 )
 from catadrift.functions import lookup, strip
+from catadrift.operators.quality import group_by_key
 
 
 def highlight(drift: DataFrame, config: DriftConfig = DEFAULT) -> DataFrame:
@@ -38,20 +39,20 @@ def annotate(
     """
     clean_key = [f"clean_{k}" for k in KEY]
     rest = [c for c in INVENTORY if c != "row_number"]
-    first = (
-        curr.select(*INVENTORY, *[strip(k).alias(c) for k, c in zip(KEY, clean_key, strict=True)])
-        .groupBy(*clean_key)
-        .agg(F.min(F.struct("row_number", *rest)).alias("first"))
+    cleaned = curr.select(
+        *INVENTORY, *[strip(k).alias(c) for k, c in zip(KEY, clean_key, strict=True)]
     )
-    marks = highlight(anchored_drift, config).filter("row_number is not null").select(
-        F.col("connection").alias("clean_connection"),
-        F.col("db_name").alias("clean_db_name"),
-        F.col("schema_name").alias("clean_schema_name"),
-        F.col("anchor.table_name").alias("clean_table_name"),
-        F.col("anchor.column_name").alias("clean_column_name"),
+    first = group_by_key(cleaned, clean_key).agg(
+        F.min(F.struct("row_number", *rest)).alias("first")
+    )
+    marks = highlight(anchored_drift, config).filter("row_number IS NOT NULL").selectExpr(
+        *[f"{k} AS clean_{k}" for k in KEY[:3]],
+        "anchor.table_name AS clean_table_name",
+        "anchor.column_name AS clean_column_name",
         "change_type", "severity", "action", "fill",
     )
-    return first.join(marks, clean_key, "left").select(
+    marks = marks.withColumn("key_hash", F.xxhash64(*clean_key))
+    return first.join(marks, ["key_hash", *clean_key], "left").select(
         F.col("clean_connection").alias("connection"),
         *[f"first.{c}" for c in INVENTORY if c != "connection"],
         "change_type", "severity", "action", "fill",

@@ -11,8 +11,9 @@ from catadrift.config import DEFAULT, DRIFT, INVENTORY, DriftConfig
 from catadrift.functions import strip
 from catadrift.operators import changes as ch
 from catadrift.operators import matching, metrics, quality, reports
+from catadrift.operators.headers import connection_status, failed_connections
 from catadrift.plans.session import cut
-from catadrift.sources import checks, sinks
+from catadrift.sources import checks, sheets, sinks
 from catadrift.sources.inventory import read_inventory
 
 
@@ -61,7 +62,7 @@ class Comparison:
         """Changed keys; failed connections go last, when only drift is left to filter."""
         found = ch.classify(self.keys, self.names)
         if self.failed is not None:
-            failed = self.failed.select(strip("connection").alias("connection"))
+            failed = self.failed.select(strip("connection"))
             found = found.join(failed, "connection", "left_anti")
         return found
 
@@ -147,6 +148,32 @@ def compare(
     return Comparison(prev, curr, failed, comparison_ts, config)
 
 
+def compare_sheets(
+    spark: SparkSession,
+    previous: str,
+    current: str,
+    config: DriftConfig = DEFAULT,
+    comparison_ts: str | None = None,
+) -> Comparison:
+    """Compare two folders of CSV sheets whose headers differ from connection to connection.
+
+    Connections whose headers cannot be resolved on either side are left out whole and listed
+    in ``failed``; the run status then tells that the run was partial.
+    """
+    checks.check_locations(previous, current, "csv")
+    headers = [sheets.csv_sheet_headers(spark, path) for path in (previous, current)]
+    bodies = [sheets.csv_sheets(spark, path) for path in (previous, current)]
+    checks.check_connections(*bodies)
+    checks.check_headers(*bodies, headers[0])
+    stripped = [h.withColumn("connection", strip("connection")) for h in headers]
+    failed = failed_connections(connection_status(*stripped, config))
+    prev, curr = (
+        sheets.sheet_inventory(body, head, config)
+        for body, head in zip(bodies, headers, strict=True)
+    )
+    return Comparison(prev, curr, failed, comparison_ts, config)
+
+
 def compare_locations(
     spark: SparkSession,
     previous: str,

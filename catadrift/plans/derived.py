@@ -6,7 +6,7 @@ and they grow with the table. See ``FIXTURES.md``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catadrift.config import INVENTORY
@@ -34,99 +34,85 @@ def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
 
 
-def _pick(values: tuple, index: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, values)), (index + 1).cast("int"))
+def _pick(values: tuple, index: str) -> str:
+    quoted = ", ".join("NULL" if v is None else f"'{v}'" for v in values)
+    return f"element_at(array({quoted}), CAST({index} + 1 AS INT))"
 
 
 def inventory(spark: SparkSession, sf_dir: str, side: str, messy: bool = False) -> DataFrame:
     """The ``prev`` or ``curr`` snapshot; messy adds padding and nulls to names and types."""
-    k, line = F.col("l_orderkey"), F.col("l_linenumber")
-    part, supp = F.col("l_partkey"), F.col("l_suppkey")
-    t, c = F.expr("l_orderkey div 60"), k + line
-    is_prev = side == "prev"
-
-    if is_prev:
-        left_out = (k % 12 == 11) | (k % 60).isin(4, 17) | (t % 20 == 3) | (c % 13 == 0) | (k % 97 == 1)
-        kind = part % 5
+    if side == "prev":
+        left_out = "k % 12 = 11 OR k % 60 IN (4, 17) OR t % 20 = 3 OR c % 13 = 0 OR k % 97 = 1"
+        kind = "p % 5"
+        null_type = "p % 9 = 4 OR p % 13 = 6"
     else:
-        left_out = (k % 12 == 10) | (k % 60).isin(5, 18) | (t % 20 == 5) | (c % 13 == 1) | (k % 97 == 0)
-        kind = (part % 5 + F.when(c % 17 == 2, 1).otherwise(0)) % 5
-
-    def name(prefix: str, number: Column) -> Column:
-        return F.concat(F.lit(prefix), number.cast("string"))
-
-    connection = (
-        F.when(k % 97 == 0, "conn_prev_only")
-        .when(k % 97 == 1, "conn_curr_only")
-        .otherwise(name("conn_", k % 4))
-    )
-    flag = F.when((t % 4 == 1) | (k % 60).isin(18, 22), "no").otherwise(_pick(FLAGS, part % 12))
+        left_out = "k % 12 = 10 OR k % 60 IN (5, 18) OR t % 20 = 5 OR c % 13 = 1 OR k % 97 = 0"
+        kind = "(p % 5 + IF(c % 17 = 2, 1, 0)) % 5"
+        null_type = "p % 9 = 4 OR p % 11 = 5"
     columns = {
-        "connection": connection,
-        "db_name": name("db_", k % 12),
-        "schema_name": name("sch_", k % 60),
-        "table_name": name("tbl_", k),
-        "column_name": name("col_", line),
+        "connection": "CASE k % 97 WHEN 0 THEN 'conn_prev_only' WHEN 1 THEN 'conn_curr_only' "
+        "ELSE concat('conn_', k % 4) END",
+        "db_name": "concat('db_', k % 12)",
+        "schema_name": "concat('sch_', k % 60)",
+        "table_name": "concat('tbl_', k)",
+        "column_name": "concat('col_', line)",
         "datatype": _pick(DATATYPES, kind),
-        "is_pii_raw": flag,
-        "row_number": part * POSITION_STEP + supp % POSITION_STEP,
+        "is_pii_raw": f"IF(t % 4 = 1 OR k % 60 IN (18, 22), 'no', {_pick(FLAGS, 'p % 12')})",
+        "row_number": f"p * {POSITION_STEP} + s % {POSITION_STEP}",
     }
     if messy:
-        before, after = _pick(BEFORE, supp % 5), _pick(AFTER, supp % 4)
-        null_type = (part % 9 == 4) | (part % 13 == 6 if is_prev else part % 11 == 5)
-
-        def unless(condition: Column, value: Column) -> Column:
-            return F.when(~condition, value)
-
-        columns |= {
-            "connection": unless(
-                supp % 59 == 11, F.when(supp % 7 == 2, F.concat(F.lit(" "), connection)).otherwise(connection)
-            ),
-            "db_name": unless(supp % 41 == 3, F.concat(before, columns["db_name"], after)),
-            "schema_name": unless(supp % 43 == 5, F.concat(columns["schema_name"], before)),
-            "table_name": unless(supp % 47 == 7, F.concat(after, columns["table_name"])),
-            "column_name": unless(supp % 53 == 9, columns["column_name"]),
-            "datatype": unless(null_type, F.concat(columns["datatype"], before)),
+        before, after = _pick(BEFORE, "s % 5"), _pick(AFTER, "s % 4")
+        padded = {
+            "connection": ("s % 59 = 11", "concat(IF(s % 7 = 2, ' ', ''), {})"),
+            "db_name": ("s % 41 = 3", f"concat({before}, {{}}, {after})"),
+            "schema_name": ("s % 43 = 5", f"concat({{}}, {before})"),
+            "table_name": ("s % 47 = 7", f"concat({after}, {{}})"),
+            "column_name": ("s % 53 = 9", "{}"),
+            "datatype": (null_type, f"concat({{}}, {before})"),
         }
-    rows = lineitem(spark, sf_dir).filter(~left_out)
-    return rows.select(*[columns[c].alias(c) for c in INVENTORY])
+        for name, (is_null, value) in padded.items():
+            columns[name] = f"IF({is_null}, NULL, {value.format(columns[name])})"
+    return (
+        lineitem(spark, sf_dir)
+        .selectExpr(
+            "l_orderkey AS k", "l_linenumber AS line", "l_partkey AS p", "l_suppkey AS s",
+            "l_orderkey div 60 AS t", "l_orderkey + l_linenumber AS c",
+        )
+        .filter(f"NOT ({left_out})")
+        .selectExpr(*[f"{columns[c]} AS {c}" for c in INVENTORY])
+    )
 
 
-def _sheet(side: str) -> tuple[Column, Column]:
-    """Number of the sheet a row belongs to, and whether the side has the sheet."""
-    sheet = F.expr("l_orderkey div 8")
-    return sheet, sheet % 23 != (1 if side == "prev" else 0)
+def _sheets(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
+    """Rows by sheet; a few sheets are on one side only."""
+    absent = 1 if side == "prev" else 0
+    return (
+        lineitem(spark, sf_dir)
+        .withColumn("sheet", F.expr("l_orderkey div 8"))
+        .filter(f"sheet % 23 != {absent}")
+    )
 
 
 def sheet_headers(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     """Header rows of derived sheets, spelled in many ways, some of them misleading."""
-    sheet, there = _sheet(side)
-    shift = F.when(F.col("sheet") % 5 == 0, 0 if side == "prev" else 1).otherwise(0)
-    places = (
-        lineitem(spark, sf_dir)
-        .filter(there)
-        .groupBy(sheet.alias("sheet"), F.col("l_linenumber").alias("pos"))
-        .agg(F.min("l_partkey").alias("part"))
+    shift = "0" if side == "prev" else "IF(sheet % 5 = 0, 1, 0)"
+    spelled = " ".join(
+        f"WHEN {place} THEN {_pick(values, f'(p + {shift}) % 4')}"
+        for place, values in enumerate(SPELLINGS, 1)
     )
-    spelling = _pick(SPELLINGS[-1], (F.col("part") + shift) % 4)
-    for place, values in enumerate(SPELLINGS[:-1], 1):
-        spelling = F.when(
-            F.col("pos") == place, _pick(values, (F.col("part") + shift) % 4)
-        ).otherwise(spelling)
-    return places.select(
-        F.concat(F.lit("sheet_"), F.col("sheet").cast("string")).alias("connection"),
-        "pos",
-        spelling.alias("header"),
+    return (
+        _sheets(spark, sf_dir, side)
+        .groupBy("sheet", F.col("l_linenumber").alias("pos"))
+        .agg(F.min("l_partkey").alias("p"))
+        .selectExpr("concat('sheet_', sheet) AS connection", "pos", f"CASE pos {spelled} END AS header")
     )
 
 
 def sheet_rows(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     """Bodies of the derived sheets."""
-    sheet, there = _sheet(side)
-    value = (F.col("l_partkey") % 50).cast("string")
-    cells = [F.concat(F.lit(f"v{place}_"), value) for place in range(8)]
-    return lineitem(spark, sf_dir).filter(there).select(
-        F.concat(F.lit("sheet_"), sheet.cast("string")).alias("connection"),
-        (F.col("l_partkey") * POSITION_STEP + F.col("l_suppkey") % POSITION_STEP).alias("row_number"),
-        F.array(*cells).alias("cells"),
+    cells = ", ".join(f"concat('v{place}_', l_partkey % 50)" for place in range(8))
+    return _sheets(spark, sf_dir, side).selectExpr(
+        "concat('sheet_', sheet) AS connection",
+        f"l_partkey * {POSITION_STEP} + l_suppkey % {POSITION_STEP} AS row_number",
+        f"array({cells}) AS cells",
     )

@@ -21,7 +21,8 @@ def tuning(input_bytes: int, partition_bytes: int = 192 << 20) -> dict[str, str]
 
     The one full-size shuffle carries about the input, so its partitions are the input cut
     into pieces that fit an executor core; adaptive execution merges them where they turn out
-    small and splits them where one join key is hot.
+    small and splits them where one join key is hot. Methods too long for the JVM's compiler
+    are not fused, since it would run them interpreted.
     """
     partitions = max(8, math.ceil(input_bytes / partition_bytes))
     return {
@@ -31,6 +32,7 @@ def tuning(input_bytes: int, partition_bytes: int = 192 << 20) -> dict[str, str]
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
         "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.codegen.hugeMethodLimit": "8000",
     }
 
 
