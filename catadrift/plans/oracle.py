@@ -395,7 +395,8 @@ def oracle_sql() -> dict[str, str]:
         "clean_strip_mode": on_messy(f"SELECT {ALL}, is_pii FROM curr_s"),
         "clean_dedup_mode": on_messy(f"SELECT {ALL} FROM curr_raw QUALIFY {first.format(KEY)} = 1"),
         "duplicates": on_messy(
-            f"SELECT {ALL}, is_pii, 1::BIGINT AS n_removed FROM curr_s QUALIFY {first.format(KEY)} > 1"
+            f"SELECT {ALL}, is_pii, count(*) AS n_removed "
+            f"FROM (FROM curr_s QUALIFY {first.format(KEY)} > 1) GROUP BY ALL"
         ),
         "rejected_rows": on_messy(" UNION ALL ".join(
             f"SELECT '{side}' AS side, {ALL}, 'null ' || concat_ws(', ', {', '.join(null_parts)}) AS reason "
