@@ -30,6 +30,7 @@ from catadrift.config import (
     YES,
 )
 from catadrift.operators.matching import gone_tables
+from catadrift.plans.session import join_salted
 
 # Change type by the highest missing level, for keys only in the current / previous side.
 NEW_BY_LEVEL = {
@@ -60,20 +61,24 @@ def classify(keys: DataFrame, names: dict[str, DataFrame]) -> DataFrame:
     changed = keys.filter(
         "prev IS NULL OR curr IS NULL OR NOT (prev.datatype <=> curr.datatype)"
     )
-    with_pii = (
-        keys.filter(f"prev.is_pii = '{YES}' AND curr IS NULL")
-        .select(*TABLE_KEY)
-        .distinct()
-        .withColumn("table_pii", F.lit(True))
+    with_pii = keys.filter(f"prev.is_pii = '{YES}' AND curr IS NULL").selectExpr(
+        *TABLE_KEY, "CAST(NULL AS STRING) AS missing", "true AS table_pii"
+    )
+    gone = (
+        gone_tables(names)
+        .selectExpr("*", "false AS table_pii")
+        .unionByName(with_pii)
+        .groupBy(*TABLE_KEY)
+        .agg(F.expr("max(missing) AS missing"), F.expr("max(table_pii) AS table_pii"))
+        .filter("missing IS NOT NULL")
     )
-    gone = gone_tables(names).join(with_pii, TABLE_KEY, "left")
 
     def by_level(change_types: dict[str, str]) -> str:
         cases = " ".join(f"WHEN '{level}' THEN '{v}'" for level, v in change_types.items())
         return f"CASE coalesce(missing, 'column') {cases} END"
 
     return (
-        changed.join(gone, TABLE_KEY, "left")
+        join_salted(changed, gone, TABLE_KEY, "column_name")
         .selectExpr(
             *KEY, "prev", "curr",
             f"CASE WHEN prev IS NULL THEN {by_level(NEW_BY_LEVEL)} "

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from catadrift.config import DEFAULT, KEY, TABLE_KEY, DriftConfig
 from catadrift.functions import strip
 from catadrift.operators.quality import clean, complete_rows, group_by_key
+from catadrift.plans.session import join_salted
 
 # Level names with the number of key columns that identify a member of the level.
 LEVELS = {"connection": 1, "database": 2, "schema": 3, "table": 4, "column": 5}
@@ -78,8 +79,7 @@ def hierarchy(sides: DataFrame) -> dict[str, DataFrame]:
                 *level_key(parent), F.col("missing").alias("parent_missing")
             )
             names[level] = (
-                seen[level]
-                .join(gone, level_key(parent), "left")
+                join_salted(seen[level], gone, level_key(parent), level_key(level)[-1])
                 .select(
                     *level_key(level), "in_prev", "in_curr",
                     F.expr(f"coalesce(parent_missing, {own}) AS missing"),
@@ -101,11 +101,9 @@ def presence(keys: DataFrame, names: dict[str, DataFrame]) -> DataFrame:
     """
     flags = keys.selectExpr("*", "prev IS NOT NULL AS in_prev", "curr IS NOT NULL AS in_curr")
     common = flags.filter("in_prev and in_curr").selectExpr("*", "CAST(NULL AS STRING) AS missing")
-    one_sided = (
-        flags.filter("in_prev != in_curr")
-        .join(gone_tables(names), TABLE_KEY, "left")
-        .withColumn("missing", F.expr("coalesce(missing, 'column')"))
-    )
+    one_sided = join_salted(
+        flags.filter("in_prev != in_curr"), gone_tables(names), TABLE_KEY, "column_name"
+    ).withColumn("missing", F.expr("coalesce(missing, 'column')"))
     return common.unionByName(one_sided)
 
 

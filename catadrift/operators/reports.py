@@ -35,27 +35,30 @@ def annotate(
     are shown raw; duplicates and changes are found by the cleaned key. A new database marks
     the first row of each of its schemas.
 
-    Deduplication leaves the rows hashed and sorted by key, which the join makes use of.
+    Rows and marks meet in the aggregate that removes duplicates, so the snapshot is shuffled
+    once and nothing is joined.
     """
     clean_key = [f"clean_{k}" for k in KEY]
-    rest = [c for c in INVENTORY if c != "row_number"]
     cleaned = curr.select(
-        *INVENTORY, *[strip(k).alias(c) for k, c in zip(KEY, clean_key, strict=True)]
-    )
-    first = group_by_key(cleaned, clean_key).agg(
-        F.min(F.struct("row_number", *rest)).alias("first")
+        *[strip(k).alias(c) for k, c in zip(KEY, clean_key, strict=True)],
+        F.struct("row_number", *[c for c in INVENTORY if c != "row_number"]).alias("row"),
+        F.expr("CAST(NULL AS STRUCT<change_type: STRING, severity: STRING, action: STRING, fill: STRING>) AS mark"),
     )
     marks = highlight(anchored_drift, config).filter("row_number IS NOT NULL").selectExpr(
         *[f"{k} AS clean_{k}" for k in KEY[:3]],
         "anchor.table_name AS clean_table_name",
         "anchor.column_name AS clean_column_name",
-        "change_type", "severity", "action", "fill",
+        "struct(change_type, severity, action, fill) AS mark",
+    )
+    annotated = (
+        group_by_key(cleaned.unionByName(marks, allowMissingColumns=True), clean_key)
+        .agg(F.min("row").alias("row"), F.min("mark").alias("mark"))
+        .filter("row IS NOT NULL")
     )
-    marks = marks.withColumn("key_hash", F.xxhash64(*clean_key))
-    return first.join(marks, ["key_hash", *clean_key], "left").select(
+    return annotated.select(
         F.col("clean_connection").alias("connection"),
-        *[f"first.{c}" for c in INVENTORY if c != "connection"],
-        "change_type", "severity", "action", "fill",
+        *[f"row.{c}" for c in INVENTORY if c != "connection"],
+        "mark.*",
     )
 
 

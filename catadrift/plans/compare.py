@@ -12,7 +12,7 @@ from catadrift.functions import strip
 from catadrift.operators import changes as ch
 from catadrift.operators import matching, metrics, quality, reports
 from catadrift.operators.headers import connection_status, failed_connections
-from catadrift.plans.session import cut
+from catadrift.plans.session import cut, join_metadata
 from catadrift.sources import checks, sheets, sinks
 from catadrift.sources.inventory import read_inventory
 
@@ -63,7 +63,7 @@ class Comparison:
         found = ch.classify(self.keys, self.names)
         if self.failed is not None:
             failed = self.failed.select(strip("connection"))
-            found = found.join(failed, "connection", "left_anti")
+            found = join_metadata(found, failed, ["connection"], "column_name", "left_anti")
         return found
 
     def materialise(self) -> Comparison:

@@ -4,16 +4,14 @@ from __future__ import annotations
 
 import math
 import tempfile
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A side is broadcast only after it was counted and found to have no more rows than this.
 BROADCAST_ROWS = 200_000
-# Copies of the small side, and pieces of each key of the large one, when it has more.
-SALTS = 16
+# Pieces that every group of a salted join is cut into.
+SALTS = 8
 
 
 def tuning(input_bytes: int, partition_bytes: int = 192 << 20) -> dict[str, str]:
@@ -55,24 +53,42 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def join_salted(
+    rows: DataFrame, groups: DataFrame, on: list[str], salt_from: str, how: str = "left"
+) -> DataFrame:
+    """Join rows with facts on their group, of which ``groups`` has one row each.
+
+    A group may hold a large share of the rows, so the rows are cut into pieces by a hash of
+    ``salt_from`` and every piece gets a copy of the fact. The copies also give the join a
+    shuffle on either side, which is what adaptive execution needs to split a piece that is
+    still too large; where the facts turn out small it broadcasts them instead.
+
+    The key is joined as one struct. Joined column by column, snapshots partitioned by
+    connection would get a dynamic partition filter in one branch of the plan and not in the
+    others, and those would no longer share their scans and shuffles.
+    """
+    left, right = (f"struct({', '.join(on)}, {salt}) AS join_key" for salt in (
+        f"CAST(pmod(xxhash64({salt_from}), {SALTS}) AS INT) AS salt", "salt"
+    ))
+    facts = groups.selectExpr("*", f"explode(sequence(0, {SALTS - 1})) AS salt").selectExpr(
+        right, *[c for c in groups.columns if c not in on]
+    )
+    return rows.selectExpr("*", left).join(facts, "join_key", how).drop("join_key")
+
+
 def join_metadata(
-    rows: DataFrame, metadata: DataFrame, on: list[str], limit: int = BROADCAST_ROWS
+    rows: DataFrame,
+    metadata: DataFrame,
+    on: list[str],
+    salt_from: str = "row_number",
+    how: str = "inner",
+    limit: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Inner join of many rows with per-connection metadata that is unique in ``on``.
+    """Join rows with metadata of their connection or file, unique in ``on``.
 
-    Null keys match each other. Metadata is counted (it is far smaller than the rows) and
-    broadcast within ``limit``. Beyond, the join shuffles, and since one connection may hold a
-    large share of the rows, each is spread over several tasks by a salt taken from the row.
+    The metadata is counted, as it is far smaller than the rows, and broadcast if it has no
+    more than ``limit`` rows; beyond that, the join is salted.
     """
-    metadata = metadata.withColumnsRenamed({c: f"_right_{c}" for c in on})
-    condition = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in on])
     if metadata.limit(limit + 1).count() <= limit:
-        joined = rows.join(F.broadcast(metadata), condition)
-    else:
-        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-        salt = F.pmod(F.xxhash64("row_number"), F.lit(SALTS)).cast("int")
-        joined = rows.withColumn("_salt", salt).join(
-            metadata.withColumn("_right_salt", salts),
-            condition & (F.col("_salt") == F.col("_right_salt")),
-        ).drop("_salt", "_right_salt")
-    return joined.drop(*[f"_right_{c}" for c in on])
+        return rows.join(F.broadcast(metadata), on, how)
+    return join_salted(rows, metadata, on, salt_from, how)

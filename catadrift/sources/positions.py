@@ -23,23 +23,24 @@ def file_positions(df: DataFrame) -> DataFrame:
         {
             "_file": F.col("_metadata.file_path"),
             "_index": F.col("_metadata.row_index"),
-            "row_number": F.col("_metadata.row_index"),
+            # Joins do not match nulls, and a row without a connection must not get lost.
+            "_sheet": F.coalesce("connection", F.lit("")),
         }
     )
-    files = placed.groupBy("connection", "_file").agg(
+    files = placed.groupBy("_sheet", "_file").agg(
         F.min("_index").alias("_start"), (F.max("_index") - F.min("_index") + 1).alias("_span")
     )
     # As many rows as there are files of a connection.
-    before = W.partitionBy("connection").orderBy("_file").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("_sheet").orderBy("_file").rowsBetween(W.unboundedPreceding, -1)
     offsets = files.select(
-        "connection",
+        "_sheet",
         "_file",
         (F.coalesce(F.sum("_span").over(before), F.lit(0)) - F.col("_start") + 2).alias("_shift"),
     )
     return (
-        join_metadata(placed, offsets, ["connection", "_file"])
+        join_metadata(placed, offsets, ["_sheet", "_file"], "_index")
         .withColumn("row_number", F.col("_index") + F.col("_shift"))
-        .drop("_file", "_index", "_shift")
+        .drop("_sheet", "_file", "_index", "_shift")
     )
 
 
@@ -59,23 +60,24 @@ def sheet_positions(df: DataFrame, order: list[str]) -> DataFrame:
         .sortWithinPartitions("connection", *order)
         .withColumns(
             {
+                "_sheet": F.coalesce("connection", F.lit("")),
                 "_part": F.spark_partition_id(),
                 "_index": F.monotonically_increasing_id().bitwiseAND(F.lit(_IN_PARTITION)),
             }
         )
     )
-    pieces = numbered.groupBy("_part", "connection").agg(
+    pieces = numbered.groupBy("_part", "_sheet").agg(
         F.min("_index").alias("_start"), F.count("*").alias("_rows")
     )
     # A connection has at most one piece per partition.
-    before = W.partitionBy("connection").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("_sheet").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     shifts = pieces.select(
         "_part",
-        "connection",
+        "_sheet",
         (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_start") + 2).alias("_shift"),
     )
     return (
-        join_metadata(numbered.withColumn("row_number", F.col("_index")), shifts, ["_part", "connection"])
+        join_metadata(numbered, shifts, ["_part", "_sheet"], "_index")
         .withColumn("row_number", F.col("_index") + F.col("_shift"))
-        .drop("_part", "_index", "_shift")
+        .drop("_part", "_sheet", "_index", "_shift")
     )
