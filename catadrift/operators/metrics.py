@@ -52,49 +52,8 @@ def _sum(value: Column | str, condition: Column | None = None) -> Column:
     return F.coalesce(F.sum(value), F.lit(0)).cast("long")
 
 
-def side_counts(changes: DataFrame) -> DataFrame:
-    """One row of counts below new and dropped schemas of databases that are common."""
-    new, dropped = F.col("change_type") == NEW_SCHEMA, F.col("change_type") == DROPPED_SCHEMA
-    tables = (
-        changes.filter(new | dropped)
-        .groupBy("change_type", *TABLE_KEY)
-        .agg(
-            F.count_if(F.col("prev.is_pii") == YES).alias("pii"),
-            F.count_if(F.col("prev.is_pii") == NO).alias("non_pii"),
-        )
-    )
-    one = F.lit(1)
-    return tables.agg(
-        _sum(one, new).alias(SIDE_COUNTS[0]),
-        _sum(one, dropped).alias(SIDE_COUNTS[1]),
-        _sum("pii", dropped).alias(SIDE_COUNTS[2]),
-        _sum("non_pii", dropped).alias(SIDE_COUNTS[3]),
-    )
-
-
-def drift_counts(drift: DataFrame) -> DataFrame:
-    """One row with every metric as far as drift rows alone tell, and two row counts.
-
-    Distinct names are counted by aggregating level by level, each level a hash aggregate of
-    the one below; a distinct count per metric would copy every drift row for each of them.
-    """
-    flags = {
-        "yes": F.col("is_pii") == YES,
-        "no": F.col("is_pii") == NO,
-        "high": F.col("severity") == HIGH,
-        "medium": F.col("severity") == MEDIUM,
-        "low": F.col("severity") == LOW,
-    }
-    counters = ["n", *flags]
-    by_table = drift.groupBy("change_type", *TABLE_KEY).agg(
-        F.count("*").alias("n"), *[F.count_if(c).alias(k) for k, c in flags.items()]
-    )
-    by_schema = by_table.groupBy("change_type", *TABLE_KEY[:3]).agg(
-        F.count("*").alias("tables"), *[F.sum(c).alias(c) for c in counters]
-    )
-    by_database = by_schema.groupBy("change_type", *TABLE_KEY[:2]).agg(
-        F.count("*").alias("schemas"), *[F.sum(c).alias(c) for c in ("tables", *counters)]
-    )
+def _one_row(by_database: DataFrame) -> DataFrame:
+    """All metrics and side counts, from counts per change type and database."""
 
     def of(*change_types: str) -> Column:
         return F.col("change_type").isin(*change_types)
@@ -117,18 +76,107 @@ def drift_counts(drift: DataFrame) -> DataFrame:
         "LOW Severity": _sum("low"),
         "New Column Rows": _sum("n", of(NEW_COLUMN)),
         "Dropped Column Rows": _sum("n", of(DROPPED_COLUMN)),
+        SIDE_COUNTS[0]: _sum("tables", of(NEW_SCHEMA)),
+        SIDE_COUNTS[1]: _sum("tables", of(DROPPED_SCHEMA)),
+        SIDE_COUNTS[2]: _sum("below_yes", of(DROPPED_SCHEMA)),
+        SIDE_COUNTS[3]: _sum("below_no", of(DROPPED_SCHEMA)),
     }
     return by_database.agg(*[value.alias(name) for name, value in values.items()])
 
 
-def metrics(drift: DataFrame, counts: DataFrame) -> DataFrame:
-    """One row with all metrics; ``counts`` is the row of :func:`side_counts`."""
-    from_drift = drift_counts(drift)
-    names = from_drift.columns
-    from_sides = counts.select(
-        *[F.col(ADDS_TO[n]).alias(n) if n in ADDS_TO else F.lit(0).alias(n) for n in names]
+def _add_side_counts(row: DataFrame) -> DataFrame:
+    return row.withColumns(
+        {metric: F.col(f"`{metric}`") + F.col(side) for metric, side in ADDS_TO.items()}
     )
-    return from_drift.unionByName(from_sides).agg(*[_sum(f"`{n}`").alias(n) for n in names])
+
+
+def change_counts(changes: DataFrame) -> DataFrame:
+    """One row with all metrics and side counts, straight from the changed keys.
+
+    Counting level by level gives the distinct names on the way, and how many drift rows a
+    group of keys stands for follows from its counts, so the changes are read once and the
+    drift rows need not be made.
+    """
+    flag = "coalesce(curr.is_pii, prev.is_pii)"
+    dropped_table = f"change_type = '{DROPPED_TABLE}'"
+    per_schema = f"change_type IN ('{NEW_DATABASE}', '{DROPPED_DATABASE}', '{DROPPED_SCHEMA}')"
+    dropped_schema = f"change_type IN ('{DROPPED_DATABASE}', '{DROPPED_SCHEMA}')"
+    column_type = f"change_type IN ('{NEW_COLUMN}', '{DROPPED_COLUMN}')"
+    counters = ("n", "yes", "no")
+
+    by_table = (
+        changes.groupBy("change_type", *TABLE_KEY)
+        .agg(
+            F.count("*").alias("n"),
+            F.expr(f"count_if({flag} = '{YES}') AS yes"),
+            F.expr(f"count_if({flag} = '{NO}') AS no"),
+        )
+        # A dropped table is its personal data, or else a single No.
+        .selectExpr(
+            "change_type", *TABLE_KEY, "yes",
+            f"IF({dropped_table}, greatest(yes, 1), n) AS n",
+            f"IF({dropped_table}, IF(yes > 0, 0, 1), no) AS no",
+        )
+    )
+    by_schema = (
+        by_table.groupBy("change_type", *TABLE_KEY[:3])
+        .agg(F.count("*").alias("tables"), *[F.sum(c).alias(c) for c in counters])
+        .selectExpr(
+            "change_type", *TABLE_KEY[:3], "tables", "yes AS below_yes", "no AS below_no",
+            f"IF({per_schema}, 1, n) AS n",
+            f"IF({per_schema}, IF({dropped_schema} AND yes > 0, 1, 0), yes) AS yes",
+            f"IF({per_schema}, IF({dropped_schema} AND yes = 0, 1, 0), no) AS no",
+        )
+    )
+    by_database = (
+        by_schema.groupBy("change_type", *TABLE_KEY[:2])
+        .agg(
+            F.count("*").alias("schemas"),
+            *[F.sum(c).alias(c) for c in ("tables", "below_yes", "below_no", *counters)],
+        )
+        .selectExpr(
+            "*",
+            f"IF(change_type = '{NEW_DATABASE}', n, yes) AS high",
+            f"IF({column_type}, n - yes, 0) AS low",
+            f"IF({column_type} OR change_type = '{NEW_DATABASE}', 0, n - yes) AS medium",
+        )
+    )
+    return _add_side_counts(_one_row(by_database))
+
+
+def side_counts(counts: DataFrame) -> DataFrame:
+    """The counts below new and dropped schemas of databases that are common."""
+    return counts.select(*SIDE_COUNTS)
+
+
+def drift_counts(drift: DataFrame, sides: DataFrame) -> DataFrame:
+    """The same row from drift rows, such as stored ones, and the row of side counts.
+
+    Distinct names are again counted level by level; a distinct count per metric would copy
+    every drift row for each of them.
+    """
+    flags = {
+        "yes": F.col("is_pii") == YES,
+        "no": F.col("is_pii") == NO,
+        "high": F.col("severity") == HIGH,
+        "medium": F.col("severity") == MEDIUM,
+        "low": F.col("severity") == LOW,
+    }
+    counters = ["n", *flags]
+    by_table = drift.groupBy("change_type", *TABLE_KEY).agg(
+        F.count("*").alias("n"), *[F.count_if(c).alias(k) for k, c in flags.items()]
+    )
+    by_schema = by_table.groupBy("change_type", *TABLE_KEY[:3]).agg(
+        F.count("*").alias("tables"), *[F.sum(c).alias(c) for c in counters]
+    )
+    by_database = by_schema.groupBy("change_type", *TABLE_KEY[:2]).agg(
+        F.count("*").alias("schemas"), *[F.sum(c).alias(c) for c in ("tables", *counters)]
+    )
+    empty = {"below_yes": F.lit(0), "below_no": F.lit(0)}
+    from_drift = _one_row(by_database.withColumns(empty)).drop(*SIDE_COUNTS)
+    names = from_drift.columns
+    rows = from_drift.unionByName(sides.select(*SIDE_COUNTS), allowMissingColumns=True)
+    return _add_side_counts(rows.agg(*[_sum(f"`{n}`").alias(n) for n in (*names, *SIDE_COUNTS)]))
 
 
 def drift_summary(wide: DataFrame) -> DataFrame:

@@ -80,12 +80,12 @@ class Comparison:
         return rows
 
     @cached_property
-    def side_counts(self) -> DataFrame:
-        return metrics.side_counts(self.changes)
+    def metrics(self) -> DataFrame:
+        return metrics.change_counts(self.changes)
 
     @cached_property
-    def metrics(self) -> DataFrame:
-        return metrics.metrics(ch.drift_rows(self.changes), self.side_counts)
+    def side_counts(self) -> DataFrame:
+        return metrics.side_counts(self.metrics)
 
     @cached_property
     def drift_summary(self) -> DataFrame:

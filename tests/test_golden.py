@@ -4,6 +4,8 @@ import pytest
 
 from catadrift import Comparison, compare
 from catadrift.config import ACTIONS
+from catadrift.operators import metrics
+from catadrift.plans import registry
 from tests.snapshots import CURRENT, PREVIOUS, frame, golden_pair, rows
 
 DRIFT = """
@@ -67,6 +69,19 @@ def test_summary(result):
     assert [r.metric for r in found] == list(METRICS)
 
 
+def test_counts_from_drift_rows_are_the_same(result, spark):
+    again = metrics.drift_counts(result.drift, result.side_counts)
+    assert again.first().asDict() == result.metrics.first().asDict()
+    large = registry.comparison(spark, "/root/testdata/sf0.001").materialise()
+    again = metrics.drift_counts(large.drift, large.side_counts)
+    assert again.first().asDict() == large.metrics.first().asDict()
+
+
+def test_counts_of_no_drift(spark):
+    prev, _ = golden_pair(spark)
+    assert set(Comparison(prev, prev).metrics.first()) == {0}
+
+
 def test_status(result):
     assert tuple(result.run_status.first()) == (17, 0, 1)
 
