@@ -12,7 +12,6 @@ import logging
 import sys
 from datetime import datetime
 
-from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 from catadrift.config import RUN_FAILED
@@ -39,8 +38,9 @@ def run(arguments: list[str], spark: SparkSession | None = None) -> int:
                 spark, args.previous, args.current, args.format, comparison_ts=stamp
             )
         return found.write(args.output)
-    except (ValueError, PySparkException) as error:
-        log.error("%s", error)
+    except Exception:
+        # Whatever went wrong, a pipeline is to see a failed run and not a drift.
+        log.exception("comparison failed")
         return RUN_FAILED
 
 
