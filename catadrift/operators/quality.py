@@ -65,25 +65,26 @@ def clean(df: DataFrame, mode: str = "all", config: DriftConfig = DEFAULT) -> Da
 def duplicates(df: DataFrame) -> DataFrame:
     """The rows that :func:`dedup_first` removes, with how often each was there.
 
-    Only keys with more than one row are looked at again, and no task has to hold all the
-    copies of a key: equal rows are counted first, then compared with the one that is kept.
+    Only keys with more than one row find a partner in the join. The copies of a key need no
+    order among themselves, so adaptive execution may split a key that has very many.
     """
-    rest = [c for c in df.columns if c not in KEY]
-    content = ["row_number", *[c for c in rest if c != "row_number"]]
+    content = ["row_number", *[c for c in df.columns if c not in (*KEY, "row_number")]]
     kept = (
         df.groupBy(*KEY)
         .agg(F.min(F.struct(*content)).alias("kept"), F.count("*").alias("n_rows"))
         .filter("n_rows > 1")
         .select(*[F.col(k).alias(f"kept_{k}") for k in KEY], "kept")
     )
-    copies = df.groupBy(*df.columns).agg(F.count("*").alias("n_rows"))
     same_key = reduce(
         lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"kept_{k}")) for k in KEY]
     )
-    removed = F.col("n_rows") - F.struct(*content).eqNullSafe(F.col("kept")).cast("long")
+    is_kept = F.struct(*content).eqNullSafe(F.col("kept")).alias("is_kept")
     return (
-        copies.join(kept, same_key)
-        .select(*df.columns, removed.alias("n_removed"))
+        df.join(kept, same_key)
+        .select(*df.columns, is_kept)
+        .groupBy(*df.columns, "is_kept")
+        .agg(F.count("*").alias("n_rows"))
+        .selectExpr(*df.columns, "n_rows - IF(is_kept, 1, 0) AS n_removed")
         .filter("n_removed > 0")
     )
 

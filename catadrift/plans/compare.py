@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catadrift.config import DEFAULT, DRIFT, INVENTORY, DriftConfig
+from catadrift.config import DEFAULT, DRIFT, INVENTORY, NO_DRIFT, DriftConfig
 from catadrift.functions import strip
 from catadrift.operators import changes as ch
 from catadrift.operators import matching, metrics, quality, reports
@@ -20,24 +20,36 @@ from catadrift.sources.inventory import read_inventory
 class Comparison:
     """Results of comparing two inventories; each attribute is a lazy DataFrame.
 
-    ``failed`` names connections to leave out, as :func:`headers.failed_connections` finds
-    them. ``comparison_ts`` stamps the drift rows of a run.
+    ``status`` is what :func:`headers.connection_status` found; connections that failed are
+    left out whole. ``comparison_ts`` stamps the drift rows of a run.
     """
 
     def __init__(
         self,
         prev: DataFrame,
         curr: DataFrame,
-        failed: DataFrame | None = None,
+        status: DataFrame | None = None,
         comparison_ts: str | None = None,
         config: DriftConfig = DEFAULT,
     ) -> None:
         self.prev = prev.select(*INVENTORY)
         self.curr = curr.select(*INVENTORY)
-        self.failed = failed
+        self.status = status
         self.comparison_ts = comparison_ts
         self.config = config
 
+    @cached_property
+    def connection_status(self) -> DataFrame:
+        """Every connection on both sides, whether it was compared, and why not."""
+        if self.status is not None:
+            return self.status.withColumn("connection", strip("connection"))
+        common = matching.common_connections(self.prev, self.curr)
+        return common.selectExpr("connection", "'ok' AS status", "'' AS reason")
+
+    @cached_property
+    def failed(self) -> DataFrame | None:
+        return None if self.status is None else failed_connections(self.connection_status)
+
     @cached_property
     def sides(self) -> DataFrame:
         return matching.both_sides(self.prev, self.curr, self.config)
@@ -62,8 +74,9 @@ class Comparison:
         """Changed keys; failed connections go last, when only drift is left to filter."""
         found = ch.classify(self.keys, self.names)
         if self.failed is not None:
-            failed = self.failed.select(strip("connection"))
-            found = join_metadata(found, failed, ["connection"], "column_name", "left_anti")
+            found = join_metadata(
+                found, self.failed, ["connection"], "column_name", "left_anti"
+            )
         return found
 
     def materialise(self) -> Comparison:
@@ -107,7 +120,8 @@ class Comparison:
     @cached_property
     def rejected_rows(self) -> DataFrame:
         def side(df: DataFrame, name: str) -> DataFrame:
-            rows = quality.rejected_rows(quality.clean(df, "strip", self.config))
+            # Filtered as they are, so that the filter reaches the source.
+            rows = quality.clean(quality.rejected_rows(df), "strip", self.config)
             return rows.select(F.lit(name).alias("side"), *INVENTORY, "reason")
 
         return side(self.prev, "prev").unionByName(side(self.curr, "curr"))
@@ -119,33 +133,34 @@ class Comparison:
     def write(self, path: str, fmt: str = "parquet") -> int:
         """Write all results below ``path`` and return the run status.
 
-        The changed keys are computed once and every data set starts from them. Without
-        drift only failed connections and rejected rows are written, if there are any.
+        The changed keys are computed once and every data set starts from them. Rejected rows
+        are written if there are any; the rest, if there is drift or a connection failed.
         """
         self.materialise()
-        for df, name in ((self.failed, "failed_connections"), (self.rejected_rows, "rejected_rows")):
-            if df is not None and not df.isEmpty():
-                df.write.mode("overwrite").format(fmt).save(f"{path}/{name}")
-        status = self.run_status.first()
-        if status["drift_rows"] > 0:
+        if not self.rejected_rows.isEmpty():
+            sinks.write_by_connection(self.rejected_rows, f"{path}/rejected_rows", fmt)
+        result = self.run_status.first()
+        if result["status"] != NO_DRIFT:
+            sinks.write_plain(self.connection_status, f"{path}/connection_status", fmt)
+        if result["drift_rows"] > 0:
             annotated = reports.annotated_report(self.annotated_inventory, self.dropped_section)
             sinks.write_by_connection(self.drift, f"{path}/drift", fmt)
             sinks.write_by_connection(annotated, f"{path}/annotated_inventory", fmt)
             sinks.write_by_connection(self.critical_changes, f"{path}/critical_changes", fmt)
-            sinks.write_small(self.drift_summary, f"{path}/drift_summary", fmt)
-        return status["status"]
+            sinks.write_plain(self.drift_summary, f"{path}/drift_summary", fmt)
+        return result["status"]
 
 
 def compare(
     prev: DataFrame,
     curr: DataFrame,
-    failed: DataFrame | None = None,
+    status: DataFrame | None = None,
     comparison_ts: str | None = None,
     config: DriftConfig = DEFAULT,
 ) -> Comparison:
     """Compare two inventories that have at least one connection in common."""
     checks.check_connections(prev, curr)
-    return Comparison(prev, curr, failed, comparison_ts, config)
+    return Comparison(prev, curr, status, comparison_ts, config)
 
 
 def compare_sheets(
@@ -157,8 +172,8 @@ def compare_sheets(
 ) -> Comparison:
     """Compare two folders of CSV sheets whose headers differ from connection to connection.
 
-    Connections whose headers cannot be resolved on either side are left out whole and listed
-    in ``failed``; the run status then tells that the run was partial.
+    Connections whose headers cannot be resolved on either side are left out whole, and the
+    run status tells that the run was partial.
     """
     checks.check_locations(previous, current, "csv")
     headers = [sheets.csv_sheet_headers(spark, path) for path in (previous, current)]
@@ -166,12 +181,12 @@ def compare_sheets(
     checks.check_connections(*bodies)
     checks.check_headers(*bodies, headers[0])
     stripped = [h.withColumn("connection", strip("connection")) for h in headers]
-    failed = failed_connections(connection_status(*stripped, config))
+    status = connection_status(*stripped, config)
     prev, curr = (
         sheets.sheet_inventory(body, head, config)
         for body, head in zip(bodies, headers, strict=True)
     )
-    return Comparison(prev, curr, failed, comparison_ts, config)
+    return Comparison(prev, curr, status, comparison_ts, config)
 
 
 def compare_locations(

@@ -20,6 +20,6 @@ def write_by_connection(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     )
 
 
-def write_small(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Write a result of a fixed, small number of rows."""
-    df.coalesce(1).write.mode("overwrite").format(fmt).save(path)
+def write_plain(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Write a summary or one row per connection."""
+    df.write.mode("overwrite").format(fmt).save(path)

@@ -108,6 +108,10 @@ def test_annotation_keeps_all_connections_and_drops_duplicates(result):
     assert (unknown.severity, unknown.fill, unknown.is_pii_raw) == ("LOW", None, "unk")
 
 
+def test_connections_are_ok_without_header_rows(result):
+    assert [tuple(r) for r in result.connection_status.collect()] == [("CRM", "ok", "")]
+
+
 def test_rejected_rows_are_listed_and_no_drift(spark):
     data = rows(CURRENT)
     broken = [
@@ -135,7 +139,10 @@ def test_null_datatypes(spark):
 
 def test_failed_connections_are_left_out_whole(spark):
     prev, curr = golden_pair(spark)
-    failed = spark.createDataFrame([(" CRM",)], "connection STRING")
-    result = Comparison(prev, curr, failed)
+    status = spark.createDataFrame(
+        [(" CRM", "failed", "curr lacks Schema"), ("B", "ok", "")],
+        "connection STRING, status STRING, reason STRING",
+    )
+    result = Comparison(prev, curr, status)
     assert result.drift.isEmpty()
     assert tuple(result.run_status.first()) == (0, 1, 3)

@@ -192,7 +192,8 @@ def test_command_line_errors_and_partial_runs(spark, tmp_path, sheet_folders):
     assert run([prev, prev, out], spark) == 2
     assert run([prev, str(tmp_path / "none"), out], spark) == 2
     assert run([prev, curr, out, "--format", "sheets"], spark) == 3
-    assert [r.connection for r in spark.read.parquet(f"{out}/failed_connections").collect()] == ["BAD"]
+    status = spark.read.parquet(f"{out}/connection_status").collect()
+    assert {r.connection: r.status for r in status} == {"CRM": "ok", "BAD": "failed"}
 
 
 def test_a_large_connection_is_written_by_several_tasks(spark, tmp_path):
