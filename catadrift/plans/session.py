@@ -10,26 +10,32 @@ from pyspark.sql import functions as F
 
 # A side is broadcast only after it was counted and found to have no more rows than this.
 BROADCAST_ROWS = 200_000
+MAX_PARTITIONS = 50_000
 # Pieces that every group of a salted join is cut into.
 SALTS = 8
 
 
-def tuning(input_bytes: int, partition_bytes: int = 192 << 20) -> dict[str, str]:
+def tuning(input_bytes: int) -> dict[str, str]:
     """Session settings for snapshots of a given total size.
 
-    The one full-size shuffle carries about the input, so its partitions are the input cut
-    into pieces that fit an executor core; adaptive execution merges them where they turn out
-    small and splits them where one join key is hot. Methods too long for the JVM's compiler
-    are not fused, since it would run them interpreted.
+    Splits and shuffle partitions of half a gigabyte suit an executor core. A shuffle has a
+    block for every pair of split and partition, though, so very large inputs get larger
+    splits and a bounded number of partitions instead: at 100 TB 102,400 splits of 1 GB and
+    50,000 partitions of 2 GB, which sorted aggregates work off by spilling.
+
+    Adaptive execution merges partitions that turn out small and splits those of a hot join
+    key. Methods too long for the JVM's compiler are not fused, since it would run them
+    interpreted.
     """
-    partitions = max(8, math.ceil(input_bytes / partition_bytes))
+    split = (512 << 20) if input_bytes < (10 << 40) else (1 << 30)
+    partitions = min(MAX_PARTITIONS, max(8, math.ceil(input_bytes / (512 << 20))))
     return {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
         "spark.sql.shuffle.partitions": str(partitions),
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
-        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 << 20),
+        "spark.sql.files.maxPartitionBytes": str(split),
         "spark.sql.codegen.hugeMethodLimit": "8000",
     }
 
