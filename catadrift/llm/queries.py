@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import lines
+from . import lines, repeats
 
-MODULES = {"op1_line_dedup": lines}
+MODULES = {"op1_line_dedup": lines, "op3_suffix_repeats": repeats}
 
 
 def queries() -> dict:
