@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import lines, repeats
+from . import leaks, lines, repeats
 
-MODULES = {"op1_line_dedup": lines, "op3_suffix_repeats": repeats}
+MODULES = {"op1_line_dedup": lines, "op3_suffix_repeats": repeats, "op9_benchmark_leaks": leaks}
 
 
 def queries() -> dict:
