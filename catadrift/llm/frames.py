@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -72,3 +74,9 @@ def ids(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     return np.asarray(column.cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False))
+
+
+def scratch(spark: SparkSession, stem: str) -> str:
+    """A path for a written table that doesn't exist yet, in the folder that all executors share."""
+    checkpoint_folder(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{stem}-{uuid.uuid4().hex}"
