@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import credentials, leaks, lines, neighbours, repeats, tokens, warc
+from . import credentials, leaks, lines, neighbours, repeats, similar, tokens, warc
 
-MODULES = {"op1_line_dedup": lines, "op2_hilbert_neighbours": neighbours, "op3_suffix_repeats": repeats, "op5_warc_archive": warc, "op7_bpe_tokens": tokens, "op9_benchmark_leaks": leaks, "op10_secret_scan": credentials}
+MODULES = {"op1_line_dedup": lines, "op2_hilbert_neighbours": neighbours, "op3_suffix_repeats": repeats, "op4_jaccard_join": similar, "op5_warc_archive": warc, "op7_bpe_tokens": tokens, "op9_benchmark_leaks": leaks, "op10_secret_scan": credentials}
 
 
 def queries() -> dict:
