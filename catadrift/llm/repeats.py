@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .frames import blocks, fresh, ids, packed, partitions, unpacked
-from .texts import Spans, byte_values, flat, mix
+from .texts import Spans, byte_values, flat, mix, text_lots
 
 LENGTH, GRAM = 100, 40
-BLOCKS_PER_PARTITION = 4
+BLOCKS_PER_PARTITION = 2
 ALONE, COVERED, OPEN = 0, 1, 2
 
 
@@ -61,28 +61,33 @@ class Runs:
     """The windows of a block of texts, as runs that share an anchor, in text order."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
+        parts = [self._lot(data, offsets, a, b, length, gram) for a, b in text_lots(offsets)]
+        if not parts:
+            parts = [(*[np.zeros(0, np.int64)] * 3, *[np.zeros(0, np.uint64)] * 2)]
+        self.first, self.last, self.doc, self.anchor, self.context = (np.concatenate(x) for x in zip(*parts, strict=True))
+
+    @staticmethod
+    def _lot(data: np.ndarray, offsets: np.ndarray, a: int, b: int, length: int, gram: int) -> tuple[np.ndarray, ...]:
+        """The runs of texts a to b - 1."""
+        base, offsets = offsets[a], offsets[a : b + 1] - offsets[a]
         sizes = np.diff(offsets)
-        self.first = self.last = self.doc = np.zeros(0, np.int64)
-        self.anchor = self.context = np.zeros(0, np.uint64)
-        if not len(sizes) or sizes.max(initial=0) < length:
-            return
-        spans = Spans(data, byte_values())
+        long = sizes >= length
+        if not long.any():
+            return *[np.zeros(0, np.int64)] * 3, *[np.zeros(0, np.uint64)] * 2
+        spans = Spans(data[base : base + offsets[-1]], byte_values())
         grams = spans.fixed(gram)
         place = np.arange(len(grams), dtype=np.uint64)
         least = sliding_min((grams & np.uint64(0xFFFFFFFF00000000)) | place, length - gram + 1)
-        valid = np.zeros(len(data) + 1, np.int32)
-        long = sizes >= length
+        valid = np.zeros(offsets[-1] + 1, np.int32)
         np.add.at(valid, offsets[:-1][long], 1)
         np.add.at(valid, offsets[1:][long] - length + 1, -1)
         start = np.flatnonzero(np.cumsum(valid[: len(least)]))
         anchor = (least[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         cut = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
-        end = np.r_[cut[1:], len(start)] - 1
-        self.first, self.last, anchor = start[cut], start[end], anchor[cut]
-        self.doc = np.searchsorted(offsets, self.first, side="right") - 1
-        self.anchor = grams[anchor]
-        shape = ((anchor - self.first) << 32 | (self.last - self.first)).astype(np.uint64)
-        self.context = mix(spans.hash(self.first, self.last + length) + mix(shape + np.uint64(1)))
+        first, last, anchor = start[cut], start[np.r_[cut[1:], len(start)] - 1], anchor[cut]
+        shape = ((anchor - first) << 32 | (last - first)).astype(np.uint64)
+        context = mix(spans.hash(first, last + length) + mix(shape + np.uint64(1)))
+        return first + base, last + base, a + np.searchsorted(offsets, first, side="right") - 1, grams[anchor], context
 
     def firsts(self) -> np.ndarray:
         """Runs whose anchor and context no earlier run of the block has."""
@@ -231,9 +236,10 @@ def mark(table: pa.Table) -> pa.Table:
     marks = np.zeros(len(anchor), np.uint8)
     marks[order] = np.where(~new_context, COVERED, np.where(several, OPEN, ALONE))
     edges = np.r_[0, np.cumsum(lengths)]
+    told = [(i, x, y) for i, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if marks[x:y].any()]
+    shard, block = table["shard"].to_pylist(), table["block"].to_pylist()
     return _table(
-        MARKS, shard=table["shard"].to_pylist(), block=table["block"].to_pylist(),
-        marks=[marks[x:y].tobytes() for x, y in zip(edges[:-1], edges[1:], strict=True)],
+        MARKS, shard=[shard[i] for i, _, _ in told], block=[block[i] for i, _, _ in told], marks=[marks[x:y].tobytes() for _, x, y in told]
     )
 
 

@@ -10,8 +10,8 @@ import numpy as np
 import pyarrow as pa
 
 BASE = 0x9E3779B97F4A7C15 | 1
-#: Positions per piece of the running sums.
-PIECE = 1 << 16
+#: Texts are worked on in lots of about so many bytes; a longer text is a lot of its own.
+LOT_BYTES = 2_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -79,6 +79,16 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def text_lots(offsets: np.ndarray, size: int = LOT_BYTES) -> list[tuple[int, int]]:
+    """Ranges of consecutive texts (from, to) of about `size` bytes."""
+    out, begin = [], 0
+    while begin < len(offsets) - 1:
+        end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + size, side="right")) - 1)
+        out.append((begin, end))
+        begin = end
+    return out
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and document of every maximal run of bytes outside space and 0x09-0x0D."""
     solid = (data != 32) & ((data < 9) | (data > 13))
@@ -117,3 +127,14 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarr
     fresh = np.ones(len(out), bool)
     fresh[1:] = (owner[1:] != owner[:-1]) | (out[1:] != out[:-1])
     return owner[fresh], out[fresh]
+
+
+def letters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and document of every maximal run of ASCII letters and bytes of further characters."""
+    solid = (data >= 128) | ((data | 32) >= 97) & ((data | 32) <= 122)
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True  # a run ends where its document does
+    before = np.r_[False, solid[:-1]] & ~edge[: len(data)]
+    after = np.r_[solid[1:], False] & ~edge[1:]
+    start, end = np.flatnonzero(solid & ~before), np.flatnonzero(solid & ~after) + 1
+    return start, end, np.searchsorted(offsets, start, side="right") - 1
