@@ -199,6 +199,15 @@ def dedup_lines(
     return dealt.groupBy(block).cogroup(hits.groupBy(block)).applyInArrow(_drop(text, key, block, total, dropped, min_chars), schema)
 
 
+def clean(docs: DataFrame, text: str = "text", key: str = "doc_id", length: str = "n_chars") -> DataFrame:
+    """The documents with their columns only, `length` brought up to date where lines were dropped."""
+    total, dropped = fresh(docs, "n_lines"), fresh(docs, "n_dropped")
+    done = dedup_lines(docs, text, key, total=total, dropped=dropped)
+    if length in docs.columns:
+        done = done.withColumn(length, F.when(F.col(dropped) > 0, F.length(text).cast(dict(docs.dtypes)[length])).otherwise(F.col(length)))
+    return done.select(*docs.columns)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     done = dedup_lines(docs)

@@ -25,8 +25,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import fresh
-
 TOKENIZER = "byte_bpe_50k.json"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NONE = np.int64(1 << 62)
@@ -186,18 +184,21 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
     return rows.mapInArrow(run, T.StructType(fields))
 
 
-def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: key, n_tokens, ids_sha256, decoded_sha256."""
-    docs = docs.select(F.col(key), F.col(text))
-    ids, back = fresh(docs, "ids"), fresh(docs, "decoded")
-    done = decode(encode(docs, path, text, ids), path, ids, back)
+def default_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+def tokenised(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per document: key, ids (little-endian unsigned 32-bit integers), n_tokens, ids_sha256, and the decoded text's digest."""
+    docs = docs.select(F.col(key), F.col(text).alias("text_to_encode"))
+    done = decode(encode(docs, path, "text_to_encode"), path)
     return done.select(
-        key, (F.octet_length(ids) / 4).cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
-        F.sha2(F.col(back).cast("binary"), 256).alias("decoded_sha256"),
+        key, "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path(TOKENIZER))
+    return tokenised(spark.read.parquet(f"{sf_dir}/documents.parquet"), default_path()).drop("ids")
