@@ -1,6 +1,10 @@
 """Command line: compare two snapshots, write the results, exit with the run status.
 
     python -m catadrift PREVIOUS CURRENT OUTPUT [--format parquet|csv|json|orc|table|sheets]
+        [--connection NAME] [--option KEY=VALUE ...] [--checkpoint FOLDER]
+
+The session gets settings that suit the size of the input; spark.checkpoint.dir or --checkpoint names the folder for the
+changed keys, which Spark removes once they are no longer needed.
 
 Exit status: 0 no drift, 1 drift, 2 error, 3 some connections failed.
 """
@@ -16,6 +20,7 @@ from pyspark.sql import SparkSession
 
 from catadrift.config import RUN_FAILED
 from catadrift.plans.compare import compare_locations, compare_sheets
+from catadrift.plans.session import input_bytes, tune
 from catadrift.sources.inventory import FORMATS
 
 log = logging.getLogger("catadrift")
@@ -27,15 +32,25 @@ def run(arguments: list[str], spark: SparkSession | None = None) -> int:
     parser.add_argument("current")
     parser.add_argument("output")
     parser.add_argument("--format", choices=(*FORMATS, "sheets"), default="parquet")
+    parser.add_argument("--connection", help="name of the connection, for sources without such a column")
+    parser.add_argument("--option", action="append", default=[], metavar="KEY=VALUE", help="an option of Spark's reader")
+    parser.add_argument("--checkpoint", help="folder that all executors can reach")
     args = parser.parse_args(arguments)
-    spark = spark or SparkSession.builder.appName("catadrift").getOrCreate()
+    builder = SparkSession.builder.appName("catadrift").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+    spark = spark or builder.getOrCreate()
     stamp = f"{datetime.now():%Y-%m-%d %H:%M:%S}"
     try:
+        if args.checkpoint:
+            spark.sparkContext.setCheckpointDir(args.checkpoint)
+        if args.format != "table":
+            tune(spark, input_bytes(spark, args.previous, args.current))
         if args.format == "sheets":
             found = compare_sheets(spark, args.previous, args.current, comparison_ts=stamp)
         else:
+            options = dict(x.split("=", 1) for x in args.option)
             found = compare_locations(
-                spark, args.previous, args.current, args.format, comparison_ts=stamp
+                spark, args.previous, args.current, args.format, comparison_ts=stamp,
+                connection=args.connection, **options,
             )
         return found.write(args.output)
     except Exception:

@@ -1,7 +1,8 @@
 """Finding the standard columns of a sheet among headers of any spelling.
 
 Headers come as rows ``(connection, pos, header)``, so all connections are resolved in one
-job, whatever their number and however their headers differ.
+job, whatever their number and however their headers differ. With a further column ``file``,
+each file of a connection is a sheet with headers of its own.
 """
 
 from __future__ import annotations
@@ -13,6 +14,10 @@ from catadrift.config import DEFAULT, DriftConfig
 from catadrift.functions import strip
 
 
+def _sheet(headers: DataFrame) -> list[str]:
+    return ["connection", "file"] if "file" in headers.columns else ["connection"]
+
+
 def header_map(headers: DataFrame, config: DriftConfig = DEFAULT) -> DataFrame:
     """The header standing for each standard name: the first one its pattern occurs in.
 
@@ -21,7 +26,7 @@ def header_map(headers: DataFrame, config: DriftConfig = DEFAULT) -> DataFrame:
     text = F.lower(strip("header"))
     entry = F.struct("pos", F.col("header").alias("actual_name"))
     patterns = config.header_patterns
-    found = headers.groupBy("connection").agg(
+    found = headers.groupBy(*_sheet(headers)).agg(
         *[F.min(F.when(text.rlike(p), entry)).alias(name) for name, p in patterns.items()]
     )
     rows = [
@@ -33,7 +38,7 @@ def header_map(headers: DataFrame, config: DriftConfig = DEFAULT) -> DataFrame:
         )
         for ord_, name in enumerate(patterns, 1)
     ]
-    return found.select("connection", F.inline(F.array(*rows)))
+    return found.select(*_sheet(headers), F.inline(F.array(*rows)))
 
 
 def header_rename(headers: DataFrame, config: DriftConfig = DEFAULT) -> DataFrame:
@@ -42,23 +47,24 @@ def header_rename(headers: DataFrame, config: DriftConfig = DEFAULT) -> DataFram
     Where several standard names claim one header, the last of them has it; a header that is
     its standard name already needs no renaming and so claims nothing.
     """
+    keys = _sheet(headers)
     claims = (
         header_map(headers, config)
         .filter("pos is not null and actual_name != standard_name")
-        .groupBy("connection", "pos")
+        .groupBy(*keys, "pos")
         .agg(F.max(F.struct("ord", "standard_name")).alias("claim"))
-        .select("connection", "pos", F.col("claim.standard_name").alias("claimed"))
+        .select(*keys, "pos", F.col("claim.standard_name").alias("claimed"))
     )
-    return headers.join(claims, ["connection", "pos"], "left").select(
-        "connection", "pos", "header", F.coalesce("claimed", "header").alias("new_name")
+    return headers.join(claims, [*keys, "pos"], "left").select(
+        *keys, "pos", "header", F.coalesce("claimed", "header").alias("new_name")
     )
 
 
 def _standard_counts(headers: DataFrame, config: DriftConfig) -> DataFrame:
-    """Per connection, how many columns bear each standard name after renaming."""
+    """Per sheet, how many columns bear each standard name after renaming."""
     return (
         header_rename(headers, config)
-        .groupBy("connection")
+        .groupBy(*_sheet(headers))
         .agg(
             *[F.count_if(F.col("new_name") == name).alias(name) for name in config.header_patterns]
         )
@@ -74,7 +80,7 @@ def header_conflicts(headers: DataFrame, config: DriftConfig = DEFAULT) -> DataF
     kind = F.when(F.col("n_columns") == 0, "missing").otherwise("doubled")
     return (
         _standard_counts(headers, config)
-        .select("connection", F.inline(F.array(*rows)))
+        .select(*_sheet(headers), F.inline(F.array(*rows)))
         .filter("n_columns != 1")
         .withColumn("conflict", kind)
     )
@@ -86,13 +92,16 @@ def connection_status(
     """Whether each connection on both sides can be compared, and why not."""
 
     def side(headers: DataFrame, name: str) -> DataFrame:
-        counts = _standard_counts(headers, config)
+        counts = _standard_counts(headers, config).groupBy("connection").agg(*[
+            F.struct(F.min(std).alias("low"), F.max(std).alias("high")).alias(std)
+            for std in config.header_patterns
+        ])
         return counts.select("connection", F.struct(*config.header_patterns).alias(name))
 
     def problems(name: str) -> list[Column]:
         return [
-            F.when(F.col(f"{name}.{std}") == 0, f"{name} lacks {std}").when(
-                F.col(f"{name}.{std}") > 1, f"{name} doubles {std}"
+            F.when(F.col(f"{name}.{std}.low") == 0, f"{name} lacks {std}").when(
+                F.col(f"{name}.{std}.high") > 1, f"{name} doubles {std}"
             )
             for std in config.header_patterns
         ]

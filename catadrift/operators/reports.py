@@ -35,29 +35,29 @@ def annotate(
     are shown raw; duplicates and changes are found by the cleaned key. A new database marks
     the first row of each of its schemas.
 
-    Rows and marks meet in the aggregate that removes duplicates, so the snapshot is shuffled
-    once and nothing is joined.
+    The snapshot is shuffled once, to remove duplicates. The marks are as few as the changes
+    and have a row of their own each, so that joining them meets no hot key.
     """
     clean_key = [f"clean_{k}" for k in KEY]
+    kept = [c for c in curr.columns if c not in ("connection", "row_number")]
     cleaned = curr.select(
         *[strip(k).alias(c) for k, c in zip(KEY, clean_key, strict=True)],
-        F.struct("row_number", *[c for c in INVENTORY if c != "row_number"]).alias("row"),
-        F.expr("CAST(NULL AS STRUCT<change_type: STRING, severity: STRING, action: STRING, fill: STRING>) AS mark"),
-    )
-    marks = highlight(anchored_drift, config).filter("row_number IS NOT NULL").selectExpr(
-        *[f"{k} AS clean_{k}" for k in KEY[:3]],
-        "anchor.table_name AS clean_table_name",
-        "anchor.column_name AS clean_column_name",
-        "struct(change_type, severity, action, fill) AS mark",
-    )
-    annotated = (
-        group_by_key(cleaned.unionByName(marks, allowMissingColumns=True), clean_key)
-        .agg(F.min("row").alias("row"), F.min("mark").alias("mark"))
-        .filter("row IS NOT NULL")
+        F.struct("row_number", *kept).alias("row"),
     )
+    first = group_by_key(cleaned, clean_key).agg(F.min("row").alias("row"))
+    marks = highlight(anchored_drift, config).filter("row_number IS NOT NULL").select(
+        F.struct(
+            *[F.col(k).alias(k) for k in KEY[:3]], F.col("anchor.table_name").alias(KEY[3]), F.col("anchor.column_name").alias(KEY[4])
+        ).alias("key"),
+        F.struct("change_type", "severity", "action", "fill").alias("mark"),
+    ).groupBy("key").agg(F.min("mark").alias("mark"))
+    whole = F.struct(*[F.col(c).alias(k) for k, c in zip(KEY, clean_key, strict=True)])
+    # only a full key can have a mark
+    annotated = first.withColumn("key", whole).join(marks, "key", "left")
     return annotated.select(
         F.col("clean_connection").alias("connection"),
         *[f"row.{c}" for c in INVENTORY if c != "connection"],
+        *[f"row.{c}" for c in kept if c not in INVENTORY],
         "mark.*",
     )
 
@@ -75,7 +75,7 @@ def annotated_report(annotated: DataFrame, dropped: DataFrame) -> DataFrame:
         "row_number", F.lit(None).cast("long")
     )
     return annotated.withColumn("row_kind", F.lit("inventory")).unionByName(
-        below.withColumn("row_kind", F.lit("dropped"))
+        below.withColumn("row_kind", F.lit("dropped")), allowMissingColumns=True
     )
 
 

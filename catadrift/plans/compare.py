@@ -7,12 +7,12 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catadrift.config import DEFAULT, DRIFT, INVENTORY, NO_DRIFT, DriftConfig
+from catadrift.config import DEFAULT, DRIFT, INVENTORY, DriftConfig
 from catadrift.functions import strip
 from catadrift.operators import changes as ch
 from catadrift.operators import matching, metrics, quality, reports
 from catadrift.operators.headers import connection_status, failed_connections
-from catadrift.plans.session import cut, join_metadata
+from catadrift.plans.session import cut, join_salted
 from catadrift.sources import checks, sheets, sinks
 from catadrift.sources.inventory import read_inventory
 
@@ -21,7 +21,8 @@ class Comparison:
     """Results of comparing two inventories; each attribute is a lazy DataFrame.
 
     ``status`` is what :func:`headers.connection_status` found; connections that failed are
-    left out whole. ``comparison_ts`` stamps the drift rows of a run.
+    left out whole. ``comparison_ts`` stamps the drift rows of a run. A ``further`` column of
+    the current inventory, with what else its sheets hold, is kept in the annotated copy.
     """
 
     def __init__(
@@ -33,7 +34,7 @@ class Comparison:
         config: DriftConfig = DEFAULT,
     ) -> None:
         self.prev = prev.select(*INVENTORY)
-        self.curr = curr.select(*INVENTORY)
+        self.curr = curr.select(*INVENTORY, *[c for c in curr.columns if c == "further"])
         self.status = status
         self.comparison_ts = comparison_ts
         self.config = config
@@ -74,7 +75,7 @@ class Comparison:
         """Changed keys; failed connections go last, when only drift is left to filter."""
         found = ch.classify(self.keys, self.names)
         if self.failed is not None:
-            found = join_metadata(
+            found = join_salted(
                 found, self.failed, ["connection"], "column_name", "left_anti"
             )
         return found
@@ -130,25 +131,36 @@ class Comparison:
     def run_status(self) -> DataFrame:
         return reports.run_status(self.drift, self.failed)
 
+    @cached_property
+    def reports(self) -> dict[str, DataFrame]:
+        """All data sets of a run by name."""
+        return {
+            "connection_status": self.connection_status,
+            "rejected_rows": self.rejected_rows,
+            "drift": self.drift,
+            "annotated_inventory": reports.annotated_report(self.annotated_inventory, self.dropped_section),
+            "critical_changes": self.critical_changes,
+            "critical_table": reports.critical_table(self.drift, self.config),
+            "drift_summary": self.drift_summary,
+            "change_totals": metrics.change_totals(self.metrics),
+            "bars_by_change": metrics.bars_by_change(self.metrics),
+            "bars_by_severity": metrics.bars_by_severity(self.metrics),
+            "drift_by_connection": reports.drift_by_connection(self.drift),
+            "run_status": self.run_status,
+        }
+
     def write(self, path: str, fmt: str = "parquet") -> int:
-        """Write all results below ``path`` and return the run status.
+        """Write all data sets below ``path``, the empty ones too, and return the run status.
 
-        The changed keys are computed once and every data set starts from them. Rejected rows
-        are written if there are any; the rest, if there is drift or a connection failed.
+        The changed keys are computed once and every data set starts from them. What an earlier
+        run wrote to the same path is replaced.
         """
         self.materialise()
-        if not self.rejected_rows.isEmpty():
-            sinks.write_by_connection(self.rejected_rows, f"{path}/rejected_rows", fmt)
-        result = self.run_status.first()
-        if result["status"] != NO_DRIFT:
-            sinks.write_plain(self.connection_status, f"{path}/connection_status", fmt)
-        if result["drift_rows"] > 0:
-            annotated = reports.annotated_report(self.annotated_inventory, self.dropped_section)
-            sinks.write_by_connection(self.drift, f"{path}/drift", fmt)
-            sinks.write_by_connection(annotated, f"{path}/annotated_inventory", fmt)
-            sinks.write_by_connection(self.critical_changes, f"{path}/critical_changes", fmt)
-            sinks.write_plain(self.drift_summary, f"{path}/drift_summary", fmt)
-        return result["status"]
+        by_connection = {"rejected_rows", "drift", "annotated_inventory", "critical_changes"}
+        for name, df in self.reports.items():
+            write = sinks.write_by_connection if name in by_connection else sinks.write_plain
+            write(df, f"{path}/{name}", fmt)
+        return self.run_status.first()["status"]
 
 
 def compare(
@@ -176,12 +188,13 @@ def compare_sheets(
     run status tells that the run was partial.
     """
     checks.check_locations(previous, current, "csv")
-    headers = [sheets.csv_sheet_headers(spark, path) for path in (previous, current)]
+    # a row per header, read once for all checks
+    headers = [cut(sheets.csv_sheet_headers(spark, path)) for path in (previous, current)]
     bodies = [sheets.csv_sheets(spark, path) for path in (previous, current)]
-    checks.check_connections(*bodies)
-    checks.check_headers(*bodies, headers[0])
+    checks.check_connections(*headers)
+    checks.check_headers(*headers, headers[0])
     stripped = [h.withColumn("connection", strip("connection")) for h in headers]
-    status = connection_status(*stripped, config)
+    status = cut(connection_status(*stripped, config))
     prev, curr = (
         sheets.sheet_inventory(body, head, config)
         for body, head in zip(bodies, headers, strict=True)
@@ -196,10 +209,11 @@ def compare_locations(
     fmt: str = "parquet",
     config: DriftConfig = DEFAULT,
     comparison_ts: str | None = None,
+    connection: str | None = None,
     **options: str,
 ) -> Comparison:
     """Compare two snapshots by path or table name."""
     checks.check_locations(previous, current, fmt)
-    prev = read_inventory(spark, previous, fmt, config=config, **options)
-    curr = read_inventory(spark, current, fmt, config=config, **options)
+    prev = read_inventory(spark, previous, fmt, connection, config, **options)
+    curr = read_inventory(spark, current, fmt, connection, config, **options)
     return compare(prev, curr, comparison_ts=comparison_ts, config=config)

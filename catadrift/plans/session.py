@@ -1,47 +1,49 @@
-"""What the library needs of a session: settings, a checkpoint folder, bounded broadcasts."""
+"""What the library needs of a session: settings, a checkpoint folder, joins that split hot groups."""
 
 from __future__ import annotations
 
 import math
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A side is broadcast only after it was counted and found to have no more rows than this.
-BROADCAST_ROWS = 200_000
-MAX_PARTITIONS = 50_000
-# Pieces that every group of a salted join is cut into.
-SALTS = 8
+#: Bytes of input per split and per shuffle partition.
+PARTITION_BYTES = 512 << 20
 
 
-def tuning(input_bytes: int) -> dict[str, str]:
+def tuning(input_bytes: int, partition_bytes: int = PARTITION_BYTES) -> dict[str, str]:
     """Session settings for snapshots of a given total size.
 
-    Splits and shuffle partitions of half a gigabyte suit an executor core. A shuffle has a
-    block for every pair of split and partition, though, so very large inputs get larger
-    splits and a bounded number of partitions instead: at 100 TB 102,400 splits of 1 GB and
-    50,000 partitions of 2 GB, which sorted aggregates work off by spilling.
-
-    Adaptive execution merges partitions that turn out small and splits those of a hot join
-    key. Methods too long for the JVM's compiler are not fused, since it would run them
-    interpreted.
+    Splits and shuffle partitions have ``partition_bytes`` at every size, half a gigabyte unless told otherwise, which
+    suits an executor core. Adaptive execution merges partitions that turn out small and splits those of a hot join
+    key. Methods too long for the JVM's compiler are not fused, since it would run them interpreted.
     """
-    split = (512 << 20) if input_bytes < (10 << 40) else (1 << 30)
-    partitions = min(MAX_PARTITIONS, max(8, math.ceil(input_bytes / (512 << 20))))
+    partitions = max(8, math.ceil(input_bytes / partition_bytes))
     return {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
         "spark.sql.shuffle.partitions": str(partitions),
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 << 20),
-        "spark.sql.files.maxPartitionBytes": str(split),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes // 2),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
         "spark.sql.codegen.hugeMethodLimit": "8000",
     }
 
 
+def tune(spark: SparkSession, input_bytes: int) -> None:
+    """Set what ``tuning`` says; the command line and the bench both run under these settings."""
+    for key, value in tuning(input_bytes).items():
+        spark.conf.set(key, value)
+
+
+def input_bytes(spark: SparkSession, *paths: str) -> int:
+    """Total size of the files below the paths; their contents are not read."""
+    files = [spark.read.format("binaryFile").load(p).select("length") for p in paths]
+    return sum(f.agg(F.sum("length")).first()[0] or 0 for f in files)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the checkpoint folder the cluster names; only a local session gets one of its own."""
+    """Use the checkpoint folder the cluster names; a local session without one gets one in its warehouse."""
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
@@ -49,7 +51,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if not folder:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        folder = tempfile.mkdtemp(prefix="catadrift-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
     context.setCheckpointDir(folder)
 
 
@@ -59,6 +61,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def salts(spark: SparkSession) -> int:
+    """Pieces that every group of a salted join is cut into, and copies that every fact gets.
+
+    The square root of the number of shuffle partitions: both the largest piece and the copies
+    grow far slower than the data.
+    """
+    return max(8, math.isqrt(int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def join_salted(
     rows: DataFrame, groups: DataFrame, on: list[str], salt_from: str, how: str = "left"
 ) -> DataFrame:
@@ -73,28 +84,11 @@ def join_salted(
     connection would get a dynamic partition filter in one branch of the plan and not in the
     others, and those would no longer share their scans and shuffles.
     """
+    pieces = salts(rows.sparkSession)
     left, right = (f"struct({', '.join(on)}, {salt}) AS join_key" for salt in (
-        f"CAST(pmod(xxhash64({salt_from}), {SALTS}) AS INT) AS salt", "salt"
+        f"CAST(pmod(xxhash64({salt_from}), {pieces}) AS INT) AS salt", "salt"
     ))
-    facts = groups.selectExpr("*", f"explode(sequence(0, {SALTS - 1})) AS salt").selectExpr(
+    facts = groups.selectExpr("*", f"explode(sequence(0, {pieces - 1})) AS salt").selectExpr(
         right, *[c for c in groups.columns if c not in on]
     )
     return rows.selectExpr("*", left).join(facts, "join_key", how).drop("join_key")
-
-
-def join_metadata(
-    rows: DataFrame,
-    metadata: DataFrame,
-    on: list[str],
-    salt_from: str = "row_number",
-    how: str = "inner",
-    limit: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """Join rows with metadata of their connection or file, unique in ``on``.
-
-    The metadata is counted, as it is far smaller than the rows, and broadcast if it has no
-    more than ``limit`` rows; beyond that, the join is salted.
-    """
-    if metadata.limit(limit + 1).count() <= limit:
-        return rows.join(F.broadcast(metadata), on, how)
-    return join_salted(rows, metadata, on, salt_from, how)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catadrift.config import DEFAULT, INVENTORY, DriftConfig
-from catadrift.sources.positions import file_positions
+from catadrift.sources.positions import file_positions, sheet_positions
 
 FORMATS = ("parquet", "csv", "json", "orc", "table")
 # Standard name -> column of an inventory.
@@ -22,6 +24,18 @@ STANDARD_COLUMNS = {
 }
 
 
+@contextlib.contextmanager
+def partition_values_as_text(spark: SparkSession) -> Iterator[None]:
+    """Take names in folder paths as they are; with their types inferred, 007 and 7 would be one connection."""
+    setting = "spark.sql.sources.partitionColumnTypeInference.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def resolve_headers(headers: list[str], config: DriftConfig = DEFAULT) -> dict[str, int]:
     """Position of the column of each standard name among the headers of one layout."""
     claimed: dict[int, str] = {}
@@ -41,15 +55,16 @@ def resolve_headers(headers: list[str], config: DriftConfig = DEFAULT) -> dict[s
 def standardise(
     df: DataFrame, connection: str | None = None, config: DriftConfig = DEFAULT
 ) -> DataFrame:
-    """A source DataFrame as an inventory: standard columns found by header, all text.
+    """A source DataFrame as an inventory: standard columns found by header, all text; others in ``further``.
 
-    ``row_number`` must be there. The connection is the ``connection`` column, such as that
+    ``row_number`` must be there; one that is no number becomes null. The connection is the ``connection`` column, such as that
     of a folder ``connection=...``, or the one given. Columns are taken by position, as
     Spark resolves names without regard to case.
     """
     inside = [c for c in df.columns if c not in ("connection", "row_number")]
     if set(STANDARD_COLUMNS.values()) <= set(inside):
         columns = {target: F.col(target) for target in STANDARD_COLUMNS.values()}
+        other = {c: F.col(f"`{c}`") for c in inside if c not in columns}
     else:
         flat = df.toDF(*[
             c if c in ("connection", "row_number") else f"_{inside.index(c)}" for c in df.columns
@@ -58,6 +73,8 @@ def standardise(
         columns = {
             target: F.col(f"_{places[name]}") for name, target in STANDARD_COLUMNS.items()
         }
+        used = set(places.values())
+        other = {c: F.col(f"_{i}") for i, c in enumerate(inside) if i not in used}
         df = flat
     if connection is not None:
         df = df.withColumn("connection", F.lit(connection))
@@ -65,11 +82,15 @@ def standardise(
         raise ValueError("name the connection, or give the source a connection column")
     if "row_number" not in df.columns:
         raise ValueError("the source has no row positions: give it a row_number column")
+    further = [
+        F.struct(F.lit(name).alias("name"), value.cast("string").alias("value")) for name, value in other.items()
+    ]
     return df.select(
         F.col("connection").cast("string").alias("connection"),
         *[value.cast("string").alias(target) for target, value in columns.items()],
-        F.col("row_number").cast("long").alias("row_number"),
-    ).select(*INVENTORY)
+        F.col("row_number").try_cast("long").alias("row_number"),
+        (F.array(*further) if further else F.array().cast("array<struct<name:string,value:string>>")).alias("further"),
+    ).select(*INVENTORY, "further")
 
 
 def read_inventory(
@@ -82,8 +103,9 @@ def read_inventory(
 ) -> DataFrame:
     """Read a snapshot from files or a table.
 
-    Parquet files without a ``row_number`` get one from the place of each row in its file;
-    any other source must bring its own.
+    Files without a ``row_number`` get one: the place of each row among those of its connection, files in order of
+    their paths, the header being row 1. A table must bring its own. JSON fields come in alphabetical order, which is
+    then also the order of headers.
     """
     if fmt not in FORMATS:
         raise ValueError(f"format {fmt!r} is not one of {', '.join(FORMATS)}")
@@ -92,9 +114,26 @@ def read_inventory(
     else:
         if fmt == "csv":
             options = {"header": "true", **options}
-        df = spark.read.format(fmt).options(**options).load(location)
-    if fmt == "parquet" and "row_number" not in df.columns:
-        if connection is not None:
-            df = df.withColumn("connection", F.lit(connection))
-        df = file_positions(df)
+        with partition_values_as_text(spark):
+            df = spark.read.format(fmt).options(**options).load(location)
+    if fmt != "table" and "row_number" not in df.columns:
+        df = _positioned(df, fmt, connection)
     return standardise(df, connection, config)
+
+
+def _positioned(df: DataFrame, fmt: str, connection: str | None) -> DataFrame:
+    """With ``row_number`` from the place of each row."""
+    if connection is not None:
+        df = df.withColumn("connection", F.lit(connection))
+    elif "connection" not in df.columns:
+        raise ValueError("name the connection, or give the source a connection column")
+    file, block = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    if fmt == "parquet":
+        one = df.select(file.alias("file")).first()
+        if connection is not None or one is None or "/connection=" in one["file"]:
+            return file_positions(df)  # a file holds one connection
+        df = df.select("*", file.alias("_file"), F.col("_metadata.row_index").alias("_index"))
+        return sheet_positions(df, ["_file", "_index"]).drop("_file", "_index")
+    # rows of a block come in the order of the file
+    df = df.select("*", file.alias("_file"), block.alias("_block"), F.monotonically_increasing_id().alias("_line"))
+    return sheet_positions(df, ["_file", "_block", "_line"]).drop("_file", "_block", "_line")

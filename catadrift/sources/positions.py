@@ -6,18 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from catadrift.plans.session import cut, join_metadata
+from catadrift.plans.session import cut, join_salted
 
 # Rows of a partition are numbered in the low bits of monotonically_increasing_id.
 _IN_PARTITION = (1 << 33) - 1
 
 
 def file_positions(df: DataFrame) -> DataFrame:
-    """Add ``row_number`` to a Parquet DataFrame with a ``connection`` column.
+    """Add ``row_number`` to a Parquet DataFrame in whose files a single connection lies each.
 
-    Rows keep the order of their file, files that of their paths; where a connection's rows
-    lie together, positions have no gaps. Nothing but one row per file and connection is
-    shuffled.
+    Rows keep the order of their file, files that of their paths. Nothing but one row per file
+    is shuffled.
     """
     placed = df.withColumns(
         {
@@ -38,7 +37,7 @@ def file_positions(df: DataFrame) -> DataFrame:
         (F.coalesce(F.sum("_span").over(before), F.lit(0)) - F.col("_start") + 2).alias("_shift"),
     )
     return (
-        join_metadata(placed, offsets, ["_sheet", "_file"], "_index")
+        join_salted(placed, offsets, ["_sheet", "_file"], "_index", "inner")
         .withColumn("row_number", F.col("_index") + F.col("_shift"))
         .drop("_sheet", "_file", "_index", "_shift")
     )
@@ -77,7 +76,7 @@ def sheet_positions(df: DataFrame, order: list[str]) -> DataFrame:
         (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_start") + 2).alias("_shift"),
     )
     return (
-        join_metadata(numbered, shifts, ["_part", "_sheet"], "_index")
+        join_salted(numbered, shifts, ["_part", "_sheet"], "_index", "inner")
         .withColumn("row_number", F.col("_index") + F.col("_shift"))
         .drop("_part", "_sheet", "_index", "_shift")
     )

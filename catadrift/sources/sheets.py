@@ -1,92 +1,129 @@
-"""Reading snapshots in which every connection has headers of its own.
+"""Reading snapshots in which every sheet has headers of its own.
 
-A sheet is kept as it is: its headers as rows ``(connection, pos, header)`` and its body as
-rows ``(connection, row_number, cells)`` with the cells in an array. Which cell is which
-column is data, resolved for all connections at once.
+A sheet is a CSV file in a folder ``connection=<name>``; its first record is the header, all others are rows. Records may
+be of any width and hold quoted line breaks. A row stands at its place among the rows of its connection, files in order
+of their paths, the header being row 1. Which cell is which column is data, resolved for all files at once.
 """
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from catadrift.config import DEFAULT, INVENTORY, DriftConfig
 from catadrift.functions import strip
 from catadrift.operators.headers import header_conflicts, header_rename
-from catadrift.plans.session import join_metadata
-from catadrift.sources.inventory import STANDARD_COLUMNS
-
+from catadrift.plans.session import join_salted
+from catadrift.sources.inventory import STANDARD_COLUMNS, partition_values_as_text
 
-def _positional_schema(width: int) -> str:
-    return ", ".join(f"_c{i} STRING" for i in range(width))
+RECORDS = "connection STRING, file STRING, index BIGINT, cells ARRAY<STRING>"
+BATCH = 10_000
 
 
-def _cells(width: int, prefix: str = "") -> list:
-    return [F.col(f"{prefix}_c{i}") for i in range(width)]
+def _parse(headers_only: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        csv.field_size_limit(1 << 30)
+        for batch in batches:
+            for connection, file, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                # newline="" keeps line breaks inside quotes
+                reader = csv.reader(io.TextIOWrapper(io.BytesIO(content), "utf-8-sig", errors="replace", newline=""))
+                held: list[list] = []
+                index = 0
+                for record in reader:
+                    if not record:
+                        continue
+                    held.append([cell or None for cell in record])
+                    index += 1
+                    if headers_only or len(held) == BATCH:
+                        yield _records(connection, file, index - len(held), held)
+                        held = []
+                    if headers_only:
+                        break
+                if held:
+                    yield _records(connection, file, index - len(held), held)
 
+    return run
 
-def csv_sheet_headers(spark: SparkSession, path: str, width: int = 64) -> DataFrame:
-    """Header rows of CSV sheets in folders ``connection=<name>``.
 
-    Only the first file of each connection is read, and of it only the line it starts with.
-    """
-    first: dict[str, str] = {}
-    for name in sorted(spark.read.text(path).inputFiles()):
-        first.setdefault(name.rsplit("/", 1)[0], name)
-    lines = (
-        spark.read.option("basePath", path)
-        .text(list(first.values()))
-        .select(
-            "connection",
-            "value",
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("line"),
-        )
-        .filter("block = 0")
-        .groupBy("connection")
-        .agg(F.min_by("value", "line").alias("value"))
+def _records(connection: str, file: str, first: int, cells: list[list]) -> pa.RecordBatch:
+    n = len(cells)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([connection] * n, pa.string()), pa.array([file] * n, pa.string()),
+            pa.array(range(first, first + n), pa.int64()), pa.array(cells, pa.list_(pa.string())),
+        ],
+        names=["connection", "file", "index", "cells"],
     )
-    parsed = lines.select(
-        F.col("connection").cast("string").alias("connection"),
-        F.from_csv("value", _positional_schema(width)).alias("c"),
-    )
-    return parsed.select(
-        "connection", F.posexplode(F.array(*_cells(width, "c."))).alias("pos", "header")
+
+
+def _records_of(spark: SparkSession, path: str, headers_only: bool) -> DataFrame:
+    with partition_values_as_text(spark):
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
+    if "connection" not in files.columns:
+        raise ValueError(f"no folders connection=<name> below {path}")
+    return files.select("connection", "path", "content").mapInArrow(_parse(headers_only), RECORDS)
+
+
+def csv_sheet_headers(spark: SparkSession, path: str) -> DataFrame:
+    """Headers of all sheets: connection, file, pos, header. Only the first record of a file is parsed."""
+    return _records_of(spark, path, True).select(
+        "connection", "file", F.posexplode("cells").alias("pos", "header")
     ).filter("header is not null")
 
 
-def csv_sheets(spark: SparkSession, path: str, width: int = 64) -> DataFrame:
-    """Bodies of CSV sheets. The first cell of every row is its ``row_number``."""
-    df = spark.read.csv(path, schema=_positional_schema(width), header=True)
-    return df.select(
-        F.col("connection").cast("string").alias("connection"),
-        F.col("_c0").cast("long").alias("row_number"),
-        F.array(*_cells(width)).alias("cells"),
+def csv_sheets(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of all sheets: connection, file, row_number, cells."""
+    records = _records_of(spark, path, False).filter("index > 0")
+    # One row per file of a connection.
+    before = W.partitionBy("connection").orderBy("file").rowsBetween(W.unboundedPreceding, -1)
+    files = records.groupBy("connection", "file").agg(F.count("*").alias("n"))
+    shifts = files.select(
+        "connection", "file", (F.coalesce(F.sum("n").over(before), F.lit(0)) + 1).alias("shift")
+    )
+    return join_salted(records, shifts, ["connection", "file"], "index", "inner").select(
+        "connection", "file", (F.col("index") + F.col("shift")).alias("row_number"), "cells"
     )
 
 
 def sheet_inventory(
     sheets: DataFrame, headers: DataFrame, config: DriftConfig = DEFAULT
 ) -> DataFrame:
-    """Sheets as one inventory. Connections with header conflicts are left out whole."""
+    """Sheets as one inventory, further columns in ``further``.
+
+    Connections with header conflicts in any of their sheets are left out whole. Without a ``file`` column, a
+    connection is one sheet.
+    """
     headers = headers.withColumn("connection", strip("connection"))
+    keys = [c for c in ("connection", "file") if c in headers.columns]
+    renamed = header_rename(headers, config)
+    other = ~F.col("new_name").isin(*STANDARD_COLUMNS)
     places = (
-        header_rename(headers, config)
-        .groupBy("connection")
+        renamed.groupBy(*keys)
         .agg(
             *[
                 F.min(F.when(F.col("new_name") == name, F.col("pos"))).alias(target)
                 for name, target in STANDARD_COLUMNS.items()
-            ]
+            ],
+            F.array_sort(F.collect_list(F.when(other, F.struct("pos", "header")))).alias("other"),
         )
-        .join(header_conflicts(headers, config).select("connection"), "connection", "left_anti")
-        .select("connection", F.struct(*STANDARD_COLUMNS.values()).alias("place"))
+        .join(header_conflicts(headers, config).select("connection").distinct(), "connection", "left_anti")
+        .select(*keys, F.struct(*STANDARD_COLUMNS.values(), "other").alias("place"))
+    )
+    rows = join_salted(
+        sheets.withColumn("connection", strip("connection")), places, keys, "row_number", "inner"
     )
-    rows = join_metadata(
-        sheets.withColumn("connection", strip("connection")), places, ["connection"]
+    further = F.transform(
+        "place.other", lambda x: F.struct(x.header.alias("name"), F.get("cells", x.pos).alias("value"))
     )
     return rows.select(
         "connection",
         *[F.get("cells", F.col(f"place.{c}")).alias(c) for c in STANDARD_COLUMNS.values()],
         "row_number",
-    ).select(*INVENTORY)
+        further.alias("further"),
+    ).select(*INVENTORY, "further")

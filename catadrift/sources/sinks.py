@@ -9,8 +9,12 @@ def write_by_connection(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Write one folder per connection.
 
     The rebalance gathers a connection's rows into files of good size and, unlike a
-    repartition by connection, splits a connection that is too large for one task.
+    repartition by connection, splits a connection that is too large for one task. Without any
+    row there is no folder to tell the schema, so an empty file does.
     """
+    if df.isEmpty():
+        write_plain(df.limit(0).coalesce(1), path, fmt)
+        return
     (
         df.hint("rebalance", "connection")
         .write.mode("overwrite")

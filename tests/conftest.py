@@ -8,7 +8,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    work = tmp_path_factory.mktemp("spark")
     session = (
         SparkSession.builder.master("local[*]")
         .config("spark.sql.shuffle.partitions", "8")
@@ -16,6 +17,8 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", str(work / "checkpoints"))
+        .config("spark.sql.warehouse.dir", str(work / "warehouse"))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

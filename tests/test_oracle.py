@@ -6,12 +6,11 @@ from pathlib import Path
 import duckdb
 import pytest
 
-import __spark_entry__ as entry
-from catadrift.plans import registry
+from catadrift.plans import oracle, registry
 
 DATA = Path("/root/testdata")
 SMALL = DATA / "sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = registry.queries(), oracle.oracle_sql()
 
 # change type, flag: rows at sf0.001 and sf0.01.
 TOTALS = {

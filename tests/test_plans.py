@@ -6,11 +6,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from catadrift import Comparison
 from catadrift.operators import quality
 from catadrift.plans import registry
-from catadrift.plans.session import SALTS, join_metadata, join_salted, tuning
+from catadrift.plans.session import join_salted, salts, tuning
 from tests.snapshots import frame
 
 SMALL = "/root/testdata/sf0.001"
@@ -44,9 +43,9 @@ NO_BROADCAST = {
 }
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_no_python_and_no_cartesian_product(spark, name):
-    text = plan(entry.queries()[name](spark, SMALL))
+    text = plan(registry.queries()[name](spark, SMALL))
     for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "MapInPandas", "ArrowEval"):
         assert node not in text
 
@@ -105,19 +104,14 @@ def test_hot_group_is_spread(spark):
         tasks = joined.filter("t = 'hot'").groupBy(F.spark_partition_id().alias("task")).count()
         found = [r["count"] for r in tasks.collect()]
     assert sum(found) == 13_334
-    assert len(found) >= SALTS // 2 and max(found) < 13_334 / 2
+    assert len(found) >= salts(spark) // 2 and max(found) < 13_334 / 2
     assert joined.count() == 40_000 and joined.filter("fact IS NULL").isEmpty()
 
 
-def test_metadata_beyond_the_limit_is_not_broadcast(spark):
-    rows = spark.range(1000).selectExpr("concat('c', id % 7) AS connection", "id AS row_number")
-    metadata = rows.select("connection").distinct().withColumn("fact", F.length("connection"))
-    small = join_metadata(rows, metadata, ["connection"])
-    assert "BroadcastHashJoin" in plan(small)
-    with settings(spark, **NO_BROADCAST):
-        large = join_metadata(rows, metadata, ["connection"], limit=3)
-        assert "Broadcast" not in plan(large)
-        assert large.exceptAll(small).isEmpty() and large.count() == 1000
+def test_salts_follow_the_partitions(spark):
+    with settings(spark, spark__sql__shuffle__partitions="40000"):
+        assert salts(spark) == 200
+    assert salts(spark) == 8
 
 
 def test_results_do_not_depend_on_broadcasts(spark):
@@ -161,10 +155,11 @@ def test_hot_dropped_table_and_duplicated_key(spark):
     assert found == {("Table Dropped", "Yes"): 1000}
 
 
-def test_tuning_grows_with_the_input_within_bounds(spark):
+def test_tuning_keeps_the_size_of_partitions(spark):
     small, medium, large = tuning(1 << 20), tuning(1 << 40), tuning(100 << 40)
     partitions = [int(t["spark.sql.shuffle.partitions"]) for t in (small, medium, large)]
-    assert partitions == [8, 2048, 50_000]
+    assert partitions == [8, 2048, 204_800]
+    assert {t["spark.sql.files.maxPartitionBytes"] for t in (small, medium, large)} == {str(512 << 20)}
     assert large["spark.sql.adaptive.skewJoin.enabled"] == "true"
 
 

@@ -30,7 +30,8 @@ def write_golden(spark, tmp_path, fmt="parquet"):
 def test_formats(spark, tmp_path, fmt):
     prev, curr = write_golden(spark, tmp_path, fmt)
     found = read_inventory(spark, prev, fmt)
-    assert found.columns == INVENTORY
+    assert found.columns == [*INVENTORY, "further"]
+    found = found.select(*INVENTORY)
     assert found.exceptAll(golden_pair(spark)[0]).isEmpty()
     assert compare_locations(spark, prev, curr, fmt).drift.count() == 17
 
@@ -44,7 +45,7 @@ def test_headers_are_found_in_a_shared_layout(spark, tmp_path):
     path = str(tmp_path / "x")
     names = ["connection", *HEADER[1:], "row_number"]
     frame(spark, rows(PREVIOUS)).toDF(*names).write.parquet(path)
-    assert read_inventory(spark, path).exceptAll(frame(spark, rows(PREVIOUS))).isEmpty()
+    assert read_inventory(spark, path).select(*INVENTORY).exceptAll(frame(spark, rows(PREVIOUS))).isEmpty()
 
 
 def test_names_that_differ_only_in_case(spark):
@@ -75,7 +76,26 @@ def test_one_parquet_sheet_is_numbered_like_a_sheet(spark, tmp_path):
     path = str(tmp_path / "x")
     frame(spark, rows(CURRENT)).drop("row_number", "connection").coalesce(1).write.parquet(path)
     found = read_inventory(spark, path, connection="CRM")
-    assert found.exceptAll(frame(spark, rows(CURRENT))).isEmpty()
+    assert found.select(*INVENTORY).exceptAll(frame(spark, rows(CURRENT))).isEmpty()
+
+
+def test_connections_that_lie_mixed_in_a_file(spark, tmp_path):
+    path = str(tmp_path / "x")
+    data = [("AB"[i % 2], "d", "s", "t", f"c{i}", "INT", "y") for i in range(6)]
+    names = [c for c in INVENTORY if c != "row_number"]
+    spark.createDataFrame(data, names).coalesce(1).write.parquet(path)
+    found = {(r.connection, r.column_name): r.row_number for r in read_inventory(spark, path).collect()}
+    assert found == {("AB"[i % 2], f"c{i}"): 2 + i // 2 for i in range(6)}
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_connection_names_stay_text(spark, tmp_path, fmt):
+    path = tmp_path / "x"
+    for name in ("007", "7", "1.50"):
+        one = frame(spark, rows(PREVIOUS)).drop("connection").coalesce(1)
+        one.write.option("header", True).format(fmt).save(str(path / f"connection={name}"))
+    found = read_inventory(spark, str(path), fmt)
+    assert {r.connection for r in found.select("connection").distinct().collect()} == {"007", "7", "1.50"}
 
 
 def test_sheet_positions_keep_rows_without_connection(spark):
@@ -87,11 +107,18 @@ def test_sheet_positions_keep_rows_without_connection(spark):
         assert [n for _, n in mine] == list(range(2, 102))
 
 
-def test_other_sources_must_bring_positions(spark, tmp_path):
-    path = str(tmp_path / "x")
-    frame(spark, rows(CURRENT)).drop("row_number").write.option("header", True).csv(path)
-    with pytest.raises(ValueError, match="row_number"):
-        read_inventory(spark, path, "csv")
+def test_a_plain_sheet_of_six_columns(spark, tmp_path):
+    path = tmp_path / "plain.csv"
+    path.write_text("Database,Schema,Tables,Columns,Datatype,IsPII\nd,s,t,a,INT,Yes\nd,s,t,b,INT,No\nd,s,t,c,INT,No\n")
+    found = read_inventory(spark, str(path), "csv", connection="CRM")
+    assert [(r.column_name, r.row_number) for r in found.orderBy("row_number").collect()] == [("a", 2), ("b", 3), ("c", 4)]
+
+
+def test_a_position_that_is_no_number(spark, tmp_path):
+    path = tmp_path / "x.csv"
+    path.write_text("Database,Schema,Tables,Columns,Datatype,IsPII,row_number\nd,s,t,a,INT,Yes,2\nd,s,t,b,INT,No,two\n")
+    found = read_inventory(spark, str(path), "csv", connection="CRM")
+    assert {r.column_name: r.row_number for r in found.collect()} == {"a": 2, "b": None}
 
 
 def test_missing_and_same_and_unknown_input(spark, tmp_path):
@@ -137,6 +164,40 @@ def write_sheets(path, by_connection):
     return str(path)
 
 
+def sheet_rows(spark, path):
+    found = sheets.sheet_inventory(sheets.csv_sheets(spark, str(path)), sheets.csv_sheet_headers(spark, str(path)))
+    return sorted(map(tuple, found.select("connection", "column_name", "datatype", "row_number").collect()))
+
+
+def test_sheets_of_any_width_and_with_line_breaks(spark, tmp_path):
+    folder = tmp_path / "connection=C"
+    folder.mkdir()
+    wide = [f"x{i}" for i in range(70)]
+    header = ",".join([*wide, "Database,Schema,Tables,Columns,Datatype,IsPII"])
+    body = [",".join([*["v"] * 70, f'd,s,t,"c\n{i}",INT,No']) for i in range(3)]
+    (folder / "a.csv").write_text("\n".join([header, *body]) + "\n")
+    assert sheet_rows(spark, tmp_path) == [("C", f"c\n{i}", "INT", i + 2) for i in range(3)]
+
+
+def test_two_layouts_in_one_connection(spark, tmp_path):
+    for name in ("007", "7"):
+        folder = tmp_path / f"connection={name}"
+        folder.mkdir()
+        (folder / "a.csv").write_text("Database,Schema,Tables,Columns,Datatype,IsPII\nd,s,t,a,INT,No\nd,s,t,b,INT,No\n")
+        (folder / "b.csv").write_text("IsPII,Datatype,Columns,Tables,Schema,Database,Owner\nNo,DATE,c,t,s,d,me\n")
+    one = [("a", "INT", 2), ("b", "INT", 3), ("c", "DATE", 4)]
+    assert sheet_rows(spark, tmp_path) == sorted((name, *r) for name in ("007", "7") for r in one)
+
+
+def test_further_columns_are_kept_in_the_annotated_copy(spark, tmp_path):
+    for side, owner in (("prev", "x"), ("curr", "y")):
+        folder = tmp_path / side / "connection=C"
+        folder.mkdir(parents=True)
+        (folder / "a.csv").write_text(f"Database,Schema,Tables,Columns,Datatype,IsPII,Owner\nd,s,t,a,INT,No,{owner}\n")
+    result = compare_sheets(spark, str(tmp_path / "prev"), str(tmp_path / "curr"))
+    assert [[tuple(f) for f in r.further] for r in result.annotated_inventory.collect()] == [[("Owner", "y")]]
+
+
 @pytest.fixture
 def sheet_folders(tmp_path):
     bad = ["row", "DB", "Schema", "Tables", "Columns", "Datatype", "IsPII"]
@@ -154,7 +215,7 @@ def sheet_folders(tmp_path):
 
 def test_csv_sheets_with_headers_of_their_own(spark, sheet_folders):
     prev, curr = sheet_folders
-    found = sheets.csv_sheet_headers(spark, prev, width=10)
+    found = sheets.csv_sheet_headers(spark, prev)
     assert {(r.connection, r.pos): r.header for r in found.collect()}["CRM", 5] == "DATA_TYPE"
     result = compare_sheets(spark, prev, curr)
     assert {r.connection for r in result.drift.collect()} == {"CRM"}
@@ -175,15 +236,23 @@ def test_written_results(spark, tmp_path):
     annotated = spark.read.parquet(f"{out}/annotated_inventory")
     kinds = {r.row_kind: r["count"] for r in annotated.groupBy("row_kind").count().collect()}
     assert kinds == {"inventory": 13, "dropped": 7}
-    assert not (tmp_path / "out" / "rejected_rows").exists()
+    assert spark.read.parquet(f"{out}/rejected_rows").isEmpty()
 
 
-def test_nothing_is_written_without_drift(spark, tmp_path):
+def test_every_data_set_is_written_anew(spark, tmp_path):
+    """A run with drift, then one without to the same path: nothing stale, and empty data sets have their schema."""
     prev, curr = write_golden(spark, tmp_path)
-    other = str(tmp_path / "copy")
+    other, out = str(tmp_path / "copy"), str(tmp_path / "out")
     spark.read.parquet(prev).write.parquet(other)
-    assert run([prev, other, str(tmp_path / "out")], spark) == 0
-    assert not (tmp_path / "out").exists()
+    assert run([prev, curr, out], spark) == 1
+    names = {p.name for p in (tmp_path / "out").iterdir()}
+    columns = {name: set(spark.read.parquet(f"{out}/{name}").columns) for name in names}
+    assert len(names) == 12
+    assert run([prev, other, out], spark) == 0
+    assert {name: set(spark.read.parquet(f"{out}/{name}").columns) for name in names} == columns
+    for name in ("drift", "critical_changes", "critical_table", "rejected_rows", "drift_by_connection"):
+        assert spark.read.parquet(f"{out}/{name}").isEmpty()
+    assert spark.read.parquet(f"{out}/run_status").first().status == 0
 
 
 def test_command_line_errors_and_partial_runs(spark, tmp_path, sheet_folders):
