@@ -488,4 +488,17 @@ def oracle_sql() -> dict[str, str]:
         ("drift_datatype_changed", "Datatype Changed"),
     ):
         found[query] = on_clean(f"SELECT {drift_row} FROM drift WHERE change_type = '{change}'")
+    found["sheet_reader"] = on_clean(f"SELECT {KEY}, datatype, is_pii_raw, 'x' AS owner FROM curr_raw")
+    found["sheet_reader_positions"] = on_clean(
+        "SELECT connection, count(*) AS n_rows, 2::BIGINT AS first, count(*) + 1 AS last, "
+        "(count(*) * (count(*) + 3) // 2)::BIGINT AS total FROM curr_raw GROUP BY connection"
+    )
+    dropped = on_messy(
+        f"SELECT {KEY}, datatype, is_pii AS is_pii_raw, change_type, severity, action, {_by_pair(HIGHLIGHTS)} AS fill "
+        "FROM drift WHERE contains(change_type, 'Dropped')"
+    )
+    found["annotated_report"] = (
+        "SELECT *, 'inventory' AS row_kind, 'o' || (row_number % 7) AS owner "
+        f"FROM ({found['annotated_inventory']}) UNION ALL BY NAME SELECT *, 'dropped' AS row_kind FROM ({dropped})"
+    )
     return found

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,7 @@ from catadrift.config import (
 from catadrift.operators import changes, headers, matching, metrics, quality, reports
 from catadrift.plans.compare import Comparison
 from catadrift.plans.derived import inventory, lineitem, sheet_headers, sheet_rows
+from catadrift.plans.session import ensure_checkpoint_dir
 from catadrift.sources import checks, positions, sheets
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,9 +110,41 @@ def _snapshot_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sheet_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sheets.sheet_inventory(
         sheet_rows(spark, sf_dir, "curr"), sheet_headers(spark, sf_dir, "curr")
+    ).select(*INVENTORY)
+
+
+def _read_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The current snapshot written as CSV sheets, several files a connection, and read by the reader."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/sheets-{uuid.uuid4().hex}"
+    columns = [F.col(c).alias(name) for name, c in sheets.STANDARD_COLUMNS.items()]
+    inventory(spark, sf_dir, "curr").repartition(3).select("connection", F.lit("x").alias("Owner"), *columns).write.option(
+        "header", True
+    ).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).partitionBy("connection").csv(path)
+    return sheets.sheet_inventory(sheets.csv_sheets(spark, path), sheets.csv_sheet_headers(spark, path))
+
+
+def _sheet_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    owner = F.get("further", F.lit(0)).value.alias("owner")
+    return _read_sheets(spark, sf_dir).select(*[c for c in INVENTORY if c != "row_number"], owner)
+
+
+def _sheet_reader_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read_sheets(spark, sf_dir).groupBy("connection").agg(
+        F.count("*").alias("n_rows"), F.min("row_number").alias("first"), F.max("row_number").alias("last"),
+        F.sum("row_number").alias("total"),
     )
 
 
+def _annotated_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is written: annotated and dropped rows, with a further column of the sheets."""
+    owner = F.concat(F.lit("o"), (F.col("row_number") % 7).cast("string"))
+    further = F.array(F.struct(F.lit("Owner").alias("name"), owner.alias("value")))
+    prev, curr = (inventory(spark, sf_dir, side, messy=True) for side in ("prev", "curr"))
+    found = Comparison(prev, curr.withColumn("further", further)).reports["annotated_inventory"]
+    return found.withColumn("owner", F.get("further", F.lit(0)).value).drop("further")
+
+
 def _normalised(df: DataFrame) -> DataFrame:
     flags = quality.add_pii_flag(df)
     return flags.groupBy("is_pii_raw", "is_pii").agg(F.count("*").alias("n_rows"))
@@ -139,6 +173,8 @@ def queries() -> dict[str, Query]:
         "header_conflicts": _of_headers(headers.header_conflicts),
         "connection_status": _status,
         "sheet_inventory": _sheet_inventory,
+        "sheet_reader": _sheet_reader,
+        "sheet_reader_positions": _sheet_reader_positions,
         # Cleaning.
         "clean_strip": _of_current(quality.strip_columns),
         "normalise_pii": _of_current(_normalised),
@@ -165,6 +201,7 @@ def queries() -> dict[str, Query]:
         # Reports.
         "highlight": _of_comparison(lambda c: reports.highlight(c.drift)),
         "annotated_inventory": _of_comparison(lambda c: c.annotated_inventory, messy=True),
+        "annotated_report": _annotated_report,
         "dropped_section": _of_comparison(lambda c: c.dropped_section),
         "drift_sorted": _of_comparison(lambda c: reports.drift_sorted(c.drift)),
         "critical_changes": _of_comparison(lambda c: c.critical_changes),
