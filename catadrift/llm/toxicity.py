@@ -59,6 +59,16 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return (key >> np.uint64(TABLE_BITS)).astype(np.int64), (key & mask).astype(np.int64)
 
 
+def text_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """features() of a list of texts, lot by lot."""
+    data, offsets = flat(pa.array(texts, pa.string()))
+    lots = []
+    for a, b in text_lots(offsets):
+        doc, row = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        lots.append(((doc + a).astype(np.int32), row.astype(np.int32)))
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int32) for x in (zip(*lots, strict=True) if lots else ((), ())))
+
+
 def counterfactuals(texts: list[str], kinds=IDENTITY, limit: int = MAX_PAIRS) -> tuple[list[str], list[str]]:
     """Sentences that name a group, and the same with another group of the kind."""
     others = {term: [x for x in kind if x != term] for kind in kinds for term in kind}
@@ -88,7 +98,7 @@ def train(texts: list[str], toxic: list[int], kinds=IDENTITY, penalty: float = P
     if not len(truth):
         return weights.astype(np.float32), bias
     bias = float(np.log((truth.sum() + 0.5) / (len(truth) - truth.sum() + 0.5)))
-    doc, row = features(*flat(pa.array(texts, pa.string())))
+    doc, row = text_features(texts)
     n1, n0 = max(truth.sum(), 1), max(len(truth) - truth.sum(), 1)
     seen, with_1 = np.bincount(row, minlength=len(weights)), np.bincount(row, truth[doc], len(weights))
     rate = seen / len(truth)
@@ -96,7 +106,7 @@ def train(texts: list[str], toxic: list[int], kinds=IDENTITY, penalty: float = P
     told = np.abs(with_1 / n1 - (seen - with_1) / n0) >= LEAST_Z * error
     doc, row = doc[told[row]], row[told[row]]
     said, swapped = counterfactuals(texts, kinds)
-    pairs = [features(*flat(pa.array(x, pa.string()))) for x in (said, swapped)]
+    pairs = [text_features(x) for x in (said, swapped)]
     pairs = [(d[told[r]], r[told[r]]) for d, r in pairs]
     m, v = np.zeros(len(weights) + 1), np.zeros(len(weights) + 1)
     size = len(weights)
