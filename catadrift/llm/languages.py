@@ -14,6 +14,7 @@ rows whose label is null teach nothing. Every word of every text counts, in lots
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -114,25 +115,18 @@ def train(texts: list[str], langs: list[str], passes: int = PASSES, max_words: i
     """Labels, feature weights, transitions and start weights."""
     labels = sorted(set(langs))
     rng = np.random.default_rng(seed)
-    data, offsets = flat(pa.array(texts, pa.string()))
-    lot = Words(data, offsets)
-    truth = np.array([labels.index(x) for x in langs])[lot.doc]
-    chain = np.cumsum(lot.new) - 1
-    count = int(chain[-1]) + 1 if len(chain) else 0
-    mixed = rng.permutation(count)
-    edge = np.r_[np.flatnonzero(lot.new), len(chain)]
-    order, new, total = [], [], 0
-    for place, c in enumerate(mixed):  # sentences in random order, two to a chain
+    sentences = [(x, labels.index(lang)) for text, lang in zip(texts, langs, strict=True) for x in re.split(r"(?<=[.!?\n])", text) if re.search(r"\w", x)]
+    chosen, total = [], 0
+    for i in rng.permutation(len(sentences)):
         if total > max_words:
             break
-        order.append(np.arange(edge[c], edge[c + 1]))
-        mark = np.zeros(edge[c + 1] - edge[c], bool)
-        mark[0] = place % 2 == 0
-        new.append(mark)
-        total += len(mark)
-    order, new = (np.concatenate(x) if x else np.zeros(0, int) for x in (order, new))
-    lot.rows = [r[order] for r in lot.rows]
-    lot.gram_from, lot.gram_to, lot.doc, truth = lot.gram_from[order], lot.gram_to[order], lot.doc[order], truth[order]
+        chosen.append(sentences[i])
+        total += len(sentences[i][0].split())
+    data, offsets = flat(pa.array([x for x, _ in chosen], pa.string()))
+    lot = Words(data, offsets)
+    truth = np.array([y for _, y in chosen], dtype=np.int64)[lot.doc]
+    # a chain is two sentences in random order; they are of different documents as a rule
+    new = np.r_[True, lot.doc[1:] // 2 != lot.doc[:-1] // 2] if len(lot.doc) else np.zeros(0, bool)
     k = len(labels)
     weights, moves, start = np.zeros((1 << TABLE_BITS, k)), np.zeros((k, k)), np.zeros(k)
     params = [weights, moves, start]
