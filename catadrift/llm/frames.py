@@ -6,7 +6,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Stands for a null id inside packed arrays; sorts before every other id.
@@ -80,3 +80,32 @@ def scratch(spark: SparkSession, stem: str) -> str:
     """A path for a written table that doesn't exist yet, in the folder that all executors share."""
     checkpoint_folder(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{stem}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, stem: str) -> DataFrame:
+    """Write the rows to the shared folder and read them again."""
+    path = scratch(df.sparkSession, stem)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+#: Bits of a field that lets rows pass whose key may be among wanted ones: 64 KB, whatever their number.
+FIELD_BITS = 1 << 19
+
+
+def bit_field(wanted: DataFrame, key: str) -> np.ndarray:
+    """The bits of all wanted keys. At most FIELD_BITS / 64 rows reach the driver."""
+    bit = F.pmod(F.xxhash64(key), F.lit(FIELD_BITS))
+    words = wanted.select(bit.alias("bit")).groupBy(F.expr("CAST(bit div 64 AS INT)").alias("word")).agg(
+        F.expr("bit_or(shiftleft(1L, CAST(bit % 64 AS INT)))").alias("bits")
+    )
+    field = np.zeros(FIELD_BITS // 64, np.int64)
+    for row in words.collect():
+        field[row.word] = row.bits
+    return field
+
+
+def may_hold(field: np.ndarray, key: str) -> Column:
+    """Whether the key's bit is set: true for all wanted keys and a few others."""
+    bit = F.pmod(F.xxhash64(key), F.lit(FIELD_BITS))
+    return F.getbit(F.get(F.lit(field), F.shiftright(bit, 6).cast("int")), (bit % 64).cast("int")) == 1

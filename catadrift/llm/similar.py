@@ -12,10 +12,11 @@ are of the latter kind, and so on, no pair is lost.
 
 1. Equal sets are one class, a node of the graph. Signatures go to the shard of their hash; a shard finds those that
    several classes share and pairs each of these classes with the smallest one.
-2. Pairs are verified on the whole sets, and components found.
-3. Signatures shared by classes of several components may hide further links. Per such group, classes that differ from
-   all others in too many cells are put aside, the others compared by their cells, and pairs that may still be similar
-   verified. No pair is dropped that could be similar.
+2. Pairs whose sketches differ in more bits than similar sets may differ in elements are ruled out; the others are
+   verified on the whole sets, and components found.
+3. Signatures shared by classes of several components may hide further links. In such a group, classes of different
+   components are compared by their sketches, and only pairs that may still be similar leave it and are verified. No
+   pair is dropped that could be similar.
 
 Edge cases: a null or empty text has no shingles and is linked with nothing; fewer words than a shingle are one; rows
 that share an id are separate documents, each in the component of its set; a document without an id is in the component
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import checkpoint, fresh, partitions, unpacked
+from .frames import bit_field, checkpoint, fresh, may_hold, partitions, stored, unpacked
 from .texts import flat, mix, shingles, text_lots
 
 WORDS = 5
@@ -256,77 +257,134 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
 
 
+def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keep the pairs whose sketches differ in no more bits than similar sets may differ in elements."""
+    for batch in batches:
+        keep = []
+        for n, x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            keep.append(int(np.bitwise_count(np.frombuffer(x, np.uint8) ^ np.frombuffer(y, np.uint8)).sum()) <= n // 9)
+        kept = batch.filter(pa.array(keep, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
+
+
+def filter_pairs(pairs: DataFrame, cell: DataFrame) -> DataFrame:
+    """The pairs that their sketches in the larger set's band don't rule out."""
+    x, y = (cell.select(*[F.col(n).alias(f"{c}_{n}") for n in ("class", "band", "own", "size", "sketch")]) for c in ("a", "b"))
+    both = pairs.join(x, F.col("a") == F.col("a_class")).join(y, (F.col("b") == F.col("b_class")) & (F.col("a_band") == F.col("b_band")))
+    both = both.where(F.col("a_band") == F.greatest("a_own", "b_own"))
+    return both.select("a", "b", (F.col("a_size") + F.col("b_size")).alias("n"), "a_sketch", "b_sketch").mapInArrow(plausible, "a long, b long")
+
+
 def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     """The pairs (a, b) of classes whose sets are similar; sets are read off one document of each class."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    one = asked.join(classes, "class").select("class", F.col("one").alias("id"))
-    texts = docs.join(one, "id")
+    one = checkpoint(asked.join(classes, "class").select("class", F.col("one").alias("id")))
+    # the field spares most texts that no pair needs the shuffle; the join decides
+    texts = docs.where(may_hold(bit_field(one, "id"), "id")).join(one, "id")
     sets = texts.select("class", "text").mapInArrow(shingle_sets(words), "class long, elements binary")
     left, right = (sets.select(F.col("class").alias(c), F.col("elements").alias(f"{c}_elements")) for c in ("a", "b"))
     return pairs.join(right, "b").join(left, "a").select("a", "b", "a_elements", "b_elements").mapInArrow(compare, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root: the smallest node of each node's component. Labels spread along edges and jump to their labels' labels."""
-    both = checkpoint(edges.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e")).select("e.*"))
-    labels = checkpoint(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("root")))
+    """node, root: the smallest node of each node's component.
+
+    Nodes with one label are a tree. Each round, every tree takes the smallest label next to it, and the label that one
+    takes; trees at least halve, so the rounds grow with the logarithm of the largest component.
+    """
+    both = stored(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).union(edges.select("b", "a")).distinct(), "edges")
+    labels = stored(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("y")).select("node", F.least("node", "y").alias("root")), "labels")
     while True:
-        near = both.join(labels, both.y == labels.node).groupBy("x").agg(F.min("root").alias("near"))
-        step = labels.join(near, labels.node == near.x, "left").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        jump = labels.select(F.col("node").alias("mid"), F.col("root").alias("far"))
-        step = step.join(jump, F.col("root") == F.col("mid"), "left").select("node", "old", F.least("root", "far").alias("root"))
-        step = checkpoint(step)
-        changed = step.where("root <> old").limit(1).count()
-        labels = step.select("node", "root")
-        if not changed:
+        near = both.join(labels, F.col("y") == F.col("node")).groupBy("x").agg(F.min("root").alias("near"))
+        low = labels.join(near, F.col("node") == F.col("x")).select("root", F.least("root", "near").alias("low"))
+        hook = stored(low.groupBy("root").agg(F.min("low").alias("new")), "hooks")
+        if hook.where("new <> root").isEmpty():
             return labels
+        far = hook.select(F.col("root").alias("new"), F.col("new").alias("far"))
+        jump = hook.join(far, "new", "left").select("root", F.coalesce("far", "new").alias("to"))
+        labels = stored(labels.join(jump, "root").select("node", F.col("to").alias("root")), "labels")
+
+
+#: Bits of a sketch for each element of a band's largest set.
+SKETCH_BITS = 4
+
+
+def sketch_rows(owner: np.ndarray, elements: np.ndarray, n: int, band: int) -> np.ndarray:
+    """A row of bits for each set: whether an odd number of its elements falls on the bit.
+
+    An element that one of two sets lacks turns one bit, so the sets differ in at least as many elements as bits.
+    """
+    width = SKETCH_BITS * int(bands()[band + 1] - 1)
+    seed = mix(np.array([band * 64], np.uint64))[0]
+    place = owner * width + (mix(elements ^ seed) % np.uint64(width)).astype(np.int64)
+    odd = np.bincount(place, minlength=n * width).reshape(n, width) & 1
+    return np.packbits(odd.astype(bool), axis=1)
+
+
+SKETCHED = "class long, band int, own int, size long, sketch binary"
 
 
 def sketches(words: int):
-    """Per class and band: one byte for each cell. Sets that differ in d elements differ in at most d of them."""
+    """Per class and band: the set's sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            for a, size, owner, elements in text_sets(batch, "text", words):
-                name = batch.column(0).slice(a, len(size)).to_numpy()
+            for _, size, owner, elements in text_sets(batch, "text", words):
+                name = set_hash(owner, elements, len(size)).view(np.int64)
                 band = np.searchsorted(bands(), size, side="right") - 1
-                band[set_hash(owner, elements, len(size)).view(np.int64) != name] = -1  # another row with the id
+                for i, h in enumerate(name.tolist()):
+                    if h in seen:
+                        band[i] = -1
+                    seen.add(h)
                 for b in np.unique(band[band >= 0]):
                     which = np.flatnonzero(band == b)
                     number = np.full(len(size), -1)
                     number[which] = np.arange(len(which))
                     inside = number[owner] >= 0
                     for t in (int(b), int(b) + 1):
-                        value = cells(number[owner[inside]], elements[inside], len(which), t, 0)[0]
-                        body = (value.reshape(len(which), -1) & np.uint64(255)).astype(np.uint8)
+                        body = sketch_rows(number[owner[inside]], elements[inside], len(which), t)
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(name[which]), pa.array(np.full(len(which), t, np.int32)), pa.array(size[which].astype(np.int64)), pa.array([x.tobytes() for x in body], pa.binary())],
-                            names=["class", "band", "size", "sketch"],
+                            [
+                                pa.array(name[which]), pa.array(np.full(len(which), t, np.int32)), pa.array(np.full(len(which), b, np.int32)),
+                                pa.array(size[which].astype(np.int64)), pa.array([x.tobytes() for x in body], pa.binary()),
+                            ],
+                            names=["class", "band", "own", "size", "sketch"],
                         )
 
     return run
 
 
+#: Members of a group that are compared at once.
+ROWS = 32
+
+
+def group_pairs(name: np.ndarray, root: np.ndarray, size: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a group in different components that may be similar by their sketches."""
+    for at in range(0, len(name) - 1, ROWS):
+        i = np.arange(at, min(at + ROWS, len(name)))[:, None]
+        j = np.arange(at + 1, len(name))[None, :]
+        fit = (j > i) & (root[i] != root[j]) & (5 * size[j] >= 4 * size[i]) & (4 * size[j] <= 5 * size[i])
+        x, y = np.nonzero(fit)
+        x, y = x + at, y + at + 1
+        if len(x):
+            near = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1) <= (size[x] + size[y]) // 9
+            yield np.minimum(name[x[near]], name[y[near]]), np.maximum(name[x[near]], name[y[near]])
+
+
 def open_pairs(table: pa.Table) -> pa.Table:
-    """Pairs of a group in different components that may be similar by their cells."""
-    name, root, size = (table[c].to_numpy() for c in ("class", "root", "size"))
-    sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(name), -1)
-    while len(name) > 1:  # a class that alone has more cell values than any partner may lack
-        alone = np.zeros(len(name), np.int64)
-        for column in sketch.T:
-            alone += (np.bincount(column, minlength=256) == 1)[column]
-        stay = alone <= size // 4
-        if stay.all():
-            break
-        name, root, size, sketch = name[stay], root[stay], size[stay], sketch[stay]
-    found_a, found_b = [], []
-    for i in range(len(name) - 1):
-        other = np.flatnonzero((root[i + 1 :] != root[i]) & (5 * size[i + 1 :] >= 4 * size[i]) & (4 * size[i + 1 :] <= 5 * size[i])) + i + 1
-        other = other[(sketch[other] != sketch[i]).sum(axis=1) <= (size[other] + size[i]) // 9]
-        found_a.append(np.minimum(name[other], name[i]))
-        found_b.append(np.maximum(name[other], name[i]))
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_a, found_b))
-    return pa.table({"a": pa.array(a), "b": pa.array(b)})
+    """What group_pairs finds in many groups."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    group, name, root, size = (table[c].to_numpy() for c in ("g", "class", "root", "size"))
+    body = table["sketch"].to_pylist()
+    order = np.argsort(group, kind="stable")
+    edge = np.r_[np.flatnonzero(np.r_[True, group[order][1:] != group[order][:-1]]), len(order)]
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
+        at = order[a:b]
+        if b - a > 1 and (root[at] != root[at[0]]).any():
+            found += group_pairs(name[at], root[at], size[at], np.frombuffer(b"".join([body[i] for i in at]), np.uint8).reshape(b - a, -1))
+    pairs = np.unique(np.c_[np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])], axis=0)
+    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
 
 def similar_classes(docs: DataFrame, words: int = WORDS, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -337,19 +395,20 @@ def similar_classes(docs: DataFrame, words: int = WORDS, key: str = "doc_id", te
     classes = info.where("size > 0 AND id IS NOT NULL").groupBy("class").agg(F.min("id").alias("one"))
     signed = plain.mapInArrow(sign(words, partitions(docs.sparkSession)), SIGNED)
     shared = checkpoint(signed.groupBy("shard").applyInArrow(share, "a long, b long, band int, group array<long>"))
+    cell = checkpoint(plain.mapInArrow(sketches(words), SKETCHED).dropDuplicates(["class", "band"]))
     first = shared.where("a IS NOT NULL").select("a", "b").distinct()
-    links = checkpoint(verify(first, plain, classes, words))
+    near = checkpoint(filter_pairs(first, cell))
+    links = checkpoint(verify(near, plain, classes, words))
     labels = components(links)
 
     groups = shared.where("group IS NOT NULL").select("band", "group").distinct().withColumn("g", F.xxhash64("band", "group"))
     members = groups.select("g", "band", F.explode("group").alias("class")).join(labels.withColumnRenamed("node", "class"), "class", "left")
     members = checkpoint(members.select("g", "band", "class", F.coalesce("root", "class").alias("root")))
     open_ = members.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("g")
-    members = members.join(open_, "g")
-    asked = members.select("class").distinct().join(classes, "class").select("class", F.col("one").alias("id"))
-    cell = plain.join(asked, "id").select("class", "text").mapInArrow(sketches(words), "class long, band int, size long, sketch binary")
-    more = members.join(cell, ["class", "band"]).groupBy("g").applyInArrow(open_pairs, "a long, b long").distinct()
-    more = checkpoint(more.join(first, ["a", "b"], "left_anti"))
+    spread = F.pmod("g", F.lit(4 * partitions(docs.sparkSession))).alias("shard")
+    more = members.join(open_, "g").join(cell, ["class", "band"]).select(spread, "g", "class", "root", "size", "sketch")
+    more = more.groupBy("shard").applyInArrow(open_pairs, "a long, b long").distinct()
+    more = checkpoint(more.join(near, ["a", "b"], "left_anti"))
     if more.limit(1).count():
         links = checkpoint(links.unionByName(verify(more, plain, classes, words)))
         labels = components(links)
