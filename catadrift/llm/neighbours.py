@@ -150,7 +150,8 @@ def search(
         return vectors.sparkSession.createDataFrame([], out)
     dim, n, asked, longest = sizes[0]
     every = every.where(F.size("v") == dim)
-    slices = max(SLICES, math.ceil(n / SLICE_ROWS))
+    # a slice alone holds more than k rows, so that no query finds fewer
+    slices = max(1, min(max(SLICES, math.ceil(n / SLICE_ROWS)), n // (2 * (k + 1))))
     around = math.ceil(share * slices - 0.5)
     parts = max(1, math.ceil(asked * (2 * around + 1) / slices / QUERY_ROWS))
     rows = every.orderBy(F.xxhash64("id"), "id").limit(sample).select("id", "v").toPandas()
