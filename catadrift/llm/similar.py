@@ -41,7 +41,7 @@ WORDS = 5
 DIVISIONS = 8
 #: More first-level parts than needed, as a share, so that few sets need another division.
 SPARE = 0.12
-FLUSH = 2_000_000
+FLUSH = 500_000
 
 
 @lru_cache(1)

@@ -11,7 +11,7 @@ import pyarrow as pa
 
 BASE = 0x9E3779B97F4A7C15 | 1
 #: Texts are worked on in lots of about so many bytes; a longer text is a lot of its own.
-LOT_BYTES = 2_000_000
+LOT_BYTES = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 TOKENIZER = "byte_bpe_50k.json"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NONE = np.int64(1 << 62)
-#: Texts of a batch are worked on in lots of about so many characters; a longer text is a lot of its own.
-LOT = 4_000_000
+#: Texts are worked on in lots of about so many characters (a longer text is a lot of its own) and at most so many rows.
+LOT, ROWS = 1_000_000, 256
 
 
 def byte_names() -> dict[str, int]:
@@ -157,13 +157,19 @@ def lots(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """The documents with a further column: the ids as little-endian unsigned 32-bit integers."""
     bpe = docs.sparkSession.sparkContext.broadcast(Bpe(path))
     fields = [*docs.schema.fields, T.StructField(out, T.BinaryType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [x or "" for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             found = [x.astype("<u4").tobytes() for a, b in lots(texts) for x in bpe.value.encode(texts[a:b])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, out])
@@ -177,7 +183,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
     fields = [*rows.schema.fields, T.StructField(out, T.StringType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [bpe.value.decode(np.frombuffer(x or b"", "<u4")) for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, out])
 
