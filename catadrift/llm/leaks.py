@@ -109,13 +109,16 @@ def find_leaks(
         )).alias("found"),
     )
     mine = mine.select("id", "h1", "h2", "found.n_words", F.explode("found.at").alias("at")).select("id", "h1", "h2", "n_words", "at.*")
-    every = mine.where("width = 0").select("id", "h1", "h2", "n_words", F.lit(None).cast("struct<start:int,end:int>").alias("hit"), F.lit(None).cast(f"array<{dict(benchmark.dtypes)[item]}>").alias("items"))
-    found = mine.where("width > 0").join(known, ["width", "mark", "span"]).select(
-        "id", "h1", "h2", "n_words", F.struct(F.col("start"), (F.col("start") + F.col("width")).alias("end")).alias("hit"), "items"
+    # documents' own rows join nothing; their keys are spread, so that no task gets them all
+    own = F.col("width") == 0
+    mine = mine.withColumn("mark", F.when(own, F.col("h1")).otherwise(F.col("mark"))).withColumn("span", F.coalesce("span", F.lit("")))
+    found = mine.join(known, ["width", "mark", "span"], "left").select(
+        "id", "h1", "h2", "n_words", own.alias("own"), "items",
+        F.when(F.col("items").isNotNull(), F.struct(F.col("start"), (F.col("start") + F.col("width")).alias("end"))).alias("hit"),
     )
-    out = every.unionByName(found).groupBy("id", "h1", "h2", "n_words").agg(
+    out = found.groupBy("id", "h1", "h2", "n_words").agg(
         F.array_sort(F.collect_set("hit")).alias("hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
-        F.count(F.when(F.col("hit").isNull(), 1)).alias("copies"),
+        F.count(F.when(F.col("own"), 1)).alias("copies"),
     )
     covered = F.aggregate(
         "hits", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("reach")),
