@@ -2,7 +2,7 @@
 
 Each curve projects the vectors at random to a few dimensions, shifts them by a random offset, and orders them by their
 Hilbert key. The orders are cut into slices of equal size, with bounds taken from a bounded sample; equal keys are told
-apart by a hash of the id, so that many equal vectors spread over slices. A query goes to its slice and those around it;
+apart by a hash of id and curve, so that many equal vectors spread over slices, and differently on each curve. A query goes to its slice and those around it;
 each slice ranks its vectors against its queries with one matrix product; the best of all curves are merged, scored in
 double precision on the original vectors.
 
@@ -76,7 +76,7 @@ class Curves:
             self.scale.append(np.maximum(flat.std(axis=0), 1e-300))
             self.shift.append(rng.uniform(-0.5, 0.5, size=dims))
         for c in range(curves):
-            key, tie = self.keys(c, wide), mix(ids.astype(np.uint64))
+            key, tie = self.keys(c, wide), self.ties(c, ids)
             order = np.lexsort((tie, key))
             cut = order[(np.arange(1, slices) * len(order)) // slices]
             self.bounds.append((key[cut], tie[cut]))
@@ -93,9 +93,13 @@ class Curves:
         cells = np.clip((place + 4) / 8 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
         return hilbert_keys(cells, BITS)
 
+    def ties(self, curve: int, ids: np.ndarray) -> np.ndarray:
+        """The order of equal keys, another one on each curve."""
+        return mix(ids.astype(np.uint64) ^ mix(np.array([curve + 1], np.uint64)))
+
     def slices(self, curve: int, wide: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """The slice of each vector: how many bounds are at or below its (key, hash of the id)."""
-        key, tie = self.keys(curve, wide), mix(ids.astype(np.uint64))
+        """The slice of each vector: how many bounds are at or below its (key, tie)."""
+        key, tie = self.keys(curve, wide), self.ties(curve, ids)
         bound, bound_tie = self.bounds[curve]
         first, last = np.searchsorted(bound, key, side="left"), np.searchsorted(bound, key, side="right")
         at = first.copy()

@@ -142,6 +142,21 @@ def test_neighbours(spark):
     assert [r.id for r in best] == sorted({r.id for r in best}) and len(best) == 5 and {r.score for r in best} == {5.0}
 
 
+def test_neighbours_among_many_equal_vectors(spark):
+    """A third of the rows hold one vector, over several slices: of equal scores the smallest ids are asked for."""
+    x = np.random.default_rng(3).normal(size=(3000, 16))
+    x[::3] = x[0]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = list(range(0, 3000, 30))
+    found: dict = {}
+    for r in neighbours.search(vectors, F.col("vec_id") % 30 == 0).collect():
+        found.setdefault(r.query_id, set()).add(r.id)
+    assert sorted(found) == asked
+    hits = sum(len(found[q] & set([i for i in range(0, 3000, 3) if i != q][:20])) for q in asked)
+    assert hits >= 0.97 * 20 * len(asked), hits
+
+
 LANGS = "doc_id long, text string, lang string, score int"
 
 
