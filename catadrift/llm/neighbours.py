@@ -13,7 +13,8 @@ The share of a curve that a query sees is a parameter. `SHARE` and `CURVES` are
 (on nearly isotropic 64-dimensional vectors, recall about 0.97); vectors that gather in clusters need far less.
 
 Edge cases: vectors that are null, zero, of another dimension than most, or hold null or non-finite components take no
-part, neither do null ids; rows that share an id count as one candidate, and a query's own id is never its neighbour.
+part, neither do null ids; rows that share an id count as one candidate with the best of their scores, and a query's own
+id is never its neighbour. Rows equal in id and vector are folded before they are dealt.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .frames import stored
 from .texts import mix
 
 CURVES, DIMS, BITS = 6, 3, 16
@@ -121,20 +123,27 @@ def usable(vector: Column) -> Column:
 
 
 def nearest(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Each query's k nearest: id, ids, scores; nearest first, ties to the smaller id."""
+    """Each query's k nearest ids: id, ids, best score of each; nearest first, ties to the smaller id."""
+    order = np.argsort(ids, kind="stable")
+    ids, vectors = ids[order], vectors[order]
+    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
     slack = 1e-12 * np.linalg.norm(vectors, axis=1).max(initial=0)
     for at in range(0, len(queries), 256):
         part = queries[at : at + 256]
         score = part @ vectors.T
         score[query_ids[at : at + 256, None] == ids[None, :]] = -np.inf
-        if len(ids) > k:
-            least = -np.partition(-score, k - 1, axis=1)[:, k - 1]
+        if len(first) > k:
+            top = score if len(first) == len(ids) else np.maximum.reduceat(score, first, axis=1)
+            least = -np.partition(-top, k - 1, axis=1)[:, k - 1]
         else:
             least = np.full(len(part), -np.inf)
         for i, row in enumerate(score):
             near = np.flatnonzero((row >= least[i] - slack * np.linalg.norm(part[i])) & (row > -np.inf))
             exact = np.einsum("ij,j->i", vectors[near], part[i])
-            best = np.lexsort((ids[near], -exact))[:k]
+            best = np.lexsort((ids[near], -exact))
+            if len(first) < len(ids):
+                best = best[np.sort(np.unique(ids[near][best], return_index=True)[1])]
+            best = best[:k]
             yield int(query_ids[at + i]), ids[near][best], exact[best]
 
 
@@ -145,17 +154,19 @@ def search(
     """query_id, rank, id, score of each query's k nearest other vectors."""
     every = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q"))
     every = every.where(F.col("id").isNotNull() & usable(F.col("v"))).withColumn("q", F.coalesce("q", F.lit(False)))
+    every = stored(every.groupBy("id", "v").agg(F.max("q").alias("q")), "vectors")
     sizes = every.groupBy(F.size("v").alias("dim")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("q").cast("long")).alias("queries"),
+        F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"), F.sum(F.col("q").cast("long")).alias("queries"),
         F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("longest"),
     ).orderBy(F.desc("n"), "dim").limit(1).collect()
     out = "query_id long, rank int, id long, score double"
     if not sizes:
         return vectors.sparkSession.createDataFrame([], out)
-    dim, n, asked, longest = sizes[0]
+    dim, n, different, asked, longest = sizes[0]
     every = every.where(F.size("v") == dim)
-    # a slice alone holds more than k rows, so that no query finds fewer
-    slices = max(1, min(max(SLICES, math.ceil(n / SLICE_ROWS)), n // (2 * (k + 1))))
+    # a slice alone holds more than k ids, so that no query finds fewer; many rows an id still make slices of bounded size
+    needed = math.ceil(n / SLICE_ROWS)
+    slices = max(1, min(max(SLICES, needed), n // (2 * (k + 1)), max(needed, different // (2 * (k + 1)))))
     around = math.ceil(share * slices - 0.5)
     parts = max(1, math.ceil(asked * (2 * around + 1) / slices / QUERY_ROWS))
     rows = every.orderBy(F.xxhash64("id"), "id").limit(sample).select("id", "v").toPandas()
@@ -184,13 +195,16 @@ def search(
         found = list(nearest(number[~ask], x[~ask], number[ask], x[ask], k)) if ask.any() and not ask.all() else []
         return pa.table({
             "query_id": pa.array([a for a, _, _ in found], pa.int64()),
-            "found": pa.array([[{"far": -float(s), "id": int(i)} for i, s in zip(b, c, strict=True)] for _, b, c in found], pa.list_(pa.struct([("far", pa.float64()), ("id", pa.int64())]))),
+            "found": pa.array([[{"id": int(i), "far": -float(s)} for i, s in zip(b, c, strict=True)] for _, b, c in found], pa.list_(pa.struct([("id", pa.int64()), ("far", pa.float64())]))),
         })
 
     dealt = every.mapInArrow(deal, "curve int, slice int, part int, asks boolean, id long, v binary")
-    best = dealt.groupBy("curve", "slice", "part").applyInArrow(rank, "query_id long, found array<struct<far:double,id:long>>")
-    merged = best.groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k).alias("found"))
-    return merged.select("query_id", F.posexplode("found").alias("rank", "r")).select(
+    best = dealt.groupBy("curve", "slice", "part").applyInArrow(rank, "query_id long, found array<struct<id:long,far:double>>")
+    merged = best.groupBy("query_id").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
+    # by id and distance: the first of each id is its best
+    once = F.filter("found", lambda x, i: (i == 0) | (F.get("found", i - 1).id != x.id))
+    ranked = F.slice(F.array_sort(F.transform(once, lambda x: F.struct(x.far.alias("far"), x.id.alias("id")))), 1, k)
+    return merged.select("query_id", ranked.alias("found")).select("query_id", F.posexplode("found").alias("rank", "r")).select(
         "query_id", (F.col("rank") + 1).alias("rank"), F.col("r.id").alias("id"), (-F.col("r.far")).alias("score")
     )
 

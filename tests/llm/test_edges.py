@@ -157,6 +157,21 @@ def test_neighbours_among_many_equal_vectors(spark):
     assert hits >= 0.97 * 20 * len(asked), hits
 
 
+@pytest.mark.parametrize("copies", [2, 40])
+def test_neighbours_among_repeated_rows(spark, copies):
+    """k ids are asked for, not k rows: of equal rows, and of rows that share an id but not the vector."""
+    x = np.random.default_rng(4).normal(size=(30, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] * copies + [(i, (v / (2 + c)).tolist()) for i, v in enumerate(x) for c in range(copies)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    held = {i: np.array([w for j, w in rows if j == i]) for i in range(30)}
+    found: dict = {}
+    for r in neighbours.search(vectors, F.col("vec_id").isin(3, 7), k=20).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.id, round(r.score, 9)))
+    for q in (3, 7):
+        best = sorted((-round(float((held[i] @ held[q].T).max()), 9), i) for i in range(30) if i != q)[:20]
+        assert sorted(found[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
+
+
 LANGS = "doc_id long, text string, lang string, score int"
 
 

@@ -107,6 +107,13 @@ def test_nearest_breaks_ties_by_id():
     assert found.tolist() == [0, 1, 2, 3] and (score == 4).all()
 
 
+def test_nearest_counts_ids_not_rows():
+    ids = np.array([9, 8, 7, 8, 8, 6, 5])
+    x = np.array([1.0, 5, 4, 7, 6, 3, 2])[:, None]
+    (_, found, score), = neighbours.nearest(ids, x, np.array([7]), np.ones((1, 1)), 3)
+    assert found.tolist() == [8, 6, 5] and score.tolist() == [7, 3, 2]
+
+
 def test_bpe_equals_the_library():
     from tokenizers import Tokenizer
 
