@@ -5,7 +5,8 @@ the loss of the labels a penalty on counterfactual pairs: sentences of labelled
 copies in which the term is swapped for every other term of its kind. The score of a text should not change with the
 group it mentions, so the model can't learn a group's name as a sign of toxicity, and neutral mentions stay clean.
 
-The model is trained on a bounded sample of labelled documents; every document is scored over its whole text.
+The model is trained on a bounded sample of labelled documents, and its intercept put right for the shares of the classes
+in that sample; every document is scored over its whole text.
 
 Edge cases: a null or empty text has no features and gets the score of the intercept; without labelled rows every score
 is next to 0; labels other than 0 and 1 and null labels teach nothing; a document that has several
@@ -14,7 +15,10 @@ label rows is toxic if one says so.
 
 from __future__ import annotations
 
+import hashlib
+import heapq
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,21 +74,24 @@ def text_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def counterfactuals(texts: list[str], kinds=IDENTITY, limit: int = MAX_PAIRS) -> tuple[list[str], list[str]]:
-    """Sentences that name a group, and the same with another group of the kind."""
+    """Sentences that name a group, and the same with another group of the kind; if over limit, drawn by hash of the place."""
     others = {term: [x for x in kind if x != term] for kind in kinds for term in kind}
     if not others:
         return [], []
     term = re.compile(r"(?i)(?<!\w)(" + "|".join(sorted(map(re.escape, others), key=len, reverse=True)) + r")(?!\w)")
-    said, swapped = [], []
+    drawn: list[tuple[int, int, str, str]] = []  # a heap, largest hash first
+    place = 0
     for text in texts:
         for sentence in re.split(r"(?<=[.!?\n])", text):
             for found in term.finditer(sentence):
                 for other in others[found[0].lower()]:
-                    if len(said) >= limit:
-                        return said, swapped
-                    said.append(sentence)
-                    swapped.append(sentence[: found.start()] + other + sentence[found.end() :])
-    return said, swapped
+                    place += 1
+                    turn = -int.from_bytes(hashlib.blake2b(b"%d" % place, digest_size=8).digest(), "big")
+                    if len(drawn) < limit or drawn and turn > drawn[0][0]:
+                        pair = (turn, place, sentence, sentence[: found.start()] + other + sentence[found.end() :])
+                        heapq.heappush(drawn, pair) if len(drawn) < limit else heapq.heapreplace(drawn, pair)
+    drawn.sort(key=lambda x: x[1])
+    return [x[2] for x in drawn], [x[3] for x in drawn]
 
 
 def _sums(doc: np.ndarray, row: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
@@ -126,8 +133,8 @@ def train(texts: list[str], toxic: list[int], kinds=IDENTITY, penalty: float = P
     return weights.astype(np.float32), float(bias)
 
 
-def sample(docs: DataFrame, labels: DataFrame, learn, key: str, text: str) -> list:
-    """(text, toxic) rows to learn from: of each class at most PER_CLASS."""
+def sample(docs: DataFrame, labels: DataFrame, learn, key: str, text: str) -> tuple[list, float]:
+    """(text, toxic) rows to learn from, of each class at most PER_CLASS, and how far the sample's log odds are below the true."""
     marks = labels.where(F.col("toxic").isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in marks.where(learn("k")).groupBy("toxic").count().collect()}
     share = F.lit(0.0)
@@ -139,13 +146,16 @@ def sample(docs: DataFrame, labels: DataFrame, learn, key: str, text: str) -> li
     # at most sum(PER_CLASS) keys, as a list in the plan: no document is shuffled for the sample
     keys = {r["k"]: r["toxic"] for r in chosen.collect()}
     rows = short.where(F.col("k").isin(list(keys))).limit(2 * sum(PER_CLASS.values())).collect() if keys else []
-    return sorted((r["text"], keys[r["k"]]) for r in rows)
+    taken = Counter(keys.values())
+    below = np.log(counts[1] / counts[0]) - np.log(taken[1] / taken[0]) if taken[0] and taken[1] else 0.0
+    return sorted((r["text"], keys[r["k"]]) for r in rows), float(below)
 
 
 def scored(docs: DataFrame, labels: DataFrame, learn, key: str = "doc_id", text: str = "text", out: str = "score", kinds=IDENTITY, penalty: float = PENALTY) -> DataFrame:
     """The documents with a further column: the probability of being toxic. learn(name of the id) marks the rows to learn from."""
-    rows = sample(docs, labels, learn, key, text)
+    rows, below = sample(docs, labels, learn, key, text)
     weights, bias = train([t for t, _ in rows], [y for _, y in rows], kinds, penalty)
+    bias += below if rows else 0.0
     model = docs.sparkSession.sparkContext.broadcast((weights, bias))  # 1 MB, by TABLE_BITS
     place = docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])

@@ -204,6 +204,14 @@ def test_toxicity(spark):
     assert toxicity.scored(spark.createDataFrame([], schema), labels, lambda name: F.lit(True), out="toxicity").count() == 0
 
 
+def test_toxicity_knows_the_true_share_of_a_capped_class(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "PER_CLASS", {1: 40, 0: 40})
+    docs = spark.createDataFrame([(i, "the same words in all") for i in range(800)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 20 == 0)) for i in range(800)], "doc_id long, toxic int")
+    scores = [r.score for r in toxicity.scored(docs, labels, lambda name: F.lit(True)).collect()]
+    assert max(scores) - min(scores) == 0 and abs(scores[0] - 0.05) < 0.01
+
+
 @pytest.mark.parametrize("words", [60_000])
 def test_a_very_long_text(spark, words):
     r = np.random.default_rng(2)

@@ -172,6 +172,14 @@ def test_counterfactuals_swap_within_a_kind():
     assert said == [" The Old man."] * 2 and swapped == [" The young man.", " The Old woman."]
 
 
+def test_counterfactuals_are_drawn_from_all_texts():
+    texts = [f"Text {i} names an old man." for i in range(1000)]
+    said, swapped = toxicity.counterfactuals(texts, (("old", "young"),), limit=100)
+    places = [texts.index(x) for x in said]
+    assert len(said) == 100 and places == sorted(places) and places[0] < 100 and places[-1] >= 900
+    assert swapped == [x.replace("old", "young") for x in said]
+
+
 @pytest.mark.parametrize("size", [0, 50, 17_000_000])
 def test_members_end_with_a_zero_byte(size):
     content = warc.record(1, "http://x/\r\né y", b"a" * size, "d", None)
