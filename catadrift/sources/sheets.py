@@ -2,7 +2,8 @@
 
 A sheet is a CSV file in a folder ``connection=<name>``; its first record is the header, all others are rows. Records may
 be of any width and hold quoted line breaks. A row stands at its place among the rows of its connection, files in order
-of their paths, the header being row 1. Which cell is which column is data, resolved for all files at once.
+of their paths, the header being row 1. Further columns without a header, and cells beyond it, are named by their place
+("Unnamed: 6", counted from 0). Which cell is which column is data, resolved for all files at once.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import io
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -71,10 +72,10 @@ def _records_of(spark: SparkSession, path: str, headers_only: bool) -> DataFrame
 
 
 def csv_sheet_headers(spark: SparkSession, path: str) -> DataFrame:
-    """Headers of all sheets: connection, file, pos, header. Only the first record of a file is parsed."""
+    """Headers of all sheets: connection, file, pos, header (null if blank). Only the first record of a file is parsed."""
     return _records_of(spark, path, True).select(
         "connection", "file", F.posexplode("cells").alias("pos", "header")
-    ).filter("header is not null")
+    )
 
 
 def csv_sheets(spark: SparkSession, path: str) -> DataFrame:
@@ -91,6 +92,10 @@ def csv_sheets(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _unnamed(pos: Column) -> Column:
+    return F.concat(F.lit("Unnamed: "), pos.cast("string"))
+
+
 def sheet_inventory(
     sheets: DataFrame, headers: DataFrame, config: DriftConfig = DEFAULT
 ) -> DataFrame:
@@ -102,7 +107,8 @@ def sheet_inventory(
     headers = headers.withColumn("connection", strip("connection"))
     keys = [c for c in ("connection", "file") if c in headers.columns]
     renamed = header_rename(headers, config)
-    other = ~F.col("new_name").isin(*STANDARD_COLUMNS)
+    other = F.col("new_name").isNull() | ~F.col("new_name").isin(*STANDARD_COLUMNS)
+    named = F.coalesce("header", _unnamed(F.col("pos"))).alias("header")
     places = (
         renamed.groupBy(*keys)
         .agg(
@@ -110,10 +116,11 @@ def sheet_inventory(
                 F.min(F.when(F.col("new_name") == name, F.col("pos"))).alias(target)
                 for name, target in STANDARD_COLUMNS.items()
             ],
-            F.array_sort(F.collect_list(F.when(other, F.struct("pos", "header")))).alias("other"),
+            F.array_sort(F.collect_list(F.when(other, F.struct("pos", named)))).alias("other"),
+            (F.max("pos") + 1).alias("width"),
         )
         .join(header_conflicts(headers, config).select("connection").distinct(), "connection", "left_anti")
-        .select(*keys, F.struct(*STANDARD_COLUMNS.values(), "other").alias("place"))
+        .select(*keys, F.struct(*STANDARD_COLUMNS.values(), "other", "width").alias("place"))
     )
     rows = join_salted(
         sheets.withColumn("connection", strip("connection")), places, keys, "row_number", "inner"
@@ -121,6 +128,11 @@ def sheet_inventory(
     further = F.transform(
         "place.other", lambda x: F.struct(x.header.alias("name"), F.get("cells", x.pos).alias("value"))
     )
+    beyond = F.transform(
+        F.slice("cells", F.col("place.width") + 1, F.size("cells")),
+        lambda x, i: F.struct(_unnamed(i + F.col("place.width")).alias("name"), x.alias("value")),
+    )
+    further = F.concat(further, F.filter(beyond, lambda x: x.value.isNotNull()))
     return rows.select(
         "connection",
         *[F.get("cells", F.col(f"place.{c}")).alias(c) for c in STANDARD_COLUMNS.values()],

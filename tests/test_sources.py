@@ -198,6 +198,19 @@ def test_further_columns_are_kept_in_the_annotated_copy(spark, tmp_path):
     assert [[tuple(f) for f in r.further] for r in result.annotated_inventory.collect()] == [[("Owner", "y")]]
 
 
+def test_columns_without_a_header_are_kept(spark, tmp_path):
+    for side in ("prev", "curr"):
+        folder = tmp_path / side / "connection=C"
+        folder.mkdir(parents=True)
+        (folder / "a.csv").write_text("Database,,Schema,Tables,Columns,Datatype,IsPII,Owner,\nd,note,s,t,a,INT,No,me,,more\nd,,s,t,b\n")
+    result = compare_sheets(spark, str(tmp_path / "prev"), str(tmp_path / "curr"))
+    found = {r.column_name: [tuple(f) for f in r.further] for r in result.annotated_inventory.collect()}
+    assert found == {
+        "a": [("Unnamed: 1", "note"), ("Owner", "me"), ("Unnamed: 8", None), ("Unnamed: 9", "more")],
+        "b": [("Unnamed: 1", None), ("Owner", None), ("Unnamed: 8", None)],
+    }
+
+
 @pytest.fixture
 def sheet_folders(tmp_path):
     bad = ["row", "DB", "Schema", "Tables", "Columns", "Datatype", "IsPII"]
