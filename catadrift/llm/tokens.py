@@ -15,7 +15,9 @@ as in the library; ids that aren't whole UTF-8 decode with replacement character
 from __future__ import annotations
 
 import json
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -39,6 +41,34 @@ def byte_names() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@lru_cache(1)
+def newer_signs() -> str:
+    """Letters and numbers of newer Unicode versions that the regex module knows and the tokenizers library doesn't, as ranges."""
+    from tokenizers import pre_tokenizers
+
+    cut, known = pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str, regex.compile(r"[\p{L}\p{N}]")
+    new = (c for c in map(chr, range(128, 0x110000)) if unicodedata.category(c) == "Cn" and known.match(c))
+    at = np.array([ord(c) for c in new if len(cut("a" + c)) == 2 == len(cut("1" + c))], dtype=np.int64)
+    head = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+    return "".join(f"\\U{at[a]:08X}-\\U{at[b - 1]:08X}" for a, b in zip(head, [*head[1:], len(at)], strict=True))
+
+
+class Pretokens:
+    """Cuts texts into words (pre-tokens) as the tokenizers library does."""
+
+    def __init__(self):
+        self.plain, self.new, self.exact = regex.compile(PATTERN), None, None
+        if new := newer_signs():
+            letter, number, other = rf"[\p{{L}}--[{new}]]", rf"[\p{{N}}--[{new}]]", rf"[[^\s\p{{L}}\p{{N}}]||[{new}]]"
+            self.new = regex.compile(f"[{new}]")
+            self.exact = regex.compile("(?V1)" + PATTERN.replace(r"[^\s\p{L}\p{N}]", other).replace(r" ?\p{L}", f" ?{letter}").replace(r" ?\p{N}", f" ?{number}"))
+
+    def findall(self, text: str) -> list[str]:
+        if self.new is None or text.isascii() or not self.new.search(text):
+            return self.plain.findall(text)
+        return self.exact.findall(text)
+
+
 class Bpe:
     """A byte-level BPE vocabulary read from a tokenizer file."""
 
@@ -59,7 +89,7 @@ class Bpe:
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.merged = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
         self.cut = regex.compile("|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True))) if self.special else None
-        self.words = regex.compile(PATTERN)
+        self.words = Pretokens()
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair; NONE where it has none."""
