@@ -9,7 +9,8 @@ that occur once or twice, so they are mined first (Savasere, Omiecinski and Nava
    level by level: each of its blocks counts its words, then two-word phrases whose words are candidates, then
    three-word phrases whose two halves are, and sends 64-bit hashes with counts; partitions by hash add up the counts of
    a shard, and tell the blocks which of their phrases are locally frequent in some shard: the union of the shards.
-2. All documents are read again, and all candidates counted exactly, by their text. Hashes only choose what to count: one
+2. All documents are read again, and candidates counted exactly, by their text. As the partition of a candidate has seen
+   its counts in all shards, it leaves out those whose sum falls short. Hashes only choose what to count: one
    that two phrases share makes a candidate too many, never one too few, and occurrences are told apart by 128 bits.
 
 A block is a bounded part of an input partition, so neither a language, a document id nor a group of copies makes one
@@ -182,8 +183,8 @@ class Blocks:
         })
 
 
-def locally_frequent(size: int, shards: int, least: int):
-    """For a partition's hashes: tells each block which of its phrases some shard holds `least` times."""
+def candidates(size: int, shards: int, least: int):
+    """For a partition's hashes: tells each block which of its phrases occur `least` times in some shard; with one shard, in all."""
 
     def run(table: pa.Table) -> pa.Table:
         codes, lengths = unpacked(table["codes"], np.uint64)
@@ -219,8 +220,10 @@ def phrase_counts(
             sent = dealt.groupBy("block").applyInArrow(_alone(work.send(1)), SENT)
         else:
             sent = dealt.groupBy("block").cogroup(last.groupBy("block")).applyInArrow(_paired(work.send(size)), SENT)
-        last = sent.groupBy("part").applyInArrow(locally_frequent(size, shards, least), CHOSEN)
-        told = last if told is None else told.unionByName(last)
+        last = sent.groupBy("part").applyInArrow(candidates(size, shards, least), CHOSEN)
+        # of the union, what may be frequent in all: a sum over all shards, so that what none holds `least` times isn't in it either
+        both = sent.groupBy("part").applyInArrow(candidates(size, 1, support), CHOSEN)
+        told = both if told is None else told.unionByName(both)
     counted = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda d, t: work.count(d, t), COUNTED)
     found = counted.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
     return found.where((F.col("n") >= support) | (F.col("size") == 0))
