@@ -14,9 +14,11 @@ are of the latter kind, and so on, no pair is lost.
    several classes share and pairs each of these classes with the smallest one.
 2. Pairs whose sketches differ in more bits than similar sets may differ in elements are ruled out; the others are
    verified on the whole sets, and components found.
-3. Signatures shared by classes of several components may hide further links. In such a group, classes of different
-   components are compared by their sketches, and only pairs that may still be similar leave it and are verified. No
-   pair is dropped that could be similar.
+3. Signatures shared by classes of several components may hide further links. The sets of such groups' classes go to the
+   group's shard, where classes of different components are compared, by sketches and then whole, and what is similar
+   joins their components; so only links that join two components leave, never more than there are members. A group of
+   many members is dealt into blocks, and each pair of blocks is a task of its own. No pair is left out that could link
+   two components.
 
 Edge cases: a null or empty text has no shingles and is linked with nothing; fewer words than a shingle are one; rows
 that share an id are separate documents, each in the component of its set; a document without an id is in the component
@@ -25,6 +27,7 @@ of documents with an equal set, if there are any, else in none. Classes are told
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -172,6 +175,9 @@ def sign(words: int, shards: int):
 
 
 SIGNED = "shard int, classes binary, sizes binary, counts binary, codes binary"
+SHARED = "a long, b long, g long, band int, lead long, chunk int, members array<long>"
+#: Members of a group in one row.
+MEMBERS = 10_000
 
 
 def _signed(names: list, sizes: list, codes: list, shards: int) -> pa.RecordBatch:
@@ -197,7 +203,7 @@ def _signed(names: list, sizes: list, codes: list, shards: int) -> pa.RecordBatc
 
 
 def share(table: pa.Table) -> pa.Table:
-    """Pairs of each shared signature's smallest class with the others, and groups of three and more."""
+    """Pairs of each shared signature's smallest class with the others, and groups of three and more, in rows of bounded size."""
     name, size = unpacked(table["classes"], np.int64)[0], unpacked(table["sizes"], np.uint32)[0].astype(np.int64)
     count, code = unpacked(table["counts"], np.uint32)[0], unpacked(table["codes"], np.uint32)[0]
     who = np.repeat(np.arange(len(name)), count)
@@ -212,7 +218,7 @@ def share(table: pa.Table) -> pa.Table:
     a, b = who[lead[follower]], who[follower]
     fit = (5 * size[a] >= 4 * size[b]) & (5 * size[b] >= 4 * size[a])
     pairs = np.unique(np.c_[name[a[fit]], name[b[fit]]], axis=0) if fit.any() else np.zeros((0, 2), np.int64)
-    groups: dict[bytes, tuple[int, list]] = {}
+    groups: dict[bytes, tuple[int, np.ndarray]] = {}
     band = np.searchsorted(bands(), size, side="right") - 1
     for x, n in zip(cut[many >= 3], many[many >= 3], strict=True):
         inside = who[x : x + n]
@@ -223,12 +229,21 @@ def share(table: pa.Table) -> pa.Table:
             take = inside[(band[inside] == t) | (band[inside] == t - 1)]
             if len(take) >= 3:
                 members = name[take]
-                groups.setdefault(members.tobytes(), (int(t), members.tolist()))
+                groups.setdefault(members.tobytes() + bytes([int(t)]), (int(t), members))
+    rows = [
+        (int.from_bytes(hashlib.blake2b(key, digest_size=8).digest(), "little", signed=True), t, int(members.min()), at // MEMBERS, members[at : at + MEMBERS].tolist())
+        for key, (t, members) in groups.items()
+        for at in range(0, len(members), MEMBERS)
+    ]
+    none = [None] * len(pairs)
     return pa.table({
-        "a": pa.array([*pairs[:, 0].tolist(), *[None] * len(groups)], pa.int64()),
-        "b": pa.array([*pairs[:, 1].tolist(), *[None] * len(groups)], pa.int64()),
-        "band": pa.array([*[None] * len(pairs), *[t for t, _ in groups.values()]], pa.int32()),
-        "group": pa.array([*[None] * len(pairs), *[m for _, m in groups.values()]], pa.list_(pa.int64())),
+        "a": pa.array([*pairs[:, 0].tolist(), *[None] * len(rows)], pa.int64()),
+        "b": pa.array([*pairs[:, 1].tolist(), *[None] * len(rows)], pa.int64()),
+        "g": pa.array([*none, *[r[0] for r in rows]], pa.int64()),
+        "band": pa.array([*none, *[r[1] for r in rows]], pa.int32()),
+        "lead": pa.array([*none, *[r[2] for r in rows]], pa.int64()),
+        "chunk": pa.array([*none, *[r[3] for r in rows]], pa.int32()),
+        "members": pa.array([*none, *[r[4] for r in rows]], pa.list_(pa.int64())),
     })
 
 
@@ -275,13 +290,18 @@ def filter_pairs(pairs: DataFrame, cell: DataFrame) -> DataFrame:
     return both.select("a", "b", (F.col("a_size") + F.col("b_size")).alias("n"), "a_sketch", "b_sketch").mapInArrow(plausible, "a long, b long")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar; sets are read off one document of each class."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+def whole_sets(asked: DataFrame, docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """class and elements of the asked classes; sets are read off one document of each class."""
     one = checkpoint(asked.join(classes, "class").select("class", F.col("one").alias("id")))
     # the field spares most texts that no pair needs the shuffle; the join decides
     texts = docs.where(may_hold(bit_field(one, "id"), "id")).join(one, "id")
-    sets = texts.select("class", "text").mapInArrow(shingle_sets(words), "class long, elements binary")
+    # another row with the id may have an equal set
+    return texts.select("class", "text").mapInArrow(shingle_sets(words), "class long, elements binary")
+
+
+def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """The pairs (a, b) of classes whose sets are similar."""
+    sets = whole_sets(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), docs, classes, words)
     left, right = (sets.select(F.col("class").alias(c), F.col("elements").alias(f"{c}_elements")) for c in ("a", "b"))
     return pairs.join(right, "b").join(left, "a").select("a", "b", "a_elements", "b_elements").mapInArrow(compare, "a long, b long")
 
@@ -355,36 +375,110 @@ def sketches(words: int):
     return run
 
 
-#: Members of a group that are compared at once.
-ROWS = 32
-
-
-def group_pairs(name: np.ndarray, root: np.ndarray, size: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a group in different components that may be similar by their sketches."""
-    for at in range(0, len(name) - 1, ROWS):
-        i = np.arange(at, min(at + ROWS, len(name)))[:, None]
-        j = np.arange(at + 1, len(name))[None, :]
-        fit = (j > i) & (root[i] != root[j]) & (5 * size[j] >= 4 * size[i]) & (4 * size[j] <= 5 * size[i])
-        x, y = np.nonzero(fit)
-        x, y = x + at, y + at + 1
-        if len(x):
-            near = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1) <= (size[x] + size[y]) // 9
-            yield np.minimum(name[x[near]], name[y[near]]), np.maximum(name[x[near]], name[y[near]])
-
-
-def open_pairs(table: pa.Table) -> pa.Table:
-    """What group_pairs finds in many groups."""
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    group, name, root, size = (table[c].to_numpy() for c in ("g", "class", "root", "size"))
-    body = table["sketch"].to_pylist()
-    order = np.argsort(group, kind="stable")
-    edge = np.r_[np.flatnonzero(np.r_[True, group[order][1:] != group[order][:-1]]), len(order)]
-    for a, b in zip(edge[:-1], edge[1:], strict=True):
-        at = order[a:b]
-        if b - a > 1 and (root[at] != root[at[0]]).any():
-            found += group_pairs(name[at], root[at], size[at], np.frombuffer(b"".join([body[i] for i in at]), np.uint8).reshape(b - a, -1))
-    pairs = np.unique(np.c_[np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])], axis=0)
-    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+#: Members of a group that are compared at once, members of a block of a large group, and bits of sketches made at once.
+ROWS, BLOCK, BITS = 32, 2_000, 1 << 23
+
+
+class Group:
+    """The classes that a task has got: sets, sketches, and components as they are joined."""
+
+    def __init__(self, names: list[int], sets: list[np.ndarray]):
+        self.place = {c: i for i, c in enumerate(names)}
+        self.sets = [sets[i] for i in self.place.values()]
+        self.names = np.array(list(self.place), dtype=np.int64)
+        self.place = {c: i for i, c in enumerate(self.place)}
+        self.size = np.array([len(x) for x in self.sets], dtype=np.int64)
+        self.parent: dict[int, int] = {}
+        self.tried: set[tuple[int, int]] = set()
+
+    def root(self, x: int) -> int:
+        while (up := self.parent.get(x, x)) != x:
+            self.parent[x] = self.parent.get(up, up)
+            x = up
+        return x
+
+    def sketches(self, which: np.ndarray, band: int) -> np.ndarray:
+        step = max(1, BITS // (SKETCH_BITS * int(bands()[band + 1] - 1)))
+        out = []
+        for at in range(0, len(which), step):
+            part = which[at : at + step]
+            owner = np.repeat(np.arange(len(part)), self.size[part])
+            out.append(sketch_rows(owner, np.concatenate([self.sets[i] for i in part]), len(part), band))
+        return np.concatenate(out)
+
+    def similar(self, i: int, j: int) -> bool:
+        both = len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True))
+        return 100 * both >= 80 * (len(self.sets[i]) + len(self.sets[j]) - both)
+
+    def links(self, member: np.ndarray, component: np.ndarray, block: np.ndarray, apart: bool, sketch: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Links between members of one group that join two components; `apart`: of different blocks only."""
+        size = self.size[member]
+        for at in range(0, len(member), ROWS):
+            now = np.array([self.root(x) for x in component.tolist()])
+            if (now == now[0]).all():
+                return
+            i, j = np.arange(at, min(at + ROWS, len(member)))[:, None], np.arange(at + 1, len(member))[None, :]
+            fit = (j > i) & (now[i] != now[j]) & (5 * size[j] >= 4 * size[i]) & (4 * size[j] <= 5 * size[i])
+            if apart:
+                fit &= block[i] != block[j]
+            x, y = np.nonzero(fit)
+            x, y = x + at, y + at + 1
+            for a in range(0, len(x), 1 << 14):
+                p, q = x[a : a + (1 << 14)], y[a : a + (1 << 14)]
+                near = np.bitwise_count(sketch[p] ^ sketch[q]).sum(axis=1) <= (size[p] + size[q]) // 9
+                for u, v in zip(p[near].tolist(), q[near].tolist(), strict=True):
+                    r, s = self.root(int(component[u])), self.root(int(component[v]))
+                    pair = min(int(member[u]), int(member[v])), max(int(member[u]), int(member[v]))
+                    if r != s and pair not in self.tried:
+                        if self.similar(*pair):
+                            self.parent[max(r, s)] = min(r, s)
+                            yield pair
+                        else:
+                            self.tried.add(pair)
+
+
+def group_links(rows: pa.Table, sets: pa.Table) -> pa.Table:
+    """Links between classes of a group and of different components, enough of them to join what is similar."""
+    task = Group(sets["class"].to_pylist(), [np.frombuffer(x, np.uint64) for x in sets["elements"].to_pylist()])
+    rows = rows.filter(pa.array([c in task.place for c in rows["class"].to_pylist()], pa.bool_()))
+    found = []
+    if rows.num_rows:
+        first, second, group, band, component, block = (rows[c].to_numpy() for c in ("first", "second", "g", "band", "root", "own"))
+        member = np.array([task.place[c] for c in rows["class"].to_pylist()], dtype=np.int64)
+        order = np.lexsort((group, second, first, band))
+        new = np.ones(len(order), bool)
+        new[1:] = np.logical_or.reduce([k[order[1:]] != k[order[:-1]] for k in (band, first, second, group)])
+        edge, known = np.r_[np.flatnonzero(new), len(order)], -1
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            at = order[a:b]
+            if band[at[0]] != known:
+                known = int(band[at[0]])
+                which = np.unique(member[band == known])
+                sketch = task.sketches(which, known)
+            mine = sketch[np.searchsorted(which, member[at])]
+            found += task.links(member[at], component[at], block[at], bool(first[at[0]] != second[at[0]]), mine)
+    return pa.table({"a": pa.array([int(min(task.names[i], task.names[j])) for i, j in found], pa.int64()), "b": pa.array([int(max(task.names[i], task.names[j])) for i, j in found], pa.int64())})
+
+
+def hidden_links(shared: DataFrame, labels: DataFrame, plain: DataFrame, classes: DataFrame, words: int) -> DataFrame | None:
+    """Links between components whose classes share signatures, enough of them to join what is similar; None if no group has two components."""
+    groups = shared.where("g IS NOT NULL").dropDuplicates(["g", "chunk"]).select("g", "band", "lead", F.explode("members").alias("class"))
+    members = groups.join(labels.withColumnRenamed("node", "class"), "class", "left")
+    members = checkpoint(members.select("g", "band", "lead", "class", F.coalesce("root", "class").alias("root")))
+    open_ = members.groupBy("g", "lead").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y")
+    # groups with one smallest class are much the same classes, so they meet in the same tasks and their sets move once
+    most = open_.groupBy("lead").agg(F.ceil(F.max("n") / BLOCK).cast("int").alias("blocks"))
+    mine = members.join(open_.select("g"), "g").join(most, "lead")
+    mine = mine.withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    mine = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    mine = mine.withColumn("first", F.least("own", "other")).withColumn("second", F.greatest("own", "other"))
+    shard = F.pmod(F.xxhash64("lead", "first", "second"), F.lit(4 * partitions(plain.sparkSession))).alias("shard")
+    mine = checkpoint(mine.select(shard, "first", "second", "g", "band", "class", "root", "own"))
+    if mine.isEmpty():
+        return None
+    sets = whole_sets(mine.select("class").distinct(), plain, classes, words).dropDuplicates(["class"])
+    held = mine.select("shard", "class").distinct().join(sets, "class")
+    return mine.groupBy("shard").cogroup(held.groupBy("shard")).applyInArrow(group_links, "a long, b long").distinct()
 
 
 def similar_classes(docs: DataFrame, words: int = WORDS, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -394,24 +488,14 @@ def similar_classes(docs: DataFrame, words: int = WORDS, key: str = "doc_id", te
     # one document per class, to read its set from
     classes = info.where("size > 0 AND id IS NOT NULL").groupBy("class").agg(F.min("id").alias("one"))
     signed = plain.mapInArrow(sign(words, partitions(docs.sparkSession)), SIGNED)
-    shared = checkpoint(signed.groupBy("shard").applyInArrow(share, "a long, b long, band int, group array<long>"))
+    shared = checkpoint(signed.groupBy("shard").applyInArrow(share, SHARED))
     cell = checkpoint(plain.mapInArrow(sketches(words), SKETCHED).dropDuplicates(["class", "band"]))
     first = shared.where("a IS NOT NULL").select("a", "b").distinct()
-    near = checkpoint(filter_pairs(first, cell))
-    links = checkpoint(verify(near, plain, classes, words))
+    links = checkpoint(verify(checkpoint(filter_pairs(first, cell)), plain, classes, words))
     labels = components(links)
-
-    groups = shared.where("group IS NOT NULL").select("band", "group").distinct().withColumn("g", F.xxhash64("band", "group"))
-    members = groups.select("g", "band", F.explode("group").alias("class")).join(labels.withColumnRenamed("node", "class"), "class", "left")
-    members = checkpoint(members.select("g", "band", "class", F.coalesce("root", "class").alias("root")))
-    open_ = members.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("g")
-    spread = F.pmod("g", F.lit(4 * partitions(docs.sparkSession))).alias("shard")
-    more = members.join(open_, "g").join(cell, ["class", "band"]).select(spread, "g", "class", "root", "size", "sketch")
-    more = more.groupBy("shard").applyInArrow(open_pairs, "a long, b long").distinct()
-    more = checkpoint(more.join(near, ["a", "b"], "left_anti"))
-    if more.limit(1).count():
-        links = checkpoint(links.unionByName(verify(more, plain, classes, words)))
-        labels = components(links)
+    more = hidden_links(shared, labels, plain, classes, words)
+    if more is not None:
+        labels = components(checkpoint(links.unionByName(more)))
     return info, labels
 
 

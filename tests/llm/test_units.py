@@ -77,19 +77,37 @@ def test_similar_sets_share_a_signature():
             assert found[0] & found[1], (size, gone)
 
 
-def test_groups_lose_no_similar_pair():
+def joined(n, pairs):
+    """The smallest node of each node's component."""
+    root = list(range(n))
+    for _ in range(n):
+        for i, j in pairs:
+            root[i] = root[j] = min(root[i], root[j])
+    return root
+
+
+@pytest.mark.parametrize("blocks", [1, 4])
+def test_groups_join_what_is_similar(blocks):
     r = rng(4)
     base = r.integers(0, 1 << 62, size=60).astype(np.uint64)
     sets = [np.unique(np.r_[base[r.random(60) > 0.1 * (i % 4)], r.integers(0, 1 << 62, size=i % 5).astype(np.uint64)]) for i in range(120)]
+    names = r.permutation(1000)[:120] - 500
     band = int(np.searchsorted(similar.bands(), 60, side="right") - 1) + 1
-    sketch = np.concatenate([similar.sketch_rows(np.zeros(len(s), np.int64), s, 1, band) for s in sets])
-    name = np.arange(120)
-    size = np.array([len(s) for s in sets])
-    got = {p for a, b in similar.group_pairs(name, name, size, sketch) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    own = np.arange(120) % blocks
+    rows = [
+        {"first": i, "second": j, "g": 7, "band": band, "class": int(names[x]), "root": int(names[x]), "own": int(own[x])}
+        for i in range(blocks) for j in range(i, blocks) for x in range(120) if own[x] in (i, j)
+    ]
+    held = pa.table({"class": [int(x) for x in names], "elements": [x.tobytes() for x in sets]})
+    want = []
     for i, j in itertools.combinations(range(120), 2):
         both = len(np.intersect1d(sets[i], sets[j]))
-        if 100 * both >= 80 * (size[i] + size[j] - both):
-            assert (i, j) in got
+        if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+            want.append((i, j))
+    place = {int(x): i for i, x in enumerate(names)}
+    got = [(place[a], place[b]) for a, b in zip(*similar.group_links(pa.Table.from_pylist(rows), held).to_pydict().values(), strict=True)]
+    assert len(got) < 120 and {tuple(sorted(p)) for p in got} <= set(want)
+    assert joined(120, got) == joined(120, want)
 
 
 def test_hilbert_keys_visit_every_cell_next_to_the_last():
