@@ -188,6 +188,32 @@ def test_languages(spark):
     assert languages.identify(spark.createDataFrame([], LANGS), F.lit(True)).count() == 0
 
 
+def test_language_spans_of_text_that_switches(spark):
+    en, de = "the cat and the dog run. they are here", "der hund und die katze laufen. sie sind hier"
+    known = [(i, en if i % 2 else de, "en" if i % 2 else "de", 1) for i in range(40)]
+    odd = [(90, f"\u00a0é {en}. {de}", None, 1), (91, None, None, 1), (92, "12 …", None, 1), (93, "", None, 1)]
+    docs = spark.createDataFrame(known + odd, LANGS)
+    got = {r.id: r for r in languages.identify(docs, F.col("doc_id") < 90, spans=True).collect()}
+    text = odd[0][1]
+    found = [(text[s.start : s.end], s.label) for s in got[90].spans]
+    assert found[-1] == (de, "de") and [x for x in found if x[1] == "en"][-1][0].endswith(en) and all(0 < s.probability <= 1 for s in got[90].spans)
+    assert [got[i].spans for i in (91, 92, 93)] == [[], [], []]
+    plain = languages.identify(docs, F.col("doc_id") < 90).collect()
+    assert {(r.id, r.lang_pred, r.score) for r in plain} == {(i, r.lang_pred, r.score) for i, r in got.items()}
+
+
+def test_every_label_is_learned(spark, monkeypatch):
+    """More labels than a full table would hold, one of them with long texts only."""
+    monkeypatch.setattr(languages, "WEIGHT_BITS", 18)
+    monkeypatch.setattr(languages, "MAX_CHARS", 300)
+    own = {f"l{k}": " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{x}" for x in ("mora", "tel", "dis")) for k in range(80)}
+    rows = [(i, (f"{w} " * (200 if name == "l7" else 3)).strip(), name, 1) for name, w in own.items() for i in range(4)]
+    asked = [(1000 + k, f"{w}", None, 1) for k, w in enumerate(own.values())]
+    docs = spark.createDataFrame(rows + asked, LANGS)
+    got = {r.id - 1000: r.lang_pred for r in languages.identify(docs, F.col("doc_id") < 1000).where("id >= 1000").collect()}
+    assert np.mean([got[k] == f"l{k}" for k in range(80)]) > 0.9 and got[7] == "l7"
+
+
 def test_toxicity(spark):
     rows = [(i, f"you awful idiot number {i}" if i % 3 == 0 else f"a nice day number {i}", 1, "x") for i in range(90)]
     odd = [(100, None, 1, "x"), (101, "", 1, "x"), (None, "an idiot", 1, "x"), (0, "a nice idiot", 1, "x")]
