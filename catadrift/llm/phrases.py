@@ -7,11 +7,11 @@ that occur once or twice, so they are mined first (Savasere, Omiecinski and Nava
 1. Documents are dealt into `shards` equal parts. A phrase with `support` occurrences in all has at least support / shards
    in one of them, so what is mined completely in each shard at that lowered support misses none. A shard is mined
    level by level: each of its blocks counts its words, then two-word phrases whose words are candidates, then
-   three-word phrases whose two halves are, and sends 64-bit hashes with counts; partitions by hash add up the counts of
-   a shard, and tell the blocks which of their phrases are locally frequent in some shard: the union of the shards.
-2. All documents are read again, and candidates counted exactly, by their text. As the partition of a candidate has seen
-   its counts in all shards, it leaves out those whose sum falls short. Hashes only choose what to count: one
-   that two phrases share makes a candidate too many, never one too few, and occurrences are told apart by 128 bits.
+   three-word phrases whose two halves are, and sends 48-bit hashes with counts. Partitions by hash add up the counts of
+   a shard; candidates are the union of what is locally frequent, less those whose counts in all shards, known there by
+   then, fall short of the support. The blocks are told which of their phrases are candidates.
+2. All documents are read again, and the candidates counted exactly, by their text. Hashes only choose what to count: one
+   that two phrases share makes a candidate too many, never one too few. Inside a block 112 bits tell phrases apart.
 
 A block is a bounded part of an input partition, so neither a language, a document id nor a group of copies makes one
 large; a frequent phrase moves once per block. Cuts, scores and the suppression of parts are joins of what is frequent.
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .frames import partitions, stored, unpacked
+from .frames import partitions, stored
 from .texts import BASE, Spans, byte_values, flat, mix, text_lots
 
 SUPPORT, LONGEST, TOP = 10, 3, 2000
@@ -60,13 +60,13 @@ def language_seeds(langs: list[str]) -> np.ndarray:
     return np.array([known[x] for x in langs], dtype=np.uint64)
 
 
-def longer(one: np.ndarray, together: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of the phrase of `size` words at every word, and whether there is one."""
+def longer(one: np.ndarray, together: np.ndarray, size: int, short: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The hash (the part of it that travels, if short) of the phrase of `size` words at every word, and whether there is one."""
     code, whole = one, np.ones(len(one), bool)
     for i in range(1, size):
         whole = whole & np.r_[together[i - 1 :], np.zeros(i - 1, bool)]
         code = mix(code * np.uint64(BASE) + np.r_[one[i:], np.zeros(min(i, len(one)), np.uint64)])
-    return code, whole
+    return code & CODE_BITS if short else code, whole
 
 
 def among(codes: np.ndarray, allowed: np.ndarray) -> np.ndarray:
@@ -88,7 +88,26 @@ def summed(keys: tuple[np.ndarray, ...], counts: np.ndarray) -> tuple[np.ndarray
 
 SENT = "part int, block int, codes binary, counts binary"
 CHOSEN = "block int, size int, codes binary"
+FOUND = "part int, langs array<string>, lang binary, sizes binary, lengths binary, phrases binary, bytes long, counts binary"
 COUNTED = "lang string, size int, phrase string, n long"
+#: Bytes of a hash that travel.
+WIDTH = 6
+CODE_BITS = np.uint64((1 << 8 * WIDTH) - 1)
+
+
+def planes(values: np.ndarray, width: int) -> bytes:
+    """The lower bytes of numbers, all first bytes first: sorted hashes and small numbers compress well so."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def numbers(rows: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a column of planes, and how many each row has."""
+    parts = []
+    for row in rows.to_pylist():
+        wide = np.zeros((len(row) // width, 8), np.uint8)
+        wide[:, :width] = np.frombuffer(row, np.uint8).reshape(width, -1).T
+        parts.append(wide.view("<u8")[:, 0])
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.array([len(x) for x in parts], dtype=np.int64)
 
 
 class Blocks:
@@ -113,7 +132,7 @@ class Blocks:
         """The candidates of a size that the block has been told of."""
         if rows is None:
             return np.zeros(0, np.uint64)
-        return np.unique(unpacked(rows.filter(pa.array([x == size for x in rows["size"].to_pylist()], pa.bool_()))["codes"], np.uint64)[0])
+        return np.unique(numbers(rows.filter(pa.array([x == size for x in rows["size"].to_pylist()], pa.bool_()))["codes"], WIDTH)[0])
 
     def send(self, size: int):
         """Counts of the block's phrases of a size whose shorter parts are candidates, packed by hash partition."""
@@ -130,72 +149,117 @@ class Blocks:
             counts = np.concatenate([n for _, n in found]).astype(np.int64) if found else np.zeros(0, np.int64)
             at, counts = summed((codes,), counts)
             codes = codes[at]
-            part = (codes >> np.uint64(32)) % np.uint64(self.parts)
-            order = np.argsort(part, kind="stable")
-            edge = np.searchsorted(part[order], np.arange(self.parts + 1))
-            used = np.flatnonzero(np.diff(edge))
+            order, edge, used = self.dealt(codes)
             block = docs["block"][0].as_py() if docs.num_rows else None
             return pa.table({
                 "part": pa.array(used, pa.int32()), "block": pa.array([block] * len(used), pa.int32()),
-                "codes": pa.array([codes[order[edge[p] : edge[p + 1]]].tobytes() for p in used], pa.binary()),
-                "counts": pa.array([counts[order[edge[p] : edge[p + 1]]].astype(np.uint32).tobytes() for p in used], pa.binary()),
+                "codes": pa.array([planes(codes[order[edge[p] : edge[p + 1]]], WIDTH) for p in used], pa.binary()),
+                "counts": pa.array([planes(counts[order[edge[p] : edge[p + 1]]], 4) for p in used], pa.binary()),
             })
 
         return run
 
+    def dealt(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """An order by partition, where each partition begins, and the partitions that have any."""
+        part = (codes >> np.uint64(8)) % np.uint64(self.parts)
+        order = np.argsort(part, kind="stable")
+        edge = np.searchsorted(part[order], np.arange(self.parts + 1))
+        return order, edge, np.flatnonzero(np.diff(edge))
+
     def count(self, docs: pa.Table, told: pa.Table) -> pa.Table:
-        """Exact counts of the candidates in the block, and of all words by language as size 0."""
+        """Exact counts of the candidates in the block, and of all words by language as size 0 (an empty phrase), packed by partition."""
         allowed = {size: self.chosen(told, size) for size in range(1, self.longest + 1)}
-        langs, out = docs["lang"].to_pylist(), {c: [] for c in ("lang", "size", "phrase", "n")}
-        found = {size: [] for size in allowed}
-        total: dict[str, int] = {}
+        langs = docs["lang"].to_pylist()
+        names = sorted(set(langs))
+        lang = np.searchsorted(np.array(names, dtype=object), np.array(langs, dtype=object)) if langs else np.zeros(0, np.int64)
+        found, total = [], np.zeros(len(names), np.int64)
         other = mix(byte_values(fold=True) + np.uint64(1))
         for body, base, start, end, doc, together, one, seed in self.lots(docs):
             two = mix(Spans(body, other).hash(start, end) + seed)
-            for lang, n in zip(*np.unique(np.array(langs, dtype=object)[doc], return_counts=True), strict=True):
-                total[lang] = total.get(lang, 0) + int(n)
+            total += np.bincount(lang[doc], minlength=len(names))
+            odd = np.r_[0, np.cumsum(start[1:] - end[:-1] != 1) + np.cumsum(body[end[:-1]] == 9)]  # separators that aren't one space
             for size, codes in allowed.items():
                 code, whole = longer(one, together, size)
                 at = np.flatnonzero(whole)
                 at = at[among(code[at], codes)]
                 if len(at):
-                    check = longer(two, together, size)[0][at]
-                    one_each, n = summed((check, code[at]), np.ones(len(at), np.int64))
-                    i = at[one_each]
-                    found[size].append((code[i], check[one_each], n, start[i] + base, end[i + size - 1] + base, doc[i]))
+                    check = longer(two, together, size, short=False)[0][at]
+                    first, n = summed((check, code[at]), np.ones(len(at), np.int64))
+                    i = at[first]
+                    found.append((code[i], check[first], n, np.full(len(i), size), lang[doc[i]], start[i] + base, end[i + size - 1] + base, odd[i + size - 1] - odd[i]))
+        if found:
+            code, check, n, size, which, start, end, odd = (np.concatenate(x) for x in zip(*found, strict=True))
+            at, n = summed((check, code, size), n)
+            code, size, which, start, end, odd = (x[at] for x in (code, size, which, start, end, odd))
+        else:
+            code, (n, size, which, start, end, odd) = np.zeros(0, np.uint64), (np.zeros(0, np.int64) for _ in range(6))
+        # the totals go to partitions by language
+        code = np.r_[code, language_seeds(names) & CODE_BITS] if names else code
+        n, size, which = np.r_[n, total], np.r_[size, np.zeros(len(names), np.int64)], np.r_[which, np.arange(len(names))]
+        start, end, odd = (np.r_[x, np.zeros(len(names), np.int64)] for x in (start, end, odd))
+        order, edge, used = self.dealt(code)
         data = flat(docs["text"])[0]
-        fold = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-        for size, parts in found.items():
-            if parts:
-                code, check, n, start, end, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
-                at, n = summed((check, code), n)
-                out["phrase"] += [b" ".join(data[a:b].tobytes().translate(fold).split()) for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
-                out["lang"] += [langs[i] for i in doc[at].tolist()]
-                out["size"] += [size] * len(at)
-                out["n"] += n.tolist()
-        out["lang"] += total.keys()
-        out["size"] += [0] * len(total)
-        out["phrase"] += [b""] * len(total)
-        out["n"] += total.values()
+        folded = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+        rows = [self.phrases(folded, start[o], end[o], odd[o] > 0) for o in (order[edge[p] : edge[p + 1]] for p in used)]
+        cut = [order[edge[p] : edge[p + 1]] for p in used]
         return pa.table({
-            "lang": pa.array(out["lang"], pa.string()), "size": pa.array(out["size"], pa.int32()),
-            "phrase": pa.array(out["phrase"], pa.binary()).cast(pa.string()), "n": pa.array(out["n"], pa.int64()),
+            "part": pa.array(used, pa.int32()), "langs": pa.array([names] * len(used), pa.list_(pa.string())),
+            "lang": pa.array([planes(which[o], 4) for o in cut], pa.binary()), "sizes": pa.array([planes(size[o], 1) for o in cut], pa.binary()),
+            "lengths": pa.array([planes(length, 4) for length, _ in rows], pa.binary()),
+            "phrases": pa.array([pa.compress(body, codec="zstd", asbytes=True) for _, body in rows], pa.binary()),
+            "bytes": pa.array([len(body) for _, body in rows], pa.int64()), "counts": pa.array([planes(n[o], 8) for o in cut], pa.binary()),
         })
 
+    @staticmethod
+    def phrases(data: np.ndarray, start: np.ndarray, end: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, bytes]:
+        """Lengths and bytes of phrases, one after the other; `odd` ones have other separators than single spaces."""
+        length = end - start
+        if not odd.any():
+            at = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+            return length, data[np.repeat(start, length) + at].tobytes()
+        body = data.tobytes()
+        texts = [b" ".join(body[a:b].split()) if x else body[a:b] for a, b, x in zip(start.tolist(), end.tolist(), odd.tolist(), strict=True)]
+        return np.array([len(x) for x in texts], dtype=np.int64), b"".join(texts)
+
+
+def add_up(support: int):
+    """Counts of a partition's phrases by their text; those of `support` occurrences, and the totals of languages."""
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = []
+        for row in table.to_pylist():
+            length, _ = numbers(pa.chunked_array([pa.array([row["lengths"]], pa.binary())]), 4)
+            body = pa.decompress(row["phrases"], decompressed_size=row["bytes"], codec="zstd") if row["bytes"] else pa.py_buffer(b"")
+            ends = pa.py_buffer(np.r_[0, np.cumsum(length)].astype(np.int64).tobytes())
+            phrase = pa.Array.from_buffers(pa.large_binary(), len(length), [None, ends, body])
+            index, size, n = (numbers(pa.chunked_array([pa.array([row[c]], pa.binary())]), w)[0].astype(np.int64) for c, w in (("lang", 4), ("sizes", 1), ("counts", 8)))
+            lang = pa.array(row["langs"], pa.string()).take(pa.array(index))
+            parts.append(pa.table({"lang": lang, "size": pa.array(size, pa.int32()), "phrase": phrase, "n": pa.array(n)}))
+        whole = pa.concat_tables(parts).group_by(["lang", "size", "phrase"], use_threads=False).aggregate([("n", "sum")])
+        n, size = whole["n_sum"].to_numpy(), whole["size"].to_numpy()
+        keep = (n >= support) | (size == 0) & (n > 0)
+        whole = whole.filter(pa.array(keep, pa.bool_()))
+        return pa.table({"lang": whole["lang"], "size": whole["size"], "phrase": whole["phrase"].cast(pa.large_string()).cast(pa.string()), "n": whole["n_sum"]})
+
+    return run
+
 
-def candidates(size: int, shards: int, least: int):
-    """For a partition's hashes: tells each block which of its phrases occur `least` times in some shard; with one shard, in all."""
+def candidates(size: int, shards: int, least: int, support: int):
+    """For a partition's hashes: tells each block which of its phrases occur `least` times in some shard and `support` times in all."""
 
     def run(table: pa.Table) -> pa.Table:
-        codes, lengths = unpacked(table["codes"], np.uint64)
-        counts = unpacked(table["counts"], np.uint32)[0].astype(np.int64)
+        codes, lengths = numbers(table["codes"], WIDTH)
+        counts = numbers(table["counts"], 4)[0].astype(np.int64)
         block = table["block"].to_numpy()
         shard = np.repeat(block % shards, lengths)
         at, local = summed((shard, codes), counts)
-        allowed = np.unique(codes[at[local >= least]])
+        union = np.unique(codes[at[local >= least]])
+        mine = among(codes[at], union)
+        one, total = summed((codes[at[mine]],), local[mine])
+        allowed = codes[at[mine]][one][total >= support]
         hit = among(codes, allowed)
         edge = np.r_[0, np.cumsum(lengths)]
-        rows = [(int(b), codes[x:y][hit[x:y]].tobytes()) for b, x, y in zip(block, edge[:-1], edge[1:], strict=True) if hit[x:y].any()]
+        rows = [(int(b), planes(codes[x:y][hit[x:y]], WIDTH)) for b, x, y in zip(block, edge[:-1], edge[1:], strict=True) if hit[x:y].any()]
         return pa.table({
             "block": pa.array([b for b, _ in rows], pa.int32()), "size": pa.array([size] * len(rows), pa.int32()), "codes": pa.array([c for _, c in rows], pa.binary()),
         })
@@ -207,26 +271,23 @@ def phrase_counts(
     docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, text: str = "text", lang: str = "lang", shards: int = SHARDS,
 ) -> DataFrame:
     """lang, size, phrase and n of all phrases of up to `longest` words with `support` occurrences; size 0 has all words of a language."""
-    parts = partitions(docs.sparkSession)
-    blocks = shards * max(1, -(-BLOCKS_PER_PARTITION * parts // shards))
+    count = partitions(docs.sparkSession)
+    parts, blocks = max(1, count // 2), shards * max(1, -(-BLOCKS_PER_PARTITION * count // shards))
     plain = docs.select(F.col(text).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"))
     # the place in the input spreads copies too; it is the same however often a partition is read
     place = F.xxhash64(F.monotonically_increasing_id())
     dealt = plain.withColumn("block", F.pmod(place, F.lit(blocks)).cast("int"))
     work, least = Blocks(parts, longest), -(-support // shards)
-    told = None
+    told = last = None
     for size in range(1, longest + 1):
-        if size == 1:
-            sent = dealt.groupBy("block").applyInArrow(_alone(work.send(1)), SENT)
+        if last is None:
+            sent = dealt.groupBy("block").applyInArrow(_alone(work.send(size)), SENT)
         else:
             sent = dealt.groupBy("block").cogroup(last.groupBy("block")).applyInArrow(_paired(work.send(size)), SENT)
-        last = sent.groupBy("part").applyInArrow(candidates(size, shards, least), CHOSEN)
-        # of the union, what may be frequent in all: a sum over all shards, so that what none holds `least` times isn't in it either
-        both = sent.groupBy("part").applyInArrow(candidates(size, 1, support), CHOSEN)
-        told = both if told is None else told.unionByName(both)
-    counted = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda d, t: work.count(d, t), COUNTED)
-    found = counted.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
-    return found.where((F.col("n") >= support) | (F.col("size") == 0))
+        last = sent.groupBy("part").applyInArrow(candidates(size, shards, least, support), CHOSEN)
+        told = last if told is None else told.unionByName(last)
+    found = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda d, t: work.count(d, t), FOUND)
+    return found.groupBy("part").applyInArrow(add_up(support), COUNTED)
 
 
 def _alone(f):
