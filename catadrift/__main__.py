@@ -1,7 +1,9 @@
 """Command line: compare two snapshots, write the results, exit with the run status.
 
-    python -m catadrift PREVIOUS CURRENT OUTPUT [--format parquet|csv|json|orc|table|sheets]
-        [--connection NAME] [--option KEY=VALUE ...] [--checkpoint FOLDER]
+    python -m catadrift PREVIOUS CURRENT OUTPUT [--format parquet|csv|json|orc|table|sheets|xlsx]
+        [--connection NAME] [--option KEY=VALUE ...] [--checkpoint FOLDER] [--documents]
+
+With --documents, workbooks and web pages are written too, to OUTPUT/documents.
 
 The session gets settings that suit the size of the input; spark.checkpoint.dir or --checkpoint names the folder for the
 changed keys, which Spark removes once they are no longer needed.
@@ -31,9 +33,10 @@ def run(arguments: list[str], spark: SparkSession | None = None) -> int:
     parser.add_argument("previous")
     parser.add_argument("current")
     parser.add_argument("output")
-    parser.add_argument("--format", choices=(*FORMATS, "sheets"), default="parquet")
+    parser.add_argument("--format", choices=(*FORMATS, "sheets", "xlsx"), default="parquet")
     parser.add_argument("--connection", help="name of the connection, for sources without such a column")
     parser.add_argument("--option", action="append", default=[], metavar="KEY=VALUE", help="an option of Spark's reader")
+    parser.add_argument("--documents", action="store_true", help="write workbooks and web pages too")
     parser.add_argument("--checkpoint", help="folder that all executors can reach")
     args = parser.parse_args(arguments)
     builder = SparkSession.builder.appName("catadrift").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
@@ -44,15 +47,19 @@ def run(arguments: list[str], spark: SparkSession | None = None) -> int:
             spark.sparkContext.setCheckpointDir(args.checkpoint)
         if args.format != "table":
             tune(spark, input_bytes(spark, args.previous, args.current))
-        if args.format == "sheets":
-            found = compare_sheets(spark, args.previous, args.current, comparison_ts=stamp)
+        if args.format in ("sheets", "xlsx"):
+            fmt = "xlsx" if args.format == "xlsx" else "csv"
+            found = compare_sheets(spark, args.previous, args.current, comparison_ts=stamp, fmt=fmt)
         else:
             options = dict(x.split("=", 1) for x in args.option)
             found = compare_locations(
                 spark, args.previous, args.current, args.format, comparison_ts=stamp,
                 connection=args.connection, **options,
             )
-        return found.write(args.output)
+        status = found.write(args.output)
+        if args.documents:
+            found.write_documents(f"{args.output}/documents")
+        return status
     except Exception:
         # Whatever went wrong, a pipeline is to see a failed run and not a drift.
         log.exception("comparison failed")

@@ -119,6 +119,9 @@ TINTS = {
 }
 DEFAULT_TINT = "#ffffff"
 
+# Title above the dropped rows of a report sheet.
+DROPPED_TITLE = "=== DROPPED ==="
+
 # Sections of the drift summary and the metrics in them, in report order.
 SECTIONS = {
     "DATABASE LEVEL": ("New Databases", "Dropped Databases"),

@@ -7,13 +7,13 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catadrift.config import DEFAULT, DRIFT, INVENTORY, DriftConfig
+from catadrift.config import DEFAULT, DRIFT, DROPPED_TITLE, INVENTORY, DriftConfig
 from catadrift.functions import strip
 from catadrift.operators import changes as ch
-from catadrift.operators import matching, metrics, quality, reports
+from catadrift.operators import matching, metrics, pages, quality, reports
 from catadrift.operators.headers import connection_status, failed_connections
 from catadrift.plans.session import cut, join_salted
-from catadrift.sources import checks, sheets, sinks
+from catadrift.sources import checks, sheets, sinks, workbooks
 from catadrift.sources.inventory import read_inventory
 
 
@@ -162,6 +162,31 @@ class Comparison:
             write(df, f"{path}/{name}", fmt)
         return self.run_status.first()["status"]
 
+    @cached_property
+    def workbooks(self) -> DataFrame:
+        """connection, part and content of the report's workbooks: the annotated copy, and below it what it no longer has."""
+        report = reports.annotated_report(self.annotated_inventory, self.dropped_section)
+        return workbooks.workbooks(*workbooks.report_rows(report, DROPPED_TITLE))
+
+    @cached_property
+    def critical_pages(self) -> DataFrame:
+        """connection, page, n_rows and html of the critical changes."""
+        return pages.critical_pages(reports.critical_table(self.drift, self.config))
+
+    @cached_property
+    def summary_page(self) -> DataFrame:
+        """One row, html."""
+        found = (metrics.drift_summary, metrics.change_totals, metrics.bars_by_change, metrics.bars_by_severity)
+        return pages.summary_page(*[f(self.metrics) for f in found], self.critical_pages)
+
+    def write_documents(self, path: str) -> None:
+        """Write the report for people: workbooks and web pages, in place of what an earlier run left."""
+        self.materialise()
+        workbooks.write_workbooks(self.workbooks, f"{path}/workbooks")
+        sinks.write_files(self.critical_pages.withColumnRenamed("html", "value"), ["connection", "page"], f"{path}/critical", "page.html")
+        summary = self.summary_page.select(F.lit("summary").alias("report"), F.col("html").alias("value"))
+        sinks.write_files(summary, ["report"], f"{path}/pages", "index.html")
+
 
 def compare(
     prev: DataFrame,
@@ -181,16 +206,20 @@ def compare_sheets(
     current: str,
     config: DriftConfig = DEFAULT,
     comparison_ts: str | None = None,
+    fmt: str = "csv",
 ) -> Comparison:
-    """Compare two folders of CSV sheets whose headers differ from connection to connection.
+    """Compare two folders of CSV sheets, or two workbooks (``fmt="xlsx"``), whose headers differ from connection to connection.
 
-    Connections whose headers cannot be resolved on either side are left out whole, and the
+    A workbook is a file or a folder of files, a connection each of its sheets. Connections whose headers cannot be resolved on either side are left out whole, and the
     run status tells that the run was partial.
     """
-    checks.check_locations(previous, current, "csv")
+    read_headers, read_rows = {
+        "csv": (sheets.csv_sheet_headers, sheets.csv_sheets), "xlsx": (workbooks.workbook_headers, workbooks.workbook_sheets)
+    }[fmt]
+    checks.check_locations(previous, current, fmt)
     # a row per header, read once for all checks
-    headers = [cut(sheets.csv_sheet_headers(spark, path)) for path in (previous, current)]
-    bodies = [sheets.csv_sheets(spark, path) for path in (previous, current)]
+    headers = [cut(read_headers(spark, path)) for path in (previous, current)]
+    bodies = [read_rows(spark, path) for path in (previous, current)]
     checks.check_connections(*headers)
     checks.check_headers(*headers, headers[0])
     stripped = [h.withColumn("connection", strip("connection")) for h in headers]

@@ -18,6 +18,7 @@ from catadrift.config import (
     TINTS,
     YES_VALUES,
 )
+from catadrift.operators import pages
 from catadrift.plans.derived import AFTER, BEFORE, DATATYPES, FLAGS, POSITION_STEP, SPELLINGS
 
 KEY = "connection, db_name, schema_name, table_name, column_name"
@@ -333,6 +334,24 @@ def oracle_sql() -> dict[str, str]:
         "Database": "db_name", "Schema": "schema_name", "Tables": "table_name",
         "Columns": "column_name", "Datatype": "datatype", "IsPII": "is_pii_raw",
     }
+    annotated = f"""
+        , cleaned AS (SELECT {clean_key}, * FROM curr_raw),
+        kept AS (SELECT * FROM cleaned QUALIFY {first.format(k_list)} = 1),
+        first_rows AS (
+            SELECT * FROM c_db
+            QUALIFY row_number() OVER (PARTITION BY {SCHEMA} ORDER BY row_number, table_name, column_name) = 1),
+        marks AS (
+            SELECT {KEY}, change_type, is_pii, severity, action FROM drift
+            WHERE row_number IS NOT NULL AND change_type <> 'New Database Added'
+            UNION ALL
+            SELECT f.connection, f.db_name, f.schema_name, f.table_name, f.column_name,
+                   d.change_type, d.is_pii, d.severity, d.action
+            FROM first_rows f JOIN drift d USING ({SCHEMA}) WHERE d.change_type = 'New Database Added')
+        SELECT k0 AS connection, k.db_name, k.schema_name, k.table_name, k.column_name,
+               k.datatype, k.is_pii_raw, k.row_number,
+               m.change_type, m.severity, m.action, {_by_pair(HIGHLIGHTS)} AS fill
+        FROM kept k LEFT JOIN marks m ON k0 = m.connection AND k1 = m.db_name
+            AND k2 = m.schema_name AND k3 = m.table_name AND k4 = m.column_name"""
     found = {
         "inventory_scan": on_clean(
             f"SELECT 'prev' AS side, {ALL} FROM prev_raw UNION ALL SELECT 'curr', {ALL} FROM curr_raw"
@@ -431,24 +450,7 @@ def oracle_sql() -> dict[str, str]:
         "bars_by_change": on_clean(f"SELECT * FROM ({_bars(CHANGE_BARS)}) WHERE value > 0"),
         "bars_by_severity": on_clean(_bars(SEVERITY_BARS)),
         "highlight": on_clean(f"SELECT {drift_row}, {_by_pair(HIGHLIGHTS)} AS fill FROM drift"),
-        "annotated_inventory": on_messy(f"""
-            , cleaned AS (SELECT {clean_key}, * FROM curr_raw),
-            kept AS (SELECT * FROM cleaned QUALIFY {first.format(k_list)} = 1),
-            first_rows AS (
-                SELECT * FROM c_db
-                QUALIFY row_number() OVER (PARTITION BY {SCHEMA} ORDER BY row_number, table_name, column_name) = 1),
-            marks AS (
-                SELECT {KEY}, change_type, is_pii, severity, action FROM drift
-                WHERE row_number IS NOT NULL AND change_type <> 'New Database Added'
-                UNION ALL
-                SELECT f.connection, f.db_name, f.schema_name, f.table_name, f.column_name,
-                       d.change_type, d.is_pii, d.severity, d.action
-                FROM first_rows f JOIN drift d USING ({SCHEMA}) WHERE d.change_type = 'New Database Added')
-            SELECT k0 AS connection, k.db_name, k.schema_name, k.table_name, k.column_name,
-                   k.datatype, k.is_pii_raw, k.row_number,
-                   m.change_type, m.severity, m.action, {_by_pair(HIGHLIGHTS)} AS fill
-            FROM kept k LEFT JOIN marks m ON k0 = m.connection AND k1 = m.db_name
-                AND k2 = m.schema_name AND k3 = m.table_name AND k4 = m.column_name"""),
+        "annotated_inventory": on_messy(annotated),
         "dropped_section": on_clean(
             f"SELECT {KEY}, datatype, is_pii, change_type, severity, action, {_by_pair(HIGHLIGHTS)} AS fill "
             "FROM drift WHERE contains(change_type, 'Dropped')"
@@ -501,4 +503,30 @@ def oracle_sql() -> dict[str, str]:
         "SELECT *, 'inventory' AS row_kind, 'o' || (row_number % 7) AS owner "
         f"FROM ({found['annotated_inventory']}) UNION ALL BY NAME SELECT *, 'dropped' AS row_kind FROM ({dropped})"
     )
+    cells = ["db_name", "schema_name", "table_name", "column_name", "datatype", "is_pii_raw", "change_type", "severity", "action"]
+    line = " || '|' || ".join(f"coalesce({c}, '')" for c in cells)
+    dropped = found["dropped_section"].replace("is_pii, change_type", "is_pii AS is_pii_raw, change_type")
+    found["report_workbook"] = (
+        f"SELECT connection, rtrim({line}, '|') AS cells FROM ({on_clean(annotated)}) UNION ALL "
+        f"SELECT connection, rtrim({line}, '|') FROM ({dropped}) UNION ALL SELECT DISTINCT connection, '=== DROPPED ===' FROM ({dropped})"
+    )
+    strip_all = ", ".join(f"{_strip(c) if c == 'connection' else c} AS {c}" for c in KEY.split(", "))
+    found["workbook_reader"] = on_messy(f"SELECT {strip_all}, datatype, is_pii_raw, 'x & <y>' AS owner FROM curr_raw WHERE connection IS NOT NULL")
+    shown = "".join(f" || '<td>' || {_escaped(c)} || '</td>'" for c in (*KEY.split(", "), "is_pii", "change_type", "severity", "action"))
+    found["critical_pages"] = f"""
+        SELECT connection, page, count(*) AS n_rows,
+               '{pages.PAGE_START}Critical changes of ' || {_escaped("connection")} || ', page ' || page || '{pages.BODY_START}{pages.TABLE_START}'
+               || string_agg(line, chr(10) ORDER BY place) || '{pages.TABLE_END}{pages.PAGE_END}' AS html
+        FROM (SELECT connection, place, (place - 1) // {pages.ROWS_PER_PAGE} + 1 AS page,
+                     '<tr style="background:' || tint || '">'{shown} || '</tr>' AS line
+              FROM (SELECT *, row_number() OVER (PARTITION BY connection ORDER BY change_type, db_name, schema_name, table_name, column_name) AS place
+                    FROM ({found["critical_tint"]})))
+        GROUP BY connection, page"""
     return found
+
+
+def _escaped(column: str) -> str:
+    out = f"coalesce({column}, '')"
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        out = f"replace({out}, '{sign}', '{name}')"
+    return out

@@ -25,7 +25,7 @@ from catadrift.operators import changes, headers, matching, metrics, quality, re
 from catadrift.plans.compare import Comparison
 from catadrift.plans.derived import inventory, lineitem, sheet_headers, sheet_rows
 from catadrift.plans.session import ensure_checkpoint_dir
-from catadrift.sources import checks, positions, sheets
+from catadrift.sources import checks, positions, sheets, workbooks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -115,8 +115,7 @@ def _sheet_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _read_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The current snapshot written as CSV sheets, several files a connection, and read by the reader."""
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/sheets-{uuid.uuid4().hex}"
+    path = _scratch(spark, "sheets")
     columns = [F.col(c).alias(name) for name, c in sheets.STANDARD_COLUMNS.items()]
     inventory(spark, sf_dir, "curr").repartition(3).select("connection", F.lit("x").alias("Owner"), *columns).write.option(
         "header", True
@@ -145,6 +144,32 @@ def _annotated_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("owner", F.get("further", F.lit(0)).value).drop("further")
 
 
+def _workbook_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messy current snapshot written as workbooks, several a connection, and read by the reader."""
+    path = _scratch(spark, "workbooks")
+    rows = inventory(spark, sf_dir, "curr", messy=True).where("connection IS NOT NULL")
+    cells = F.array(F.lit("x & <y>"), *sheets.STANDARD_COLUMNS.values())
+    rows = rows.select("connection", "row_number", *KEY[1:], F.lit(False).alias("bold"), F.lit(None).cast("string").alias("fill"), cells.alias("cells"))
+    headers = rows.select("connection").distinct().withColumn("cells", F.array(F.lit("Owner"), *[F.lit(x) for x in sheets.STANDARD_COLUMNS]))
+    order = ["row_number", *KEY[1:]]
+    workbooks.write_workbooks(workbooks.workbooks(rows.withColumnRenamed("row_number", "place"), headers, ["place", *order[1:]], 5_000), path)
+    found = sheets.sheet_inventory(workbooks.workbook_sheets(spark, path), workbooks.workbook_headers(spark, path))
+    return found.select(*[c for c in INVENTORY if c != "row_number"], F.get("further", F.lit(0)).value.alias("owner"))
+
+
+def _report_workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's workbooks, written and read again: cells of every row, without empty ones at the end."""
+    path = _scratch(spark, "report")
+    workbooks.write_workbooks(comparison(spark, sf_dir).workbooks, path)
+    line = F.rtrim(F.array_join("cells", "|", ""), F.lit("|"))
+    return workbooks.workbook_sheets(spark, path).select("connection", line.alias("cells"))
+
+
+def _scratch(spark: SparkSession, stem: str) -> str:
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{stem}-{uuid.uuid4().hex}"
+
+
 def _normalised(df: DataFrame) -> DataFrame:
     flags = quality.add_pii_flag(df)
     return flags.groupBy("is_pii_raw", "is_pii").agg(F.count("*").alias("n_rows"))
@@ -175,6 +200,7 @@ def queries() -> dict[str, Query]:
         "sheet_inventory": _sheet_inventory,
         "sheet_reader": _sheet_reader,
         "sheet_reader_positions": _sheet_reader_positions,
+        "workbook_reader": _workbook_reader,
         # Cleaning.
         "clean_strip": _of_current(quality.strip_columns),
         "normalise_pii": _of_current(_normalised),
@@ -206,6 +232,8 @@ def queries() -> dict[str, Query]:
         "drift_sorted": _of_comparison(lambda c: reports.drift_sorted(c.drift)),
         "critical_changes": _of_comparison(lambda c: c.critical_changes),
         "critical_tint": _of_comparison(lambda c: reports.critical_table(c.drift)),
+        "critical_pages": _of_comparison(lambda c: c.critical_pages),
+        "report_workbook": _report_workbook,
         "drift_by_connection": _of_comparison(lambda c: reports.drift_by_connection(c.drift)),
         "run_status": _run_status,
     }

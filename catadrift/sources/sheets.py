@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import csv
 import io
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,22 +42,22 @@ def _parse(headers_only: bool):
                     held.append([cell or None for cell in record])
                     index += 1
                     if headers_only or len(held) == BATCH:
-                        yield _records(connection, file, index - len(held), held)
+                        yield records_batch(connection, file, range(index - len(held), index), held)
                         held = []
                     if headers_only:
                         break
                 if held:
-                    yield _records(connection, file, index - len(held), held)
+                    yield records_batch(connection, file, range(index - len(held), index), held)
 
     return run
 
 
-def _records(connection: str, file: str, first: int, cells: list[list]) -> pa.RecordBatch:
+def records_batch(connection: str, file: str, index: Iterable[int], cells: list[list]) -> pa.RecordBatch:
     n = len(cells)
     return pa.RecordBatch.from_arrays(
         [
             pa.array([connection] * n, pa.string()), pa.array([file] * n, pa.string()),
-            pa.array(range(first, first + n), pa.int64()), pa.array(cells, pa.list_(pa.string())),
+            pa.array(index, pa.int64()), pa.array(cells, pa.list_(pa.string())),
         ],
         names=["connection", "file", "index", "cells"],
     )
@@ -80,10 +80,15 @@ def csv_sheet_headers(spark: SparkSession, path: str) -> DataFrame:
 
 def csv_sheets(spark: SparkSession, path: str) -> DataFrame:
     """Rows of all sheets: connection, file, row_number, cells."""
-    records = _records_of(spark, path, False).filter("index > 0")
+    return numbered(_records_of(spark, path, False))
+
+
+def numbered(records: DataFrame) -> DataFrame:
+    """Rows below the headers, each with its place among those of its connection, files in order of their paths."""
+    records = records.filter("index > 0")
     # One row per file of a connection.
     before = W.partitionBy("connection").orderBy("file").rowsBetween(W.unboundedPreceding, -1)
-    files = records.groupBy("connection", "file").agg(F.count("*").alias("n"))
+    files = records.groupBy("connection", "file").agg(F.max("index").alias("n"))
     shifts = files.select(
         "connection", "file", (F.coalesce(F.sum("n").over(before), F.lit(0)) + 1).alias("shift")
     )

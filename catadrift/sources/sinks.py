@@ -27,3 +27,13 @@ def write_by_connection(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 def write_plain(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Write a summary or one row per connection."""
     df.write.mode("overwrite").format(fmt).save(path)
+
+
+def write_files(texts: DataFrame, keys: list[str], path: str, name: str) -> None:
+    """Write each row's ``value``, and a line break, to a file of the given name in a folder per key, in place of what is there."""
+    texts.select(*keys, "value").write.mode("overwrite").partitionBy(*keys).text(path)
+    jvm, session = texts.sparkSession._jvm, texts.sparkSession._jsparkSession
+    written = jvm.org.apache.hadoop.fs.Path(path + "/*" * len(keys) + "/part-*")
+    store = written.getFileSystem(session.sessionState().newHadoopConf())
+    for file in store.globStatus(written) or []:  # only names change here
+        store.rename(file.getPath(), jvm.org.apache.hadoop.fs.Path(file.getPath().getParent(), name))
