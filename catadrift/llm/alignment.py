@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from .counts import merged
 from .frames import NO_ID, fresh, ids, packed, partitions, scratch, unpacked
-from .texts import mix
+from .texts import BASE, Spans, mix
 from .tokens import Bpe, default_path, lots, slices
 
 PIECES = "piece_bpe_32k.model"
@@ -94,11 +94,12 @@ class Remembered:
 
     def tokens(self, uses: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts given as pieces, one after the other, and how many each text has."""
-        missing = dict.fromkeys(x for use in uses for x in use if x not in self.number)
+        every = set(chain.from_iterable(uses))
+        missing = every.difference(self.number)
         if missing:
             if self.chars > PIECE_CHARS:
                 self.forget()
-                missing = dict.fromkeys(chain.from_iterable(uses))
+                missing = every
             found, sizes = self.encode(list(missing))
             self.number.update(zip(missing, range(len(self.number), len(self.number) + len(missing)), strict=True))
             self.chars += sum(map(len, missing)) + 8 * len(missing)
@@ -148,54 +149,78 @@ class Aligner:
         self.a, self.b = a, b
         self.table_a, self.table_b = Table(a.bytes), Table(b.bytes)
         self.memory_a, self.memory_b = Remembered(lambda words: merged(a, words)), Remembered(b.encoder())
+        # how an id is shown inside a group, at the end of its side and, on side B, at the end of a window
+        self.spelled_a = np.array([[f"{i}{x}" for i in range(len(a.bytes))] for x in ",|"], dtype=object)
+        self.spelled_b = np.array([[f"{i}{x}" for i in range(b.size)] for x in ",; "], dtype=object)
+        self.values_a, self.values_b = (mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(BASE)) for n in (len(a.bytes), b.size))
         self.forget()
 
     def forget(self) -> None:
         self.number, self.shown, self.counts = {}, [], array("q")
         self.pairs, self.ends = array("q"), array("q", [0])
 
-    def window(self, a: list[int], b: list[int]) -> tuple[str, int, list[int]]:
-        """Groups as text, how many, and links (as codes) of tokens that begin and end together."""
-        sizes_a, sizes_b, width = self.table_a.sizes, self.table_b.sizes, self.b.size
-        i = j = begin_a = begin_b = 0
-        end_a, end_b = int(sizes_a[a[0]]), int(sizes_b[b[0]])
-        groups, links = [], []
-        while True:
-            links.append(a[i] * width + b[j])
-            if end_a < end_b:
-                i += 1
-                end_a += int(sizes_a[a[i]])
-            elif end_b < end_a:
-                j += 1
-                end_b += int(sizes_b[b[j]])
-            else:
-                groups.append(f"{','.join(map(str, a[begin_a : i + 1]))}|{','.join(map(str, b[begin_b : j + 1]))}")
-                begin_a = i = i + 1
-                begin_b = j = j + 1
-                if i == len(a):
-                    return ";".join(groups), len(groups), links
-                end_a += int(sizes_a[a[i]])
-                end_b += int(sizes_b[b[j]])
+    def learn(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> None:
+        """Align windows given one after the other, with how many tokens each has: groups as text, how many, and links as codes."""
+        size_a, size_b = self.table_a.sizes[a], self.table_b.sizes[b]
+        end_a, end_b = np.cumsum(size_a), np.cumsum(size_b)
+        shared = np.intersect1d(end_a, end_b, assume_unique=True)
+        group_a, group_b = np.searchsorted(shared, end_a), np.searchsorted(shared, end_b)
+        last = np.searchsorted(shared, end_a[np.cumsum(n_a) - 1])  # the last group of each window
+        # a group's A tokens come first, then its B tokens; what follows a token tells where it stands
+        many_a, many_b = np.bincount(group_a, minlength=len(shared)), np.bincount(group_b, minlength=len(shared))
+        spell_a, spell_b = self.spelled_a, self.spelled_b
+        close_a, close_b = np.r_[group_a[1:] != group_a[:-1], True], np.r_[group_b[1:] != group_b[:-1], True].astype(np.int64)
+        final = np.zeros(len(shared), bool)
+        final[last] = True
+        close_b[(close_b == 1) & final[group_b]] = 2
+        out = np.empty(len(a) + len(b), dtype=object)
+        out[np.arange(len(a)) + (np.cumsum(many_b) - many_b)[group_a]] = spell_a[close_a.astype(np.int64), a]
+        out[np.arange(len(b)) + np.cumsum(many_a)[group_b]] = spell_b[close_b, b]
+        self.shown += "".join(out.tolist()).split(" ")[:-1]
+        self.counts.frombytes(np.diff(last, prepend=-1).astype(np.int64).tobytes())
+        # an A token overlaps the B tokens from the one that ends after its begin to the first that ends at its end or later
+        first = np.searchsorted(end_b, end_a - size_a, side="right")
+        many = np.searchsorted(end_b, end_a) - first + 1
+        at = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        codes = np.repeat(a, many) * self.b.size + b[np.repeat(first, many) + at]
+        links = np.add.reduceat(many, np.cumsum(n_a) - n_a)
+        self.pairs.frombytes(codes.astype(np.int64).tobytes())
+        self.ends.frombytes((self.ends[-1] + np.cumsum(links)).astype(np.int64).tobytes())
 
     def windows(self, a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> np.ndarray:
         """The number of each window's alignment."""
         if len(self.number) > WINDOWS:
             self.forget()
         known = self.number
+        code = Spans(a, self.values_a).hash(cut_a[:-1], cut_a[1:]) * np.uint64(BASE) + Spans(b, self.values_b).hash(cut_b[:-1], cut_b[1:])
+        _, one, same = np.unique(code, return_index=True, return_inverse=True)
+        odd = self.differ(a, cut_a, one[same]) | self.differ(b, cut_b, one[same])
+        if odd.any():  # hashes that meet by chance: these windows stand for themselves
+            same = same.copy()
+            same[odd] = len(one) + np.arange(int(odd.sum()))
+            one = np.r_[one, np.flatnonzero(odd)]
         bytes_a, bytes_b = a.astype("<u4").tobytes(), b.astype("<u4").tobytes()
-        edge_a, edge_b = (4 * cut_a).tolist(), (4 * cut_b).tolist()
-        out = np.empty(len(edge_a) - 1, np.int64)
-        for w, (p, q, r, s) in enumerate(zip(edge_a, edge_a[1:], edge_b, edge_b[1:])):
-            key = bytes_a[p:q], bytes_b[r:s]
-            number = known.get(key)
-            if number is None:
-                number = known[key] = len(known)
-                shown, n, links = self.window(a[p // 4 : q // 4].tolist(), b[r // 4 : s // 4].tolist())
-                self.shown.append(shown)
-                self.counts.append(n)
-                self.pairs.extend(links)
-                self.ends.append(len(self.pairs))
-            out[w] = number
+        keys = [
+            (bytes_a[p:q], bytes_b[r:t])
+            for p, q, r, t in zip(*((4 * x).tolist() for x in (cut_a[one], cut_a[one + 1], cut_b[one], cut_b[one + 1])), strict=True)
+        ]
+        new = {k: i for i, k in enumerate(keys) if k not in known}
+        if new:
+            at = one[list(new.values())]
+            parts = [ragged(x, cut, at) for x, cut in ((a, cut_a), (b, cut_b))]
+            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+            self.learn(parts[0][0], parts[1][0], parts[0][1], parts[1][1])
+        return np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))[same]
+
+    @staticmethod
+    def differ(ids: np.ndarray, cut: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Which windows have other ids than the windows named for them."""
+        size = np.diff(cut)
+        out = size != size[other]
+        many = np.where(out, 0, size)
+        at = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        wrong = ids[np.repeat(cut[:-1], many) + at] != ids[np.repeat(cut[other], many) + at]
+        out[np.repeat(np.arange(len(size)), many)[wrong]] = True
         return out
 
     def documents(self, texts: list[str | None]) -> Documents:

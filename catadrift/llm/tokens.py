@@ -60,11 +60,11 @@ class Pretokens:
         self.plain, self.new, self.exact = regex.compile(PATTERN), None, None
         if new := newer_signs():
             letter, number, other = rf"[\p{{L}}--[{new}]]", rf"[\p{{N}}--[{new}]]", rf"[[^\s\p{{L}}\p{{N}}]||[{new}]]"
-            self.new = regex.compile(f"[{new}]")
+            self.new = {chr(c) for x in regex.findall(r"\\U(\w{8})-\\U(\w{8})", new) for c in range(int(x[0], 16), int(x[1], 16) + 1)}
             self.exact = regex.compile("(?V1)" + PATTERN.replace(r"[^\s\p{L}\p{N}]", other).replace(r" ?\p{L}", f" ?{letter}").replace(r" ?\p{N}", f" ?{number}"))
 
     def findall(self, text: str) -> list[str]:
-        if self.new is None or text.isascii() or not self.new.search(text):
+        if self.new is None or text.isascii() or self.new.isdisjoint(text):
             return self.plain.findall(text)
         return self.exact.findall(text)
 
