@@ -1,9 +1,10 @@
 """Token counts against the tokenizers library."""
 
+import unicodedata
+
 import duckdb
 import pytest
 import regex
-import unicodedata
 from tokenizers import Tokenizer
 
 from catadrift.llm import counts, queries, tokens
@@ -37,9 +38,11 @@ def test_whole_tokens_are_one_token_in_the_library(counter, library):
         assert "�" in body or i in counter.bpe.special.values() or len(library.encode(body, add_special_tokens=False).ids) > 1 or len(counter.bpe.words.findall(body)) > 1
 
 
+SIGNS = {b: c for c, b in tokens.byte_names().items()}
+
+
 def spelled(name):
-    back = {b: c for c, b in tokens.byte_names().items()}
-    return "".join(back[b] for b in name.encode())
+    return "".join(SIGNS[b] for b in name.encode())
 
 
 def test_words_are_cut_as_in_the_library(counter):
