@@ -200,8 +200,12 @@ class Blocks:
         order, edge, used = self.dealt(code)
         data = flat(docs["text"])[0]
         folded = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
-        rows = [self.phrases(folded, start[o], end[o], odd[o] > 0) for o in (order[edge[p] : edge[p + 1]] for p in used)]
-        cut = [order[edge[p] : edge[p + 1]] for p in used]
+        # phrases that begin alike stand together, which compresses better
+        padded, head = np.r_[folded, np.zeros(8, np.uint8)].astype(np.uint64), np.zeros(len(start), np.uint64)
+        for i in range(8):
+            head = head << np.uint64(8) | padded[start + i]
+        cut = [o[np.argsort(head[o], kind="stable")] for o in (order[edge[p] : edge[p + 1]] for p in used)]
+        rows = [self.phrases(folded, start[o], end[o], odd[o] > 0) for o in cut]
         return pa.table({
             "part": pa.array(used, pa.int32()), "langs": pa.array([names] * len(used), pa.list_(pa.string())),
             "lang": pa.array([planes(which[o], 4) for o in cut], pa.binary()), "sizes": pa.array([planes(size[o], 1) for o in cut], pa.binary()),
@@ -309,19 +313,22 @@ def collocations(counts: DataFrame, top: int = TOP, kept: int = 50) -> DataFrame
     Columns lang, rank, phrase, a (occurrences), l and r (those of the parts of the weakest cut), n (words of the
     language) and score, floor(1,000,000 * a * a / (l * r)).
     """
-    known = counts.where("size > 0").select("lang", "phrase", F.col("n").cast("decimal(16,0)").alias("f"))
+    known = counts.where("size > 0").select("lang", "phrase", F.col("n").alias("f"))
     many = counts.where("size > 1").select("lang", "phrase", "size", F.col("n").alias("a"), F.split("phrase", " ").alias("words"))
     cut = many.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("size") - 1)))
-    cut = cut.select("lang", "phrase", "a", "k", part(1, F.col("k")).alias("left"), part(F.col("k") + 1, F.col("size") - F.col("k")).alias("right"))
+    # the phrase is its two parts, so it needn't move beside them
+    cut = cut.select("lang", "a", part(1, F.col("k")).alias("left"), part(F.col("k") + 1, F.col("size") - F.col("k")).alias("right"))
     for side, out in (("left", "l"), ("right", "r")):
         cut = cut.join(known.select("lang", F.col("phrase").alias(side), F.col("f").alias(out)), ["lang", side])
-    score = F.expr("(1000000BD * CAST(a AS DECIMAL(16,0)) * CAST(a AS DECIMAL(16,0))) div (l * r)").alias("score")
-    scored = cut.select("lang", "phrase", "a", "k", "l", "r", score).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("best"))
+    wide = "CAST({} AS DECIMAL(16,0))".format
+    score = F.expr(f"(1000000BD * {wide('a')} * {wide('a')}) div ({wide('l')} * {wide('r')})").alias("score")
+    weakest = F.min(F.struct(score, F.size(F.split("left", " ")).alias("k"), "l", "r")).alias("best")
+    scored = cut.groupBy("lang", F.concat_ws(" ", "left", "right").alias("phrase"), "a").agg(weakest)
     inner = many.where("size > 2").withColumn("m", F.explode(F.sequence(F.lit(2), F.col("size") - 1)))
     inner = inner.withColumn("at", F.explode(F.sequence(F.lit(1), F.col("size") - F.col("m") + 1)))
     inside = inner.select("lang", part(F.col("at"), F.col("m")).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
     free = scored.join(inside, ["lang", "phrase"], "left").where(F.expr("longer IS NULL OR 100BD * longer < CAST(a AS DECIMAL(19,0)) * " + str(int(kept))))
-    flat_ = free.select("lang", "phrase", "a", F.col("best.l").cast("long").alias("l"), F.col("best.r").cast("long").alias("r"), F.col("best.score").alias("score"))
+    flat_ = free.select("lang", "phrase", "a", "best.l", "best.r", "best.score")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     salt = F.pmod(F.xxhash64("phrase"), F.lit(SALTS))
     first = flat_.withColumn("salt", salt).withColumn("place", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("place") <= top)
