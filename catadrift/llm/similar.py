@@ -439,7 +439,7 @@ class Group:
 
 def group_links(rows: pa.Table, sets: pa.Table) -> pa.Table:
     """Links between classes of a group and of different components, enough of them to join what is similar."""
-    task = Group(sets["class"].to_pylist(), [np.frombuffer(x, np.uint64) for x in sets["elements"].to_pylist()])
+    task = Group(sets["node"].to_pylist(), [np.frombuffer(x, np.uint64) for x in sets["elements"].to_pylist()])
     rows = rows.filter(pa.array([c in task.place for c in rows["class"].to_pylist()], pa.bool_()))
     found = []
     if rows.num_rows:
@@ -477,8 +477,9 @@ def hidden_links(shared: DataFrame, labels: DataFrame, plain: DataFrame, classes
     if mine.isEmpty():
         return None
     sets = whole_sets(mine.select("class").distinct(), plain, classes, words).dropDuplicates(["class"])
-    held = mine.select("shard", "class").distinct().join(sets, "class")
-    return mine.groupBy("shard").cogroup(held.groupBy("shard")).applyInArrow(group_links, "a long, b long").distinct()
+    places = mine.select(F.col("shard").alias("place"), F.col("class").alias("node")).distinct()
+    held = places.join(sets.withColumnRenamed("class", "node"), "node")
+    return mine.groupBy("shard").cogroup(held.groupBy("place")).applyInArrow(group_links, "a long, b long").distinct()
 
 
 def similar_classes(docs: DataFrame, words: int = WORDS, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:

@@ -60,6 +60,32 @@ def test_links_that_no_signature_leader_shows(spark):
     assert {r.component_id for r in similar.components_of(frame(spark, rows)).collect()} == {0}
 
 
+@pytest.mark.parametrize("block", [2000, 2])
+def test_links_hidden_in_a_group(spark, monkeypatch, block):
+    """One group of all classes, none of them linked yet: what is similar is joined, over one task or several."""
+    monkeypatch.setattr(similar, "BLOCK", block)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*words[: 57 - i % 3], *(f"x{i}{j}" for j in range(1 + i % 3))]) for i in range(8)] + [" ".join(f"y{i}" for i in range(60)), " ".join(words[::-1])]
+    plain = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    info = plain.mapInArrow(similar.describe(5), "id long, size long, class long")
+    names = {r["class"]: r.id for r in info.collect()}
+    band = int(np.searchsorted(similar.bands(), 56, side="right") - 1)
+    members = sorted(names)
+    shared = spark.createDataFrame(
+        [(None, None, 7, band, members[0], 0, members[:4]), (None, None, 7, band, members[0], 1, members[4:]), (members[0], members[1], None, None, None, None, None)], similar.SHARED
+    )
+    classes = info.groupBy("class").agg(F.min("id").alias("one"))
+    labels = spark.createDataFrame([], "node long, root long")
+    found = [(names[r.a], names[r.b]) for r in similar.hidden_links(shared, labels, plain, classes, 5).collect()]
+    root = list(range(10))
+    for _ in found:
+        for a, b in found:
+            root[a] = root[b] = min(root[a], root[b])
+    assert root == [0] * 8 + [8, 9]
+    whole = spark.createDataFrame([(m, members[0]) for m in members], "node long, root long")
+    assert similar.hidden_links(shared, whole, plain, classes, 5) is None
+
+
 def test_leaks(spark):
     span = " ".join(f"t{i}" for i in range(12))
     bench = spark.createDataFrame([(10, span, "x"), (9, "Solo", "y"), (9, "two words", "z"), (None, "null item", ""), (4, None, ""), (5, "... !", "")], "item_id long, text string, doc_id string")

@@ -98,7 +98,7 @@ def test_groups_join_what_is_similar(blocks):
         {"first": i, "second": j, "g": 7, "band": band, "class": int(names[x]), "root": int(names[x]), "own": int(own[x])}
         for i in range(blocks) for j in range(i, blocks) for x in range(120) if own[x] in (i, j)
     ]
-    held = pa.table({"class": [int(x) for x in names], "elements": [x.tobytes() for x in sets]})
+    held = pa.table({"node": [int(x) for x in names], "elements": [x.tobytes() for x in sets]})
     want = []
     for i, j in itertools.combinations(range(120), 2):
         both = len(np.intersect1d(sets[i], sets[j]))
