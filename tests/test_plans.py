@@ -44,7 +44,7 @@ NO_BROADCAST = {
 
 
 # A record of a sheet may have any width and quoted line breaks, which only a parser in Python tells.
-READERS = {"sheet_reader", "sheet_reader_positions"}
+READERS = {"sheet_reader", "sheet_reader_positions", "workbook_reader", "report_workbook"}
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - READERS))
