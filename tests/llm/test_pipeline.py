@@ -60,7 +60,7 @@ def test_stages_against_sql_and_brute_force(spark, tmp_path):
 
 def test_the_rest_works_without_the_corpus_operators(tmp_path):
     copy = tmp_path / "repo"
-    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "spark-warehouse", "__pycache__"))
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", ".tmp", "llm", "corpus_pipeline.py", "spark-warehouse", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 50 and 'pipeline' not in q; assert set(q) == set(e.oracle_sql())"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], cwd=copy, env=env, check=True, timeout=120)
