@@ -375,8 +375,8 @@ def sketches(words: int):
     return run
 
 
-#: Members of a group that are compared at once, members of a block of a large group, and bits of sketches made at once.
-ROWS, BLOCK, BITS = 32, 2_000, 1 << 23
+#: Members of a group that are compared at once, members of a block of a large group, bits of sketches made and bytes of them compared at once.
+ROWS, BLOCK, BITS, BYTES = 32, 2_000, 1 << 21, 1 << 22
 
 
 class Group:
@@ -423,8 +423,9 @@ class Group:
                 fit &= block[i] != block[j]
             x, y = np.nonzero(fit)
             x, y = x + at, y + at + 1
-            for a in range(0, len(x), 1 << 14):
-                p, q = x[a : a + (1 << 14)], y[a : a + (1 << 14)]
+            step = max(1, BYTES // sketch.shape[1])
+            for a in range(0, len(x), step):
+                p, q = x[a : a + step], y[a : a + step]
                 near = np.bitwise_count(sketch[p] ^ sketch[q]).sum(axis=1) <= (size[p] + size[q]) // 9
                 for u, v in zip(p[near].tolist(), q[near].tolist(), strict=True):
                     r, s = self.root(int(component[u])), self.root(int(component[v]))
