@@ -1,5 +1,8 @@
 """Reading, checking and writing snapshots."""
 
+import csv
+import io
+
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -301,3 +304,39 @@ def test_the_same_result_from_stored_snapshots(spark, tmp_path):
     assert sorted(map(str, stored.collect())) == sorted(
         map(str, Comparison(found.prev, found.curr).drift.collect())
     )
+
+
+def test_large_csv_sheets_are_read_in_blocks(spark, tmp_path):
+    """Any place of a block's end gives the same records, also inside quotes, beside odd line breaks and bad bytes."""
+    contents = {
+        "connection=a b/1.csv": "﻿Database,Schema,Tables\n" + "".join(f'd,"s,{i}",t\r\n' for i in range(60)),
+        "connection=a b/2+ü.csv": 'Database,"Sche\nma"\n\n' + 'd,"x\n\ny"\nd,a"b\r' * 9 + 'd,"open\n',
+        "connection=a b/3.csv": 'Database,Schema\nd,"open',
+        "connection=c/1.csv": "\n\nDatabase\n",
+        "connection=c/2.csv": "Database,Schema\n" + "dé,\n" * 20,
+    }
+    expected, headers, last = [], [], {}
+    for name, text in contents.items():
+        file = tmp_path / name
+        file.parent.mkdir(exist_ok=True)
+        file.write_bytes(text.encode() + (b"\xff\xc3\nq" if name.endswith("c/2.csv") else b""))
+        connection = file.parent.name.partition("=")[2]
+        text = file.read_bytes().decode("utf-8-sig", "replace")
+        first, *rows = [[c or None for c in r] for r in csv.reader(io.StringIO(text, newline="")) if r]
+        headers += [(connection, pos, x) for pos, x in enumerate(first)]
+        for row in rows:
+            last[connection] = last.get(connection, 1) + 1
+            expected.append((connection, last[connection], row))
+    for size in ("23", "64", "300", "1m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            found = sheets.csv_sheets(spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
+            names = sheets.csv_sheet_headers(spark, str(tmp_path)).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert sorted((r.connection, r.row_number, r.cells) for r in found) == sorted(expected)
+        assert sorted((r.connection, r.pos, r.header) for r in names) == sorted(headers)
+        if size == "64":
+            assert len({r.task for r in found if r.file.endswith("b/1.csv")}) > 5
