@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from catadrift import Comparison, compare_sheets
 from catadrift.__main__ import run
 from catadrift.operators import pages
+from catadrift.plans import registry
 from catadrift.sources import workbooks
 
 HEADERS = ["Database", "Schema", "Tables", "Columns", "Datatype", "IsPII"]
@@ -142,3 +143,28 @@ def test_pages_of_bounded_length(spark):
     order = [x for p in (1, 2, 3) for x in re.findall(r"<td>(x\d+)</td>", got["c", p][1])]
     assert order == [f"x{i:03}" for i in range(25)] and "say &quot;hi&quot;" in got["c", 1][1]
     assert pages.critical_pages(table.where(F.lit(False))).count() == 0
+
+
+def test_written_workbooks_are_read_without_the_xml_parser(monkeypatch):
+    """Other forms are left to the parser, from where they begin."""
+    rows = [(2, False, None, [" a & <b>", "_x0041_", None, "l\r\n\tm", 'q"é']), (4, True, "FF00FF00", [None, "\x01", "", "]]>"])]
+    part = "xl/worksheets/sheet1.xml"
+    book = zipfile.ZipFile(io.BytesIO(workbooks.workbook("c", iter(rows), ["FF00FF00"]) + b"\n"))
+    expected = [(2, [" a & <b>", "_x0041_", None, "l\r\n\tm", 'q"é']), (4, [None, "\x01", None, "]]>"])]
+    assert list(workbooks._parsed_rows(book, part, [])) == expected
+    row = '<row r="{}"><c r="A{}" t="{}">{}</c></row>'
+    forms = [("inlineStr", "<is><r><t>a</t></r><rPh><t>b</t></rPh></is>"), ("s", "<v>1</v>"), ("b", "<v>1</v>"), ("e", "<v>#N/A</v>"), ("str", "<f>1&lt;2</f><v>x&#10;</v>"), ("n", "<v>1.50</v>")]
+    for i in range(len(forms)):
+        mixed = forms[i:] + forms[:i]
+        text = f'<worksheet xmlns="{workbooks.MAIN}"><sheetData>' + "".join(row.format(n, n, *f) for n, f in enumerate(mixed, 1)) + "</sheetData></worksheet>"
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as made:
+            made.writestr(part, text)
+        assert list(workbooks._rows(zipfile.ZipFile(out), part, ["x", "_y"])) == list(workbooks._parsed_rows(zipfile.ZipFile(out), part, ["x", "_y"]))
+    monkeypatch.setattr(workbooks, "_parsed_rows", None)
+    assert list(workbooks._rows(book, part, [])) == expected
+
+
+def test_workbooks_compute_the_comparison_once(spark):
+    books = registry.comparison(spark, "/root/testdata/sf0.001").materialise().workbooks
+    assert "FileScan" not in books._jdf.queryExecution().executedPlan().toString()
