@@ -167,5 +167,22 @@ def test_tuning_keeps_the_size_of_partitions(spark):
     assert large["spark.sql.adaptive.skewJoin.enabled"] == "true"
 
 
+def test_salted_join_sorts_by_a_hash(spark):
+    rows = spark.range(100).selectExpr("concat('t', id % 7) AS t", "concat('c', id) AS c")
+    groups = rows.select("t").distinct().withColumn("fact", F.length("t"))
+    with settings(spark, spark__sql__adaptive__enabled="false", **NO_BROADCAST):
+        joined = join_salted(rows, groups, ["t"], "c")
+        sorts = re.findall(r"Sort \[(\w+)#", plan(joined))
+    assert sorts and set(sorts) == {"join_hash"}
+    assert joined.columns == ["t", "c", "fact"] and joined.filter("fact = 2").count() == 100
+
+
+def test_missing_levels_are_found_without_sorting_tables(spark):
+    """The keys alone are sorted; an aggregate over text would sort tables too."""
+    with settings(spark, spark__sql__adaptive__enabled="false", **NO_BROADCAST):
+        keys = re.findall(r"SortAggregate\(key=\[(\w+)#", plan(registry.comparison(spark, SMALL).drift))
+    assert keys and set(keys) == {"key_hash"}
+
+
 def test_frames_have_the_inventory_schema(spark):
     assert frame(spark, []).columns == registry.comparison(spark, SMALL).prev.columns
