@@ -184,5 +184,15 @@ def test_missing_levels_are_found_without_sorting_tables(spark):
     assert keys and set(keys) == {"key_hash"}
 
 
+def test_marks_join_the_snapshot_as_its_aggregate_left_it(spark):
+    """No shuffle and no sort between removing duplicates and joining the marks."""
+    with settings(spark, spark__sql__adaptive__enabled="false", **NO_BROADCAST):
+        text = plan(registry.comparison(spark, SMALL, messy=True).annotated_inventory)
+    join = text.split("SortMergeJoin [key_hash")[1].splitlines()[1:]
+    left = next(line for line in join if re.search(r"SortAggregate|Exchange|Sort ", line))
+    assert "SortAggregate(key=[key_hash" in left
+    assert "Exchange hashpartitioning(key#" not in text
+
+
 def test_frames_have_the_inventory_schema(spark):
     assert frame(spark, []).columns == registry.comparison(spark, SMALL).prev.columns
