@@ -194,5 +194,18 @@ def test_marks_join_the_snapshot_as_its_aggregate_left_it(spark):
     assert "Exchange hashpartitioning(key#" not in text
 
 
+def test_derived_rows_are_filtered_before_their_names_are_made(spark):
+    """Nor does the stage that makes them outgrow what the JVM compiles (8000 bytes a method)."""
+    with settings(spark, spark__sql__adaptive__enabled="false", **NO_BROADCAST):
+        df = registry.comparison(spark, SMALL, messy=True).drift
+        filters = [line for line in plan(df).splitlines() if "Filter" in line and "l_suppkey" in line]
+        stages = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package").codegenStringSeq(
+            df._jdf.queryExecution().executedPlan()
+        )
+        sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+    assert filters and not any("concat" in line for line in filters)
+    assert sizes and max(sizes) <= 8000
+
+
 def test_frames_have_the_inventory_schema(spark):
     assert frame(spark, []).columns == registry.comparison(spark, SMALL).prev.columns
