@@ -14,11 +14,11 @@ are of the latter kind, and so on, no pair is lost.
    several classes share and pairs each of these classes with the smallest one.
 2. Pairs whose sketches differ in more bits than similar sets may differ in elements are ruled out; the others are
    verified on the whole sets, and components found.
-3. Signatures shared by classes of several components may hide further links. The sets of such groups' classes go to the
-   group's shard, where classes of different components are compared, by sketches and then whole, and what is similar
-   joins their components; so only links that join two components leave, never more than there are members. A group of
-   many members is dealt into blocks, and each pair of blocks is a task of its own. No pair is left out that could link
-   two components.
+3. Signatures shared by classes of several components may hide further links. The sketches of such groups' classes go to
+   the group's shard, where classes of different components are compared by them. Only the sets of classes that have such
+   a partner follow; what is similar joins their components, so only links that join two components leave, never more
+   than there are members. A group of many members is dealt into blocks, and each pair of blocks is a task of its own. No
+   pair is left out that could link two components.
 
 Edge cases: a null or empty text has no shingles and is linked with nothing; fewer words than a shingle are one; rows
 that share an id are separate documents, each in the component of its set; a document without an id is in the component
@@ -180,12 +180,24 @@ SHARED = "a long, b long, g long, band int, lead long, chunk int, members array<
 MEMBERS = 10_000
 
 
+def planes(values: np.ndarray) -> bytes:
+    """32-bit values as their lowest bytes, then their second ones and so on; small values then compress to one byte or less."""
+    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_planes(body: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
 def _signed(names: list, sizes: list, codes: list, shards: int) -> pa.RecordBatch:
-    """One row per shard: classes, their sizes, how many signatures of each, and the signatures' further 32 bits."""
+    """One row per shard: classes by size, the steps of their sizes, how many signatures of each, and the signatures' further 32 bits.
+
+    The more shards, the fewer signatures share what is said of their class, so that is kept short.
+    """
     name, size, code = np.concatenate(names), np.concatenate(sizes), np.concatenate(codes)
     shard = (code % np.uint64(shards)).astype(np.int64)
     code = (code // np.uint64(shards)).astype(np.uint32)
-    order = np.lexsort((name, shard))
+    order = np.lexsort((name, size, shard))
     name, size, code, shard = name[order], size[order], code[order], shard[order]
     head = np.flatnonzero(np.r_[True, (name[1:] != name[:-1]) | (shard[1:] != shard[:-1])])
     count = np.diff(np.r_[head, len(name)])
@@ -193,7 +205,7 @@ def _signed(names: list, sizes: list, codes: list, shards: int) -> pa.RecordBatc
     edge = np.r_[cut, len(shard)]
     edge_head = np.searchsorted(head, edge)
     rows = [
-        (int(shard[a]), name[head[x:y]].tobytes(), size[head[x:y]].tobytes(), count[x:y].astype(np.uint32).tobytes(), code[a:b].tobytes())
+        (int(shard[a]), name[head[x:y]].tobytes(), planes(np.diff(size[head[x:y]].astype(np.int64), prepend=0)), planes(count[x:y]), code[a:b].tobytes())
         for a, b, x, y in zip(edge[:-1], edge[1:], edge_head[:-1], edge_head[1:], strict=True)
     ]
     columns = list(zip(*rows, strict=True))
@@ -203,9 +215,10 @@ def _signed(names: list, sizes: list, codes: list, shards: int) -> pa.RecordBatc
 
 
 def share(table: pa.Table) -> pa.Table:
-    """Pairs of each shared signature's smallest class with the others, and groups of three and more, in rows of bounded size."""
-    name, size = unpacked(table["classes"], np.int64)[0], unpacked(table["sizes"], np.uint32)[0].astype(np.int64)
-    count, code = unpacked(table["counts"], np.uint32)[0], unpacked(table["codes"], np.uint32)[0]
+    """Pairs of each shared signature's smallest class with the others and their larger band, and groups of three and more, in rows of bounded size."""
+    name, code = unpacked(table["classes"], np.int64)[0], unpacked(table["codes"], np.uint32)[0]
+    size = np.concatenate([np.cumsum(from_planes(x)) for x in table["sizes"].to_pylist()])
+    count = np.concatenate([from_planes(x) for x in table["counts"].to_pylist()])
     who = np.repeat(np.arange(len(name)), count)
     order = np.lexsort((name[who], code))
     code, who = code[order], who[order]
@@ -217,9 +230,10 @@ def share(table: pa.Table) -> pa.Table:
     follower = np.arange(len(code)) != lead
     a, b = who[lead[follower]], who[follower]
     fit = (5 * size[a] >= 4 * size[b]) & (5 * size[b] >= 4 * size[a])
-    pairs = np.unique(np.c_[name[a[fit]], name[b[fit]]], axis=0) if fit.any() else np.zeros((0, 2), np.int64)
-    groups: dict[bytes, tuple[int, np.ndarray]] = {}
     band = np.searchsorted(bands(), size, side="right") - 1
+    pairs = np.c_[name[a[fit]], name[b[fit]], np.maximum(band[a[fit]], band[b[fit]])]
+    pairs = np.unique(pairs, axis=0) if fit.any() else np.zeros((0, 3), np.int64)
+    groups: dict[bytes, tuple[int, np.ndarray]] = {}
     for x, n in zip(cut[many >= 3], many[many >= 3], strict=True):
         inside = who[x : x + n]
         present = np.unique(band[inside])
@@ -240,7 +254,7 @@ def share(table: pa.Table) -> pa.Table:
         "a": pa.array([*pairs[:, 0].tolist(), *[None] * len(rows)], pa.int64()),
         "b": pa.array([*pairs[:, 1].tolist(), *[None] * len(rows)], pa.int64()),
         "g": pa.array([*none, *[r[0] for r in rows]], pa.int64()),
-        "band": pa.array([*none, *[r[1] for r in rows]], pa.int32()),
+        "band": pa.array([*pairs[:, 2].tolist(), *[r[1] for r in rows]], pa.int32()),
         "lead": pa.array([*none, *[r[2] for r in rows]], pa.int64()),
         "chunk": pa.array([*none, *[r[3] for r in rows]], pa.int32()),
         "members": pa.array([*none, *[r[4] for r in rows]], pa.list_(pa.int64())),
@@ -284,9 +298,9 @@ def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def filter_pairs(pairs: DataFrame, cell: DataFrame) -> DataFrame:
     """The pairs that their sketches in the larger set's band don't rule out."""
-    x, y = (cell.select(*[F.col(n).alias(f"{c}_{n}") for n in ("class", "band", "own", "size", "sketch")]) for c in ("a", "b"))
-    both = pairs.join(x, F.col("a") == F.col("a_class")).join(y, (F.col("b") == F.col("b_class")) & (F.col("a_band") == F.col("b_band")))
-    both = both.where(F.col("a_band") == F.greatest("a_own", "b_own"))
+    x, y = (cell.select(*[F.col(n).alias(f"{c}_{n}") for n in ("class", "band", "size", "sketch")]) for c in ("a", "b"))
+    both = pairs.join(x, (F.col("a") == F.col("a_class")) & (F.col("band") == F.col("a_band")))
+    both = both.join(y, (F.col("b") == F.col("b_class")) & (F.col("band") == F.col("b_band")))
     return both.select("a", "b", (F.col("a_size") + F.col("b_size")).alias("n"), "a_sketch", "b_sketch").mapInArrow(plausible, "a long, b long")
 
 
@@ -379,6 +393,61 @@ def sketches(words: int):
 ROWS, BLOCK, BITS, BYTES = 32, 2_000, 1 << 21, 1 << 22
 
 
+def near(size: np.ndarray, sketch: np.ndarray, at: int, fit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """In lots, the pairs of a strip of members (`fit`: from `at` on, with all after that) that sizes and sketches don't rule out."""
+    x, y = np.nonzero(fit)
+    x, y = x + at, y + at + 1
+    alike = (5 * size[y] >= 4 * size[x]) & (4 * size[y] <= 5 * size[x])
+    x, y = x[alike], y[alike]
+    step = max(1, BYTES // sketch.shape[1])
+    for a in range(0, len(x), step):
+        p, q = x[a : a + step], y[a : a + step]
+        keep = np.bitwise_count(sketch[p] ^ sketch[q]).sum(axis=1) <= (size[p] + size[q]) // 9
+        yield p[keep], q[keep]
+
+
+def group_edges(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of rows in which equal keys are together (last key first), and where each run begins and the last one ends."""
+    order = np.lexsort(keys)
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([k[order[1:]] != k[order[:-1]] for k in keys])
+    return order, np.r_[np.flatnonzero(new), len(order)]
+
+
+OPEN = "shard long, first int, second int, g long, band int, class long, root long, own int"
+
+
+def open_members(rows: pa.Table, cell: pa.Table) -> pa.Table:
+    """Members of groups that have a partner of another component in their group that sketches don't rule out."""
+    rows = rows.select([c.split()[0] for c in OPEN.split(", ")])
+    place = {x: i for i, x in enumerate(zip(cell["node"].to_pylist(), cell["level"].to_pylist(), strict=True))}
+    at = np.array([place.get(x, -1) for x in zip(rows["class"].to_pylist(), rows["band"].to_pylist(), strict=True)], dtype=np.int64)
+    rows, at = rows.filter(pa.array(at >= 0)), at[at >= 0]
+    if rows.num_rows == 0:
+        return rows
+    sketch, size = cell["sketch"].to_pylist(), cell["size"].to_numpy()[at]
+    first, second, group, band, component, block = (rows[c].to_numpy() for c in ("first", "second", "g", "band", "root", "own"))
+    order, edge = group_edges(group, second, first, band)
+    found, known = np.zeros(len(order), bool), -1
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
+        mine = order[a:b]
+        if band[mine[0]] != known:
+            known = band[mine[0]]
+            which = np.unique(at[band == known])
+            bits = np.frombuffer(b"".join(sketch[i] for i in which), np.uint8).reshape(len(which), -1)
+        root, part, apart = component[mine], block[mine], first[mine[0]] != second[mine[0]]
+        held, lengths, hit = bits[np.searchsorted(which, at[mine])], size[mine], np.zeros(len(mine), bool)
+        for x in range(0, len(mine), ROWS):
+            i, j = np.arange(x, min(x + ROWS, len(mine)))[:, None], np.arange(x + 1, len(mine))[None, :]
+            fit = (j > i) & (root[i] != root[j]) & ~(hit[i] & hit[j])  # of two found ones nothing is left to find
+            if apart:
+                fit &= part[i] != part[j]
+            for p, q in near(lengths, held, x, fit):
+                hit[p] = hit[q] = True
+        found[mine] = hit
+    return rows.filter(pa.array(found))
+
+
 class Group:
     """The classes that a task has got: sets, sketches, and components as they are joined."""
 
@@ -418,16 +487,11 @@ class Group:
             if (now == now[0]).all():
                 return
             i, j = np.arange(at, min(at + ROWS, len(member)))[:, None], np.arange(at + 1, len(member))[None, :]
-            fit = (j > i) & (now[i] != now[j]) & (5 * size[j] >= 4 * size[i]) & (4 * size[j] <= 5 * size[i])
+            fit = (j > i) & (now[i] != now[j])
             if apart:
                 fit &= block[i] != block[j]
-            x, y = np.nonzero(fit)
-            x, y = x + at, y + at + 1
-            step = max(1, BYTES // sketch.shape[1])
-            for a in range(0, len(x), step):
-                p, q = x[a : a + step], y[a : a + step]
-                near = np.bitwise_count(sketch[p] ^ sketch[q]).sum(axis=1) <= (size[p] + size[q]) // 9
-                for u, v in zip(p[near].tolist(), q[near].tolist(), strict=True):
+            for p, q in near(size, sketch, at, fit):
+                for u, v in zip(p.tolist(), q.tolist(), strict=True):
                     r, s = self.root(int(component[u])), self.root(int(component[v]))
                     pair = min(int(member[u]), int(member[v])), max(int(member[u]), int(member[v]))
                     if r != s and pair not in self.tried:
@@ -446,10 +510,8 @@ def group_links(rows: pa.Table, sets: pa.Table) -> pa.Table:
     if rows.num_rows:
         first, second, group, band, component, block = (rows[c].to_numpy() for c in ("first", "second", "g", "band", "root", "own"))
         member = np.array([task.place[c] for c in rows["class"].to_pylist()], dtype=np.int64)
-        order = np.lexsort((group, second, first, band))
-        new = np.ones(len(order), bool)
-        new[1:] = np.logical_or.reduce([k[order[1:]] != k[order[:-1]] for k in (band, first, second, group)])
-        edge, known = np.r_[np.flatnonzero(new), len(order)], -1
+        order, edge = group_edges(group, second, first, band)
+        known = -1
         for a, b in zip(edge[:-1], edge[1:], strict=True):
             at = order[a:b]
             if band[at[0]] != known:
@@ -461,8 +523,13 @@ def group_links(rows: pa.Table, sets: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([int(min(task.names[i], task.names[j])) for i, j in found], pa.int64()), "b": pa.array([int(max(task.names[i], task.names[j])) for i, j in found], pa.int64())})
 
 
-def hidden_links(shared: DataFrame, labels: DataFrame, plain: DataFrame, classes: DataFrame, words: int) -> DataFrame | None:
-    """Links between components whose classes share signatures, enough of them to join what is similar; None if no group has two components."""
+def sketched(plain: DataFrame, words: int) -> DataFrame:
+    """The sketches of all classes in their band and the next."""
+    return plain.mapInArrow(sketches(words), SKETCHED).dropDuplicates(["class", "band"])
+
+
+def hidden_links(shared: DataFrame, labels: DataFrame, plain: DataFrame, classes: DataFrame, words: int, cell: DataFrame | None = None) -> DataFrame | None:
+    """Links between components whose classes share signatures, enough of them to join what is similar; None if no group can hold one."""
     groups = shared.where("g IS NOT NULL").dropDuplicates(["g", "chunk"]).select("g", "band", "lead", F.explode("members").alias("class"))
     members = groups.join(labels.withColumnRenamed("node", "class"), "class", "left")
     members = checkpoint(members.select("g", "band", "lead", "class", F.coalesce("root", "class").alias("root")))
@@ -475,6 +542,14 @@ def hidden_links(shared: DataFrame, labels: DataFrame, plain: DataFrame, classes
     mine = mine.withColumn("first", F.least("own", "other")).withColumn("second", F.greatest("own", "other"))
     shard = F.pmod(F.xxhash64("lead", "first", "second"), F.lit(4 * partitions(plain.sparkSession))).alias("shard")
     mine = checkpoint(mine.select(shard, "first", "second", "g", "band", "class", "root", "own"))
+    if mine.isEmpty():
+        return None
+    # sketches go first: they are a sixteenth of the sets, and most members have no partner that theirs leaves possible
+    cell = sketched(plain, words) if cell is None else cell
+    wanted = mine.select(F.col("shard").alias("place"), F.col("class").alias("node"), F.col("band").alias("level")).distinct()
+    some = cell.where(may_hold(bit_field(mine, "class"), "class")).select("class", "band", "size", "sketch")
+    held = wanted.join(some, (F.col("node") == F.col("class")) & (F.col("level") == F.col("band"))).select("place", "node", "level", "size", "sketch")
+    mine = checkpoint(mine.groupBy("shard").cogroup(held.groupBy("place")).applyInArrow(open_members, OPEN))
     if mine.isEmpty():
         return None
     sets = whole_sets(mine.select("class").distinct(), plain, classes, words).dropDuplicates(["class"])
@@ -491,11 +566,11 @@ def similar_classes(docs: DataFrame, words: int = WORDS, key: str = "doc_id", te
     classes = info.where("size > 0 AND id IS NOT NULL").groupBy("class").agg(F.min("id").alias("one"))
     signed = plain.mapInArrow(sign(words, partitions(docs.sparkSession)), SIGNED)
     shared = checkpoint(signed.groupBy("shard").applyInArrow(share, SHARED))
-    cell = checkpoint(plain.mapInArrow(sketches(words), SKETCHED).dropDuplicates(["class", "band"]))
-    first = shared.where("a IS NOT NULL").select("a", "b").distinct()
+    cell = checkpoint(sketched(plain, words))
+    first = shared.where("a IS NOT NULL").select("a", "b", "band").distinct()
     links = checkpoint(verify(checkpoint(filter_pairs(first, cell)), plain, classes, words))
     labels = components(links)
-    more = hidden_links(shared, labels, plain, classes, words)
+    more = hidden_links(shared, labels, plain, classes, words, cell)
     if more is not None:
         labels = components(checkpoint(links.unionByName(more)))
     return info, labels

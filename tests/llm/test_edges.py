@@ -86,6 +86,25 @@ def test_links_hidden_in_a_group(spark, monkeypatch, block):
     assert similar.hidden_links(shared, whole, plain, classes, 5) is None
 
 
+def test_only_sets_that_may_be_similar_go_to_their_groups(spark, monkeypatch):
+    """Of a group's members that have no similar partner, sketches are sent and no sets."""
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words), " ".join([*words[:58], "x", "y"]), *(" ".join(f"v{i}x{j}" for j in range(60)) for i in range(6))]
+    plain = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    info = plain.mapInArrow(similar.describe(5), "id long, size long, class long")
+    names = {r["class"]: r.id for r in info.collect()}
+    band, members = int(np.searchsorted(similar.bands(), 56, side="right") - 1), sorted(names)
+    classes, labels = info.groupBy("class").agg(F.min("id").alias("one")), spark.createDataFrame([], "node long, root long")
+    asked, whole_sets = [], similar.whole_sets
+    monkeypatch.setattr(similar, "whole_sets", lambda wanted, *rest: asked.extend(names[r["class"]] for r in wanted.collect()) or whole_sets(wanted, *rest))
+    shared = spark.createDataFrame([(None, None, 7, band, members[0], 0, members)], similar.SHARED)
+    found = similar.hidden_links(shared, labels, plain, classes, 5).collect()
+    assert [{names[r.a], names[r.b]} for r in found] == [{0, 1}] and sorted(asked) == [0, 1]
+    apart = [m for m in members if names[m] > 0]
+    shared = spark.createDataFrame([(None, None, 7, band, apart[0], 0, apart)], similar.SHARED)
+    assert similar.hidden_links(shared, labels, plain, classes, 5) is None
+
+
 def test_leaks(spark):
     span = " ".join(f"t{i}" for i in range(12))
     bench = spark.createDataFrame([(10, span, "x"), (9, "Solo", "y"), (9, "two words", "z"), (None, "null item", ""), (4, None, ""), (5, "... !", "")], "item_id long, text string, doc_id string")

@@ -110,6 +110,49 @@ def test_groups_join_what_is_similar(blocks):
     assert joined(120, got) == joined(120, want)
 
 
+def test_open_members_have_a_possible_partner():
+    """Every member of a similar pair of two components stays, over one block or several; members of other groups don't count."""
+    r = rng(5)
+    base = r.integers(0, 1 << 62, size=60).astype(np.uint64)
+    sets = [np.unique(base[r.random(60) > 0.05 * (i % 4)]) if i % 3 else r.integers(0, 1 << 62, size=60).astype(np.uint64) for i in range(90)]
+    names = [int(x) for x in r.permutation(1000)[:90] - 500]
+    band = int(np.searchsorted(similar.bands(), 60, side="right") - 1) + 1
+    cell = pa.table({
+        "node": names, "level": [band] * 90, "size": [len(x) for x in sets],
+        "sketch": [similar.sketch_rows(np.zeros(len(x), np.int64), x, 1, band)[0].tobytes() for x in sets],
+    })
+    rows = [
+        {"shard": 0, "first": i, "second": j, "g": g, "band": band, "class": names[x], "root": x % 7, "own": x % 2}
+        for g in (7, 8) for i in range(2) for j in range(i, 2) for x in range(45 * (g - 7), 45 * (g - 6)) if x % 2 in (i, j)
+    ]
+    want = set()
+    for a, b in itertools.combinations(range(90), 2):
+        both = len(np.intersect1d(sets[a], sets[b]))
+        if a % 7 != b % 7 and (a < 45) == (b < 45) and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+            i, j = sorted((a % 2, b % 2))
+            want |= {(7 + (a >= 45), i, j, names[x]) for x in (a, b)}
+    got = {(x["g"], x["first"], x["second"], x["class"]) for x in similar.open_members(pa.Table.from_pylist(rows), cell).to_pylist()}
+    assert want and want <= got and not any(names.index(x) % 3 == 0 for *_, x in got)
+
+
+def test_signatures_stay_short_over_many_shards():
+    """Sizes and counts, repeated with the class in every shard, take about a byte each once compressed."""
+    r = rng(6)
+    name = np.repeat(r.integers(0, 1 << 62, size=1000).astype(np.uint64), 100)
+    size = np.repeat(r.integers(200, 400, size=1000), 100).astype(np.uint32)
+    code = r.integers(0, 1 << 62, size=100_000).astype(np.uint64)
+    batch = similar._signed([name], [size], [code], 200)
+    held = [b"".join(batch[c].to_pylist()) for c in ("classes", "sizes", "counts", "codes")]
+    assert len(held[3]) == 4 * len(code)
+    runs = len(held[0]) // 8
+    assert runs > 30_000
+    extra = sum(len(pa.compress(x, codec="lz4_raw")) for c in ("sizes", "counts") for x in batch[c].to_pylist())
+    assert extra < 2.5 * runs
+    back = [np.cumsum(similar.from_planes(x)) for x in batch["sizes"].to_pylist()]
+    assert {int(x) for x in np.concatenate(back)} == {int(x) for x in size}
+    assert sum(int(similar.from_planes(x).sum()) for x in batch["counts"].to_pylist()) == len(code)
+
+
 def test_hilbert_keys_visit_every_cell_next_to_the_last():
     cells = np.array(list(itertools.product(range(8), repeat=3)))
     key = neighbours.hilbert_keys(cells, 3)
