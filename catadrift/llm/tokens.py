@@ -23,6 +23,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -193,10 +194,8 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, ROWS)
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """The documents with a further column: the ids as little-endian unsigned 32-bit integers."""
-    bpe = docs.sparkSession.sparkContext.broadcast(Bpe(path))
-    fields = [*docs.schema.fields, T.StructField(out, T.BinaryType())]
+def encoder(bpe: Broadcast[Bpe], text: str, out: str):
+    """Adds the ids of a column's texts to each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -204,20 +203,47 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
             found = [x.astype("<u4").tobytes() for a, b in lots(texts) for x in bpe.value.encode(texts[a:b])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, out])
 
-    return docs.mapInArrow(run, T.StructType(fields))
+    return run
 
 
-def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """The rows with a further column: the text of the ids."""
-    bpe = rows.sparkSession.sparkContext.broadcast(Bpe(path))
-    fields = [*rows.schema.fields, T.StructField(out, T.StringType())]
+def decoder(bpe: Broadcast[Bpe], ids: str, out: str):
+    """Adds the texts of a column's ids to each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = [bpe.value.decode(np.frombuffer(x or b"", "<u4")) for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, out])
 
-    return rows.mapInArrow(run, T.StructType(fields))
+    return run
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
+    """The documents with a further column: the ids as little-endian unsigned 32-bit integers."""
+    bpe = docs.sparkSession.sparkContext.broadcast(Bpe(path))
+    return docs.mapInArrow(encoder(bpe, text, out), T.StructType([*docs.schema.fields, T.StructField(out, T.BinaryType())]))
+
+
+def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """The rows with a further column: the text of the ids."""
+    bpe = rows.sparkSession.sparkContext.broadcast(Bpe(path))
+    return rows.mapInArrow(decoder(bpe, ids, out), T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())]))
+
+
+def round_trip(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """What decode() makes of encode(), without the given texts, in one Python worker a task.
+
+    One after the other they take two workers a task, and executors keep these, with their memory, for whatever runs next.
+    """
+    bpe = docs.sparkSession.sparkContext.broadcast(Bpe(path))
+    there, back = encoder(bpe, text, ids), decoder(bpe, ids, out)
+    fields = [*[f for f in docs.schema.fields if f.name != text], T.StructField(ids, T.BinaryType()), T.StructField(out, T.StringType())]
+    names = [f.name for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in back(there(batches)):
+            yield batch.select(names)
+
+    return docs.mapInArrow(run, T.StructType(fields))
 
 
 def default_path() -> str:
@@ -229,7 +255,7 @@ def default_path() -> str:
 def tokenised(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: key, ids (little-endian unsigned 32-bit integers), n_tokens, ids_sha256, and the decoded text's digest."""
     docs = docs.select(F.col(key), F.col(text).alias("text_to_encode"))
-    done = decode(encode(docs, path, "text_to_encode"), path)
+    done = round_trip(docs, path, "text_to_encode")
     return done.select(
         key, "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),

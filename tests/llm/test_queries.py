@@ -85,6 +85,16 @@ def test_tokens(spark):
     assert {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got} == want
 
 
+def test_tokens_are_made_and_read_back_in_one_python_worker(spark):
+    rows = [(1, "a", "It's  the\n<|endoftext|> x"), (2, "b", None), (3, None, ""), (None, "c", "\u00e9\u4e2d \U0001f600"), (1, "a", "It's  the\n<|endoftext|> x")]
+    docs, path = spark.createDataFrame(rows, "doc_id long, lang string, text string"), tokens.default_path()
+    plan = tokens.tokenised(docs, path)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    both, apart = tokens.round_trip(docs, path), tokens.decode(tokens.encode(docs, path), path).drop("text")
+    assert both.schema == apart.schema
+    assert sorted(map(repr, both.collect())) == sorted(map(repr, apart.collect()))
+
+
 def test_secrets(spark):
     assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     want = {}
