@@ -22,7 +22,7 @@ from pyspark.sql import SparkSession
 
 from catadrift.config import RUN_FAILED
 from catadrift.plans.compare import compare_locations, compare_sheets
-from catadrift.plans.session import input_bytes, tune
+from catadrift.plans.session import cuts_removed, input_bytes, tune
 from catadrift.sources.inventory import FORMATS
 
 log = logging.getLogger("catadrift")
@@ -47,19 +47,20 @@ def run(arguments: list[str], spark: SparkSession | None = None) -> int:
             spark.sparkContext.setCheckpointDir(args.checkpoint)
         if args.format != "table":
             tune(spark, input_bytes(spark, args.previous, args.current))
-        if args.format in ("sheets", "xlsx"):
-            fmt = "xlsx" if args.format == "xlsx" else "csv"
-            found = compare_sheets(spark, args.previous, args.current, comparison_ts=stamp, fmt=fmt)
-        else:
-            options = dict(x.split("=", 1) for x in args.option)
-            found = compare_locations(
-                spark, args.previous, args.current, args.format, comparison_ts=stamp,
-                connection=args.connection, **options,
-            )
-        status = found.write(args.output)
-        if args.documents:
-            found.write_documents(f"{args.output}/documents")
-        return status
+        with cuts_removed(spark):
+            if args.format in ("sheets", "xlsx"):
+                fmt = "xlsx" if args.format == "xlsx" else "csv"
+                found = compare_sheets(spark, args.previous, args.current, comparison_ts=stamp, fmt=fmt)
+            else:
+                options = dict(x.split("=", 1) for x in args.option)
+                found = compare_locations(
+                    spark, args.previous, args.current, args.format, comparison_ts=stamp,
+                    connection=args.connection, **options,
+                )
+            status = found.write(args.output)
+            if args.documents:
+                found.write_documents(f"{args.output}/documents")
+            return status
     except Exception:
         # Whatever went wrong, a pipeline is to see a failed run and not a drift.
         log.exception("comparison failed")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from catadrift import Comparison
 from catadrift.operators import quality
 from catadrift.plans import registry
-from catadrift.plans.session import join_salted, salts, tuning
+from catadrift.plans import session
+from catadrift.plans.session import cut, join_facts, join_salted, salts, tuning
 from tests.snapshots import frame
 
 SMALL = "/root/testdata/sf0.001"
@@ -209,3 +210,32 @@ def test_derived_rows_are_filtered_before_their_names_are_made(spark):
 
 def test_frames_have_the_inventory_schema(spark):
     assert frame(spark, []).columns == registry.comparison(spark, SMALL).prev.columns
+
+
+def test_cut_leaves_columns_and_no_shuffle_files(spark):
+    rows = spark.range(200_000).selectExpr("concat('a name of some length ', id div 10) AS t", "id")
+    groups = rows.groupBy("t").agg(F.max("id").alias("id"))
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before = str(manager.getAllBlocks()).count("shuffle_")
+    found = cut(groups)
+    assert str(manager.getAllBlocks()).count("shuffle_") <= before
+    assert found.schema == groups.schema and found.count() == 20_000
+    files = spark.read.format("binaryFile").load(found.inputFiles()).select("length")
+    assert files.agg(F.sum("length")).first()[0] < 20_000 * 20
+    assert spark.conf.get(session.FREE_SHUFFLES, None) in (None, "false")
+
+
+def test_joining_small_facts_leaves_the_rows_where_they_are(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), (None, 4), ("z", 5)], "t string, n int")
+    facts = spark.createDataFrame([("a", "x"), ("b", "y"), (None, "none")], "t string, fact string")
+    expected = {"inner": ["x", "x", "y", "none"], "left": ["x", "x", "y", "none", None]}
+    for how, found in expected.items():
+        with settings(spark, **NO_BROADCAST):
+            joined = join_facts(rows, facts, ["t"], "n", how)
+            assert [r.fact for r in joined.orderBy("n").collect()] == found and joined.columns == ["t", "n", "fact"]
+            assert "Exchange hashpartitioning" not in plan(joined)
+            with monkeypatch.context() as m:
+                m.setattr(session, "SMALL_FACTS", 0)
+                salted = join_facts(rows, facts, ["t"], "n", how)
+            assert [r.fact for r in salted.orderBy("n").collect()] == found
+            assert "Exchange hashpartitioning" in plan(salted)
