@@ -24,7 +24,7 @@ from catadrift.config import (
 from catadrift.operators import changes, headers, matching, metrics, quality, reports
 from catadrift.plans.compare import Comparison
 from catadrift.plans.derived import inventory, lineitem, sheet_headers, sheet_rows
-from catadrift.plans.session import ensure_checkpoint_dir
+from catadrift.plans.session import cut, ensure_checkpoint_dir
 from catadrift.sources import checks, positions, sheets, workbooks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -149,11 +149,12 @@ def _workbook_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _scratch(spark, "workbooks")
     rows = inventory(spark, sf_dir, "curr", messy=True).where("connection IS NOT NULL")
     cells = F.array(F.lit("x & <y>"), *sheets.STANDARD_COLUMNS.values())
-    rows = rows.select("connection", "row_number", *KEY[1:], F.lit(False).alias("bold"), F.lit(None).cast("string").alias("fill"), cells.alias("cells"))
+    rows = rows.select("connection", F.col("row_number").alias("place"), F.lit(False).alias("bold"), F.lit(None).cast("string").alias("fill"), cells.alias("cells"))
     headers = rows.select("connection").distinct().withColumn("cells", F.array(F.lit("Owner"), *[F.lit(x) for x in sheets.STANDARD_COLUMNS]))
-    order = ["row_number", *KEY[1:]]
-    workbooks.write_workbooks(workbooks.workbooks(rows.withColumnRenamed("row_number", "place"), headers, ["place", *order[1:]], 5_000), path)
-    found = sheets.sheet_inventory(workbooks.workbook_sheets(spark, path), workbooks.workbook_headers(spark, path))
+    order = ["place", *[f"get(cells, {list(sheets.STANDARD_COLUMNS.values()).index(k) + 1})" for k in KEY[1:]]]
+    workbooks.write_workbooks(workbooks.workbooks(rows, headers, order, 5_000), path)
+    # a row per header, read once for all checks
+    found = sheets.sheet_inventory(workbooks.workbook_sheets(spark, path), cut(workbooks.workbook_headers(spark, path)))
     return found.select(*[c for c in INVENTORY if c != "row_number"], F.get("further", F.lit(0)).value.alias("owner"))
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from catadrift.config import DEFAULT, INVENTORY, DriftConfig
 from catadrift.functions import strip
 from catadrift.operators.headers import header_conflicts, header_rename
-from catadrift.plans.session import cut, join_salted
+from catadrift.plans.session import cut, join_facts, join_salted
 from catadrift.sources.inventory import STANDARD_COLUMNS, partition_values_as_text
 
 RECORDS = "connection STRING, file STRING, index BIGINT, cells ARRAY<STRING>"
@@ -34,12 +34,12 @@ BATCH = 10_000
 HEADER, ROWS, COUNT = "header", "rows", "count"
 
 
-def records_batch(connection: str, file: str, index: Iterable[int], cells: list[list]) -> pa.RecordBatch:
+def records_batch(connection: str, file: str, index: Iterable[int], cells: list[list] | pa.ListArray) -> pa.RecordBatch:
     n = len(cells)
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([connection] * n, pa.string()), pa.array([file] * n, pa.string()),
-            pa.array(index, pa.int64()), pa.array(cells, pa.list_(pa.string())),
+            pa.repeat(pa.scalar(connection, pa.string()), n), pa.repeat(pa.scalar(file, pa.string()), n),
+            pa.array(index, pa.int64()), cells if isinstance(cells, pa.ListArray) else pa.array(cells, pa.list_(pa.string())),
         ],
         names=["connection", "file", "index", "cells"],
     )
@@ -189,7 +189,7 @@ def numbered(records: DataFrame, last: DataFrame | None = None) -> DataFrame:
     shifts = files.select(
         "connection", "file", (F.coalesce(F.sum("n").over(before), F.lit(0)) + 1).alias("shift")
     )
-    return join_salted(records.filter("index > 0"), shifts, ["connection", "file"], "index", "inner").select(
+    return join_facts(records.filter("index > 0"), shifts, ["connection", "file"], "index", "inner").select(
         "connection", "file", (F.col("index") + F.col("shift")).alias("row_number"), "cells"
     )
 
@@ -224,7 +224,8 @@ def sheet_inventory(
         .join(header_conflicts(headers, config).select("connection").distinct(), "connection", "left_anti")
         .select(*keys, F.struct(*STANDARD_COLUMNS.values(), "other", "width").alias("place"))
     )
-    rows = join_salted(
+    join = join_facts if "file" in keys else join_salted
+    rows = join(
         sheets.withColumn("connection", strip("connection")), places, keys, "row_number", "inner"
     )
     further = F.transform(

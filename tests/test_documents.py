@@ -168,3 +168,38 @@ def test_written_workbooks_are_read_without_the_xml_parser(monkeypatch):
 def test_workbooks_compute_the_comparison_once(spark):
     books = registry.comparison(spark, "/root/testdata/sf0.001").materialise().workbooks
     assert "FileScan" not in books._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ends_of_a_sheet_are_found_without_cutting_the_rest(monkeypatch):
+    rows = [(n, False, None, [f"a{n}", None, "c" * 90]) for n in range(2, 20_002)]
+    part, cut = "xl/worksheets/sheet1.xml", []
+    lot = workbooks._lot
+    monkeypatch.setattr(workbooks, "_lot", lambda content, shared: cut.append(len(content)) or lot(content, shared))
+    book = zipfile.ZipFile(io.BytesIO(workbooks.workbook("c", iter(rows), []) + b"\n"))
+    assert workbooks._ends(book, part, []) == [2, 20_001]
+    assert sum(cut) < book.getinfo(part).file_size / 10
+    few = [(5, False, None, [None]), (7, False, None, ["x"]), *[(n, False, None, [None, ""]) for n in range(8, 9_000)]]
+    book = zipfile.ZipFile(io.BytesIO(workbooks.workbook("c", iter(few), []) + b"\n"))
+    assert workbooks._ends(book, part, []) == [7, 7]
+    assert list(workbooks._rows(book, part, [])) == [(7, ["x"])]
+
+
+def test_all_rows_of_a_piece_are_cut_at_once(monkeypatch):
+    """Kinds, escapes, columns left out or out of order, empty cells and rows, as the parser has them."""
+    one = '<c r="{}" s="3" t="inlineStr"><is><t xml:space="preserve">{}</t></is></c>'
+    rows = [
+        one.format("A1", "x &amp; y") + '<c r="C1"><v>1.5</v></c>' + '<c r="AB1" s="2"/>', "", '<c r="B3" t="s"><v>1</v></c><c r="A3" t="b"><v>1</v></c>',
+        one.format("A4", "a_x0009_b") + '<c r="B4" t="e"><v>#N/A</v></c><c r="C4" t="str"><v>c_x0009_</v></c><c r="D4" t="s"><v>2</v></c>',
+        '<c r="A5"/>', '<c r="A6" t="inlineStr"><is><t>é&gt;</t></is></c><c r="B6" t="b"><v>0</v></c><c r="C6" t="inlineStr"><v>no</v></c>', one.format("A7", "1") + one.format("A7", "2"),
+    ]
+    text = f'<worksheet xmlns="{workbooks.MAIN}"><sheetData>' + "\n".join(f'<row r="{n}" spans="1:3">{x}</row>' for n, x in enumerate(rows, 1)) + "</sheetData></worksheet>"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as made:
+        made.writestr("s.xml", text)
+    shared = ["zero", "on_x0009_e", ""]
+    expected = list(workbooks._parsed_rows(zipfile.ZipFile(out), "s.xml", shared))
+    assert [n for n, _ in expected] == [1, 3, 4, 6, 7] and expected[1] == (3, ["True", "on_x0009_e"])
+    monkeypatch.setattr(workbooks, "_parsed_rows", None)
+    assert list(workbooks._rows(zipfile.ZipFile(out), "s.xml", shared)) == expected
+    numbers, cells = next(workbooks._lots(zipfile.ZipFile(out), "s.xml", shared))
+    assert len(numbers) == len(cells) == 5
