@@ -239,3 +239,9 @@ def test_joining_small_facts_leaves_the_rows_where_they_are(spark, monkeypatch):
                 salted = join_facts(rows, facts, ["t"], "n", how)
             assert [r.fact for r in salted.orderBy("n").collect()] == found
             assert "Exchange hashpartitioning" in plan(salted)
+
+
+def test_report_starts_from_the_changes(spark):
+    """The shuffles of the comparison are gone when the snapshot is shuffled, which alone is read again."""
+    text = plan(registry.queries()["annotated_report"](spark, SMALL))
+    assert text.count("lineitem.parquet") == 1
